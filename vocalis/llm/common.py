@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once for each session: they may run where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vocalis_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="vocalis-")) / "vocalis.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(to))
+    sc._vocalis_shipped = True
+
+
 def words(text: Column) -> Column:
     """Array of the words `[^\\x20\\x09-\\x0D]+` of a text; null text gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

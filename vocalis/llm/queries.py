@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import quality
-from vocalis.llm.common import table
+from vocalis.llm import mixing, packing, quality, token_files
+from vocalis.llm.common import new_dir, table
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,33 @@ select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b
 from f left join r on f.source is not distinct from r.source
 """
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = new_dir(spark, "token-files")
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), at, _tokenizer()), at)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, keep=["doc_id", "source"]).select(
+        "row.doc_id", "size", F.col("pattern_size").alias("source_size"), "target", "taken", "row.source"
+    )
+
+
 QUERIES = {
+    "op3_packing": op3_packing,
+    "op4_token_files": op4_token_files,
     "op8_quality_rules": op8_quality_rules,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES = {
