@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import mixing, packing, quality, token_files
+from vocalis.llm import minhash, mixing, packing, quality, token_files
 from vocalis.llm.common import new_dir, table
 
 
@@ -79,6 +79,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), at, _tokenizer()), at)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = minhash.near_duplicates(docs, near=minhash.Near(shingle=3, num=85, den=100))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, keep=["doc_id", "source"]).select(
@@ -89,6 +95,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op6_minhash": op6_minhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
 }
