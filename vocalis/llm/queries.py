@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import minhash, mixing, packing, quality, token_files
+from vocalis.llm import line_dedup, minhash, mixing, packing, quality, token_files
 from vocalis.llm.common import new_dir, table
 
 
@@ -85,6 +85,42 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.line_dedup(docs, keep=["doc_id", "text"]).select("row.doc_id", "n_lines", "n_removed", "n_spans", "row.text")
+
+
+OP7_SQL = r"""
+with t as (
+  select doc_id, text, string_split(text, chr(10)) as ls from documents where text is not null
+), l as (
+  select doc_id, i, trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as line from t, unnest(range(1, len(ls) + 1)) as u(i)
+), n as (
+  select doc_id, i, line, row_number() over (partition by doc_id order by i) as p,
+    len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) as w
+  from l where line <> ''
+), c as (
+  select *, sum(w) over (partition by doc_id order by p) as up_to, list(line) over (partition by doc_id order by p rows between current row and 19 following) as run,
+    list(w) over (partition by doc_id order by p rows between current row and 19 following) as ws from n
+), d as (
+  select doc_id, i, p, run, list_min(list_filter(range(1, len(ws) + 1), lambda k: list_sum(list_slice(ws, 1, k)) >= 20)) as depth from c
+), k as (
+  select doc_id, p, depth, list_slice(run, 1, depth) as run from d where depth is not null
+), later as (
+  select doc_id, p, depth from (select *, row_number() over (partition by run order by doc_id, p) as nth from k) where nth > 1
+), gone as (
+  select distinct doc_id, q as p from later, unnest(range(p, p + depth)) as u(q)
+), g as (
+  select gone.doc_id, n.i, gone.p, gone.p - row_number() over (partition by gone.doc_id order by gone.p) as island from gone join n using (doc_id, p)
+), s as (
+  select doc_id, count(*) as n_removed, count(distinct island) as n_spans, list(i) as gone from g group by doc_id
+)
+select d.doc_id, cast(coalesce(len(t.ls), 0) as bigint) as n_lines, coalesce(s.n_removed, 0) as n_removed, coalesce(s.n_spans, 0) as n_spans,
+  case when s.doc_id is null then d.text else coalesce(array_to_string([t.ls[i] for i in range(1, len(t.ls) + 1) if not list_contains(s.gone, i)], chr(10)), '') end as text
+from documents d left join t using (doc_id) left join s using (doc_id)
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, keep=["doc_id", "source"]).select(
@@ -96,11 +132,13 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op6_minhash": op6_minhash,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
 }
 
 ORACLES = {
+    "op7_line_dedup": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
 }
 

@@ -39,8 +39,6 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.memo) + len(pieces) > MEMO:
-            self.memo.clear()
         spaced = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
         others = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
         if spaced:  # side by side they stay pieces of their own, and only a first id holds the space
@@ -60,20 +58,22 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null gives none."""
-        out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif ODD.search(text) or any(s in text for s in self.special):
-                out.append(self.whole(text))
-            else:
-                pieces = PIECES.findall(text)
-                new = [p for p in set(pieces) if p not in self.memo]
-                if new:
-                    cleared = len(self.memo) + len(new) > MEMO
-                    self._learn(list(set(pieces)) if cleared else new)
-                out.append(b"".join(map(self.memo.__getitem__, pieces)))
-        return out
+        cut = [
+            None if not text or ODD.search(text) or any(s in text for s in self.special) else PIECES.findall(text)
+            for text in texts
+        ]
+        new = set().union(*filter(None, cut))
+        lacking = new.difference(self.memo)
+        if len(self.memo) + len(lacking) > MEMO:
+            self.memo.clear()
+            lacking = new
+        if lacking:
+            self._learn(list(lacking))
+        known = self.memo.__getitem__
+        return [
+            b"".join(map(known, pieces)) if pieces is not None else self.whole(text) if text else b""
+            for text, pieces in zip(texts, cut)
+        ]
 
 
 def encoder(path: str) -> Encoder:
