@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import line_dedup, minhash, mixing, packing, quality, token_files
+from vocalis.llm import ann, line_dedup, minhash, mixing, packing, quality, token_files
 from vocalis.llm.common import new_dir, table
 
 
@@ -79,6 +79,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), at, _tokenizer()), at)
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, F.pmod("vec_id", F.lit(20)) == 0, k=20)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = minhash.near_duplicates(docs, near=minhash.Near(shingle=3, num=85, den=100))
@@ -131,6 +136,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op5_ann": op5_ann,
     "op6_minhash": op6_minhash,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
