@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import ann, line_dedup, minhash, mixing, packing, quality, token_files
+from vocalis.llm import ann, html_crf, line_dedup, lm_score, minhash, mixing, packing, quality, token_files
 from vocalis.llm.common import new_dir, table
 
 
@@ -79,6 +79,18 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), at, _tokenizer()), at)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality; background: all documents."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit(True).alias("_good")).distinct()
+    docs = table(spark, sf_dir, "documents").join(good, "doc_id", "left")
+    found = lm_score.score(docs, F.coalesce("_good", F.lit(False)), keep=["doc_id"])
+    return found.select("row.doc_id", "n_tokens", "loss_target", "loss_background", "score")
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, F.pmod("vec_id", F.lit(20)) == 0, k=20)
@@ -134,6 +146,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
+    "op2_lm_score": op2_lm_score,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op5_ann": op5_ann,
