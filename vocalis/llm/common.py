@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -52,6 +53,12 @@ def ship(spark: SparkSession) -> None:
     sc._vocalis_shipped = True
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what it no longer refers to, so that old shuffle files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words(text: Column) -> Column:
     """Array of the words `[^\\x20\\x09-\\x0D]+` of a text; null text gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

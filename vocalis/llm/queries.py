@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import ann, html_crf, line_dedup, lm_score, minhash, mixing, packing, quality, token_files
+from vocalis.llm import ann, html_crf, line_dedup, lm_score, minhash, mixing, packing, quality, suffix_dedup, token_files
 from vocalis.llm.common import new_dir, table
 
 
@@ -145,6 +145,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_lm_score": op2_lm_score,
@@ -155,6 +159,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = {
