@@ -2,18 +2,19 @@
 
 1. Every document gives its set of hashed word shingles, the set's digest, a signature and the keys
    of its bands. Documents with one set are a class; its smallest id stands for it from here on.
-2. Within a band's bucket the member with the most company is the hub; members are compared with the
-   hub first. Members that stay apart from the hub's component are then pivots in their turn, few at
-   first, and are compared with the members of other components only. A bucket is done when all but
-   its pivots are of one component: every pair of a bucket is then compared, or is joined by links.
-3. A pair's signatures are compared in batches; after each one the pair is dropped if the posterior
+2. Within a band's bucket the member with the most company is the hub; the others are compared with
+   it. A pair's signatures are compared in batches; after each one the pair is dropped if the posterior
    probability that its similarity reaches the threshold is below MISS (uniform prior: a binomial
    tail). Survivors are verified on the full shingle sets of their texts, with whole numbers.
+3. Buckets whose members aren't of one component by then hang together in families. A family's
+   documents are dealt to pairs of blocks of BLOCK documents. A task compares what isn't of one
+   component in the same way, likeliest pairs first, and gives a link only where it joins components:
+   no pairs are written, and a large family is many tasks.
 4. Links give components, by min-label stars over tables.
 
-Hubs come from aggregates that are combined before the shuffle, pivots from a grouped limit, pairs
-and texts from ordinary joins whose hot keys Spark splits at run time. Band parameters follow from
-the threshold so that a pair at the threshold is missed by all bands with probability BAND_MISS.
+Hubs come from aggregates that are combined before the shuffle; pairs and texts come from ordinary
+joins whose hot keys Spark splits at run time. Band parameters follow from the threshold so that a
+pair at the threshold is missed by all bands with probability BAND_MISS.
 
 Defined results: texts without words, and null texts, have no set and are linked with nothing; rows
 with one id are one node; a null id stands alone; an empty table gives an empty table; other columns
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocalis.llm import common
@@ -38,8 +39,8 @@ K = 144
 BATCH = 24
 BAND_MISS = 2e-5
 MISS = 1e-6
-#: Pivots of a bucket in the second round; eight times as many in each further one.
-PIVOTS = 64
+#: Documents in a block of a family.
+BLOCK = 512
 CHUNK = 256
 MEMO = 400_000
 
@@ -182,6 +183,77 @@ def _verify(near: Near):
     return run
 
 
+def _compare(near: Near):
+    """Rows (family, x, y, block, id, of, sig, text) in order of the first three: links between
+    components among the documents of block x and those of block y."""
+    t = near.num / near.den
+    steps = [(n, least_matches(n, t)) for n in range(BATCH, K + 1, BATCH)]
+
+    def group(key, rows):
+        _, x, y = key
+        ids, of, texts = [r[1] for r in rows], [r[2] for r in rows], [r[4] for r in rows]
+        sigs = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(-1, K)
+        of_number = {c: k for k, c in enumerate(dict.fromkeys(of))}
+        component = np.array([of_number[c] for c in of])
+        second = np.array([r[0] == y for r in rows]) if x != y else np.ones(len(rows), bool)
+        parent = list(range(len(of_number)))
+        likely = []
+        for i in np.flatnonzero(~second) if x != y else range(len(rows)):
+            live = np.flatnonzero(second & (component != component[i]))
+            if x == y:
+                live = live[live > i]
+            matched = np.zeros(len(live), int)
+            for n, least in steps:
+                matched += (sigs[live, n - BATCH : n] == sigs[i, n - BATCH : n]).sum(1)
+                on = matched >= least
+                live, matched = live[on], matched[on]
+                if not len(live):
+                    break
+            likely += zip((-matched).tolist(), [int(i)] * len(live), live.tolist())
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        sets: dict[int, np.ndarray] = {}
+        for _, i, j in sorted(likely):
+            a, b = root(component[i]), root(component[j])
+            if a == b:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingles(texts[k], near.shingle)
+            u, v = sets[i], sets[j]
+            if near.num * max(len(u), len(v)) > near.den * min(len(u), len(v)):
+                continue
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            if near.den * both >= near.num * (len(u) + len(v) - both):
+                parent[max(a, b)] = min(a, b)
+                yield ids[i], ids[j]
+
+    def run(batches):
+        key, rows = None, []
+
+        def done():
+            found = list(group(key, rows))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+        for batch in batches:
+            for f, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (f, x, y) != key:
+                    if rows:
+                        yield from done()
+                    key, rows = (f, x, y), []
+                rows.append(row)
+        if rows:
+            yield from done()
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", near: Near = Near()) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -201,42 +273,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     members = common.materialize(members.select("key", "id").join(weight, "id"), "members")
     # the signatures and texts that pairs can need
     named = members.select("id").distinct()
-    sigs = common.materialize(reps.select("id", "sig").join(named, "id", "left_semi").dropDuplicates(["id"]), "sigs")
-    held = common.materialize(texts.join(named, "id", "left_semi").dropDuplicates(["id"]), "texts")
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        sig = lambda c: sigs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"))
-        body = lambda c: held.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-        likely = pairs.distinct().join(sig("a"), "a").join(sig("b"), "b").mapInArrow(_prune(near), "a long, b long")
-        likely = common.materialize(likely, "likely")
-        return likely.join(body("b"), "b").join(body("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(near), "a long, b long")
+    held = texts.join(named, "id", "left_semi").dropDuplicates(["id"]).join(reps.select("id", "sig").dropDuplicates(["id"]), "id")
+    held = common.materialize(held, "held")
 
     hub = members.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
-    pairs = members.join(hub, "key").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    links = common.materialize(links_of(pairs), "near-links")
+    spokes = members.join(hub, "key").filter("id <> hub").select("key", "hub", "id")
+    sig = lambda c: held.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"))
+    body = lambda c: held.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    pairs = spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    likely = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(near), "a long, b long")
+    likely = common.materialize(likely, "likely").join(body("b"), "b").join(body("a"), "a")
+    links = likely.select("a", "b", "text_a", "text_b").mapInArrow(_verify(near), "a long, b long")
+    links = common.materialize(links, "near-links")
     found = common.materialize(components(links), "components")
-    used, many = None, PIVOTS
-    while True:
-        labelled = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "weight", F.coalesce("component", "id").alias("of"))
-        main = labelled.join(hub, "key").filter("id = hub").select("key", F.col("of").alias("main"))
-        apart = labelled.join(main, "key").filter("of <> main")
-        if used is not None:
-            apart = apart.join(used, ["key", "id"], "left_anti")
-        pivots = apart.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id")))
-        pivots = common.materialize(pivots.filter(F.col("nth") <= many).select("key", "id", "of"), "pivots")
-        if pivots.isEmpty():
-            break
-        pairs = (
-            pivots.select("key", F.col("id").alias("a"), F.col("of").alias("of_a"))
-            .join(labelled.select("key", F.col("id").alias("b"), "of"), "key")
-            .filter("of <> of_a")
-        )
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = links.union(common.materialize(links_of(pairs), "near-links"))
-        found = common.materialize(components(links), "components")
-        done = pivots.select("key", "id")
-        used = done if used is None else used.union(done)
-        many *= 8
+
+    # buckets whose members aren't all of one component yet, and what hangs together by them
+    labelled = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("of"))
+    open_keys = labelled.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("key")
+    family = components(spokes.join(open_keys, "key", "left_semi").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    family = common.materialize(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
+    blocks = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = dealt.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("of", F.coalesce("component", "id"))
+    dealt = dealt.join(held, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = [F.col("family"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
+    dealt = dealt.select(*group, "block", "id", "of", "sig", "text").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "block", "id")
+    more = common.materialize(dealt.mapInArrow(_compare(near), "a long, b long"), "near-links")
+    found = common.materialize(components(links.union(more)), "components")
 
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return (
