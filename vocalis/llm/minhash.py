@@ -39,6 +39,8 @@ K = 144
 BATCH = 24
 BAND_MISS = 2e-5
 MISS = 1e-6
+#: Ids (of 8 bytes) up to which the list of documents that pairs can need is broadcast.
+MOST_BROADCAST = 2_000_000
 #: Documents in a block of a family.
 BLOCK = 512
 CHUNK = 256
@@ -272,7 +274,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
     members = common.materialize(members.select("key", "id").join(weight, "id"), "members")
     # the signatures and texts that pairs can need
-    named = members.select("id").distinct()
+    named = common.materialize(members.select("id").distinct(), "named")
+    if named.count() <= MOST_BROADCAST:  # then texts needn't be shuffled to find theirs
+        named = F.broadcast(named)
     held = texts.join(named, "id", "left_semi").dropDuplicates(["id"]).join(reps.select("id", "sig").dropDuplicates(["id"]), "id")
     held = common.materialize(held, "held")
 
