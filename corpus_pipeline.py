@@ -19,22 +19,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, with documents of which no word is left."""
+    common.tidy(docs)
     out = line_dedup.deduplicated(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
+    common.tidy(docs)
     return minhash.near_dedup(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    common.tidy(docs)
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
+    common.tidy(docs)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -53,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        at = common.new_dir(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(at)
+        if last:
+            common.delete(spark, last)
+        docs, last = spark.read.parquet(at), at
     return STAGES[-1][1](spark, docs, sf_dir)
