@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocalis.shipping import ship  # noqa: F401 - operators call common.ship
+
 #: White space of the word contracts: space and U+0009 to U+000D. Fixed by the contracts.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -32,31 +33,42 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vocalis/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and outlives any executor."""
     at = new_dir(df.sparkSession, name)
+    _scratch.append(at)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, once for each session: they may run where it isn't installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_vocalis_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="vocalis-")) / "vocalis.zip"
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent).as_posix())
-    sc.addPyFile(str(to))
-    sc._vocalis_shipped = True
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(docs: DataFrame) -> None:
+    """Delete the tables that materialize wrote so far, but for those that docs reads. For a caller
+    that has written all earlier results."""
+    spark = docs.sparkSession
+    files = docs.inputFiles()
+    held = [at for at in _scratch if any(at in f for f in files)]
+    for at in _scratch:
+        if at not in held:
+            delete(spark, at)
+    _scratch[:] = held
+    release(spark)
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver drop what it no longer refers to, so that old shuffle files go."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver drop what it no longer refers to, so that old shuffle files go: Python's
+    references first, then the JVM's; its cleaner works by the side and is given a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def words(text: Column) -> Column:

@@ -11,8 +11,8 @@ holds the cut is found from those sums, and only its documents are ranked. A doc
 overshoot is left out and the gap closed by the largest documents that fit.
 
 Defined results: a null text has size 0 and is taken 0 words; null is a source of its own, last;
-documents of no source (an empty array) are not taken; repeated rows are documents of their own, and
-where the hash is equal too they are taken in the order of size; an empty table gives an empty table.
+documents of no source (an empty array) are not taken; rows of one id and size are taken or left
+together; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from vocalis.llm import common
 
 #: Ranges of the seeded hash for each pattern.
 RANGES = 4096
+#: Patterns up to which the plan, a row for each, is broadcast; beyond, it joins as it comes.
+MOST_BROADCAST = 10_000
 #: Cost of a word in the first, second, ... pass.
 PASS_COST = (0, 1, 3, 7, 15, 31, 63)
 
@@ -113,95 +115,72 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, how:
     keep = docs.columns if keep is None else keep
     salt = ["doc_id"] if salt is None else salt
     sources = F.array("source") if sources is None else sources
-    sized = docs.select(
-        F.struct(*(F.col(c) for c in keep)).alias("row"),
+    facts = [
         F.size(common.words(F.col(text))).cast("long").alias("size"),
         F.array_sort(F.array_distinct(sources)).alias("pattern"),
         F.xxhash64(F.lit(how.seed), *(F.col(c) for c in salt)).alias("hash"),
-    )
-    sized = common.materialize(sized, "mix")
+    ]
     # ranges of the hash in its own order, so that all documents of a range stand before the next
-    sized = sized.withColumn("range", (F.shiftright("hash", 52) + RANGES // 2).cast("int"))
+    hash_range = (F.shiftright("hash", 52) + RANGES // 2).cast("int").alias("range")
+    narrow = common.materialize(docs.select(*facts), "mix").select("*", hash_range)
     # a range has a row at most for each pattern; sums are combined before they are shuffled
-    sums = common.materialize(sized.groupBy("pattern", "range").agg(F.sum("size").alias("words")), "mix-sums")
+    sums = common.materialize(narrow.groupBy("pattern", "range").agg(F.sum("size").alias("words")), "mix-sums")
     supply = {tuple(r["pattern"]): int(r["w"]) for r in sums.groupBy("pattern").agg(F.sum("words").alias("w")).collect()}
     by_source: dict[str | None, int] = {}
     for p, n in supply.items():
         for x in p:
             by_source[x] = by_source.get(x, 0) + n
-    if not by_source:
-        return _result(sized, F.lit(0).cast("long"), F.lit(None).cast("double"), F.lit(0).cast("long"))
-    share = targets(by_source, how.weights, how.max_passes)
+    share = targets(by_source, how.weights, how.max_passes) if by_source else {}
     given = route(supply, {x: round(v) for x, v in share.items()}, how.max_passes)
 
-    plan = []
+    plan = {}
     for p, n in supply.items():
         whole, rest = divmod(given[p], n) if n else (0, 0)
-        plan.append((list(p), n, share[p[0]] if len(p) == 1 else None, whole, rest))
-    plan_schema = "of array<string>, pattern_size long, target double, whole long, rest long"
-    plan_df = spark.createDataFrame(plan, plan_schema)  # a row for each pattern
+        plan[p] = {"pattern_size": n, "target": share[p[0]] if len(p) == 1 else None, "whole": whole, "rest": rest}
+
+    def planned(*columns: str) -> DataFrame:
+        types = {"target": "double", "cut_range": "int", "extra": "array<struct<hash:long,size:long>>"}
+        rows = [(list(p), *(v.get(c) for c in columns)) for p, v in plan.items()]
+        frame = spark.createDataFrame(rows, ", ".join(["of array<string>", *(f"{c} {types.get(c, 'long')}" for c in columns)]))
+        return F.broadcast(frame) if len(plan) <= MOST_BROADCAST else frame
+
+    def with_plan(df: DataFrame, *columns: str) -> DataFrame:
+        return df.join(planned(*columns), F.col("pattern").eqNullSafe(F.col("of")), "left")
+
     # the range that holds the cut: the words before it are all taken
     order = Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
-    cut = before.join(plan_df, F.col("pattern").eqNullSafe(F.col("of"))).filter(
-        (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))
-    )
-    cut = {tuple(r["pattern"]): (r["range"], r["before"]) for r in cut.select("pattern", "range", "before").collect()}
-    full = [
-        (*x, *((cut[tuple(x[0])]) if tuple(x[0]) in cut else (-1, 0))) for x in plan
-    ]
-    joined = sized.join(
-        spark.createDataFrame(full, plan_schema + ", cut_range int, cut_before long"), F.col("pattern").eqNullSafe(F.col("of")), "left"
-    )
-    # rank only the documents of the cut's range, then fill up with the largest that fit
-    edge = joined.filter(F.col("range") == F.col("cut_range"))
-    run = Window.partitionBy("pattern").orderBy("hash", "size", *(F.col(f"row.{c}") for c in salt))
-    edge = edge.withColumn("up_to", F.col("cut_before") + F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumn("nth", F.row_number().over(Window.partitionBy("pattern", "hash", "size").orderBy("up_to")))
-    reached = {
-        tuple(r["pattern"]): (r["hash"], r["size"], r["nth"], r["up_to"])
-        for r in edge.filter(F.col("up_to") <= F.col("rest"))
-        .groupBy("pattern")
-        .agg(F.max_by(F.struct("hash", "size", "nth", "up_to"), F.struct("up_to", "hash", "size", "nth")).alias("x"))
-        .select("pattern", "x.*")
-        .collect()
-    }
-    gaps = [(list(p), rest - reached.get(tuple(p), (0, 0, 0, cut.get(tuple(p), (0, 0))[1]))[3], *reached.get(tuple(p), (None, None, None))[:3]) for p, _, _, _, rest in plan]
-    gap_df = spark.createDataFrame(gaps, "for array<string>, gap long, last_hash long, last_size long, last_nth long")
-    tied = Window.partitionBy("pattern", "hash", "size").orderBy(*(F.col(f"row.{c}") for c in salt))
-    marked = joined.join(gap_df, F.col("pattern").eqNullSafe(F.col("for")), "left").withColumn("nth", F.row_number().over(tied))
-    marked = marked.withColumn(
-        "first",
-        (F.col("range") < F.col("cut_range"))
-        | (
-            (F.col("range") == F.col("cut_range"))
-            & F.col("last_hash").isNotNull()
-            & (F.struct("hash", "size", "nth") <= F.struct(F.col("last_hash"), F.col("last_size"), F.col("last_nth").cast("int")))
-        ),
-    )
-    fits = (
-        marked.filter(~F.col("first") & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
-        .groupBy("pattern", F.floor(F.log2("size")).alias("class"))
-        .agg(F.max(F.struct("size", "hash", "nth")).alias("x"))
-        .select("pattern", "x.*")
-        .collect()  # a row for each pattern and power of two
+    before = with_plan(sums.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0))), "rest")
+    for r in before.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).collect():
+        plan[tuple(r["pattern"])] |= {"cut_range": r["range"], "cut_before": r["before"]}
+    # rank only the documents of the cut's range
+    edge = with_plan(narrow, "rest", "cut_range", "cut_before").filter(F.col("range") == F.col("cut_range"))
+    edge = edge.groupBy("pattern", "hash", "size", "rest", "cut_before").agg(F.sum("size").alias("words"))
+    run = Window.partitionBy("pattern").orderBy("hash", "size").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("up_to", F.col("cut_before") + F.sum("words").over(run)).filter(F.col("up_to") <= F.col("rest"))
+    for r in edge.groupBy("pattern").agg(F.max(F.struct("up_to", "hash", "size")).alias("x")).select("pattern", "x.*").collect():
+        plan[tuple(r["pattern"])] |= {"last_hash": r["hash"], "last_size": r["size"], "up_to": r["up_to"]}
+    for v in plan.values():
+        v["gap"] = v["rest"] - v.get("up_to", v.get("cut_before", 0))
+    # fill up with the largest that fit
+    first = (F.col("range") < F.col("cut_range")) | (
+        (F.col("range") == F.col("cut_range"))
+        & ((F.col("hash") < F.col("last_hash")) | ((F.col("hash") == F.col("last_hash")) & (F.col("size") <= F.col("last_size"))))
     )
-    left = {tuple(p): g for p, g, *_ in gaps}
-    extra: dict[tuple, list[tuple]] = {p: [] for p in left}
-    for r in sorted(fits, key=lambda r: -r["size"]):
-        p = tuple(r["pattern"])
-        if r["size"] <= left[p]:
-            left[p] -= r["size"]
-            extra[p].append((r["hash"], r["size"], r["nth"]))
-    extra_df = spark.createDataFrame([(list(p), v) for p, v in extra.items()], "with array<string>, extra array<struct<hash:long,size:long,nth:int>>")
-    marked = marked.join(extra_df, F.col("pattern").eqNullSafe(F.col("with")), "left")
-    chosen = F.col("first") | F.array_contains("extra", F.struct("hash", "size", "nth"))
-    taken = F.col("size") * (F.col("whole") + F.coalesce(chosen, F.lit(False)).cast("long"))
-    return _result(marked, F.col("pattern_size"), F.col("target"), F.coalesce(taken, F.lit(0)).cast("long"))
-
-
-def _result(df: DataFrame, pattern_size: Column, target: Column, taken: Column) -> DataFrame:
-    return df.select("row", "size", "pattern", F.coalesce(pattern_size, F.lit(0)).alias("pattern_size"), target.alias("target"), taken.alias("taken"))
+    first = F.coalesce(first, F.lit(False))
+    fits = with_plan(narrow, "cut_range", "last_hash", "last_size", "gap").filter(~first & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+    fits = fits.groupBy("pattern", "hash", "size", "gap").agg(F.sum("size").alias("words")).filter(F.col("words") <= F.col("gap"))
+    fits = fits.groupBy("pattern", F.floor(F.log2("words")).alias("class")).agg(F.max(F.struct("words", "hash", "size")).alias("x"))
+    for r in sorted(fits.select("pattern", "x.*").collect(), key=lambda r: -r["words"]):  # a row for each pattern and power of two
+        v = plan[tuple(r["pattern"])]
+        if r["words"] <= v["gap"]:
+            v["gap"] -= r["words"]
+            v.setdefault("extra", []).append((r["hash"], r["size"]))
+    # one more pass over the documents, without a shuffle
+    every = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), *facts).select("*", hash_range)
+    every = with_plan(every, "pattern_size", "target", "whole", "cut_range", "last_hash", "last_size", "extra")
+    chosen = first | F.coalesce(F.array_contains("extra", F.struct("hash", "size")), F.lit(False))
+    taken = F.col("size") * (F.col("whole") + chosen.cast("long"))
+    return every.select("row", "size", "pattern", F.coalesce("pattern_size", F.lit(0)).alias("pattern_size"), "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, text: str = "text", how: Mix = Mix()) -> DataFrame:
