@@ -37,6 +37,8 @@ from vocalis.llm import common
 LENGTH = 50
 GRAM = 16
 PART_BYTES = 8 << 20
+#: Bytes whose windows are looked at together.
+SLICE = 1 << 20
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _U = np.uint64
@@ -56,43 +58,42 @@ class Runs:
     whole (fingerprint of the run) and doc (number of the document)."""
 
     def __init__(self, data: bytes, starts: np.ndarray, length: int = LENGTH):
-        n = len(data)
-        self.begin = np.empty(0, np.int64)
-        self.doc = self.n = self.anchor = self.begin
-        self.id = self.whole = np.empty(0, np.uint64)
-        if n < length:
-            return
-        eight = np.ndarray((n - 7,), "<u8", data, strides=(1,))
-        gram = eight[:-8] * _C[0]
-        gram ^= gram >> _U(32)
-        gram += eight[8:] * _C[1]
-        gram *= _C[3]
-        gram ^= gram >> _U(31)
-        least = (gram & _U(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
-        wide, have = length - GRAM + 1, 1
-        while 2 * have <= wide:
-            least = np.minimum(least[:-have], least[have:])
-            have *= 2
-        if have < wide:
-            least = np.minimum(least[: len(least) - (wide - have)], least[wide - have :])
-        at = (least & _U(0xFFFFFFFF)).astype(np.int64)
-        left = np.repeat(starts[1:], np.diff(starts))[: len(at)] - np.arange(len(at))
-        fine = left >= length
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | ~fine[:-1]
-        last = np.ones(len(at), bool)
-        last[:-1] = new[1:] | ~fine[1:]
-        self.begin = np.flatnonzero(new & fine)
-        end = np.flatnonzero(last & fine)
-        self.n = end - self.begin + 1
-        self.anchor = at[self.begin]
-        self.doc = np.searchsorted(starts, self.begin, "right") - 1
-        self.id = _mix(gram[self.anchor])
-        tail = self.begin + self.n + length - 1 - GRAM
-        whole = (self.anchor - self.begin).astype(np.uint64) * _C[1] + self.n.astype(np.uint64)
-        for k in range(0, wide + length, GRAM):
-            whole = _mix(whole + gram[np.minimum(self.begin + k, tail)])
-        self.whole = whole
+        some = [_slice(data, a, min(len(data), a + SLICE + length - 1), starts, length) for a in range(0, max(0, len(data) - length + 1), SLICE)]
+        some = some or [tuple(np.empty(0, np.uint64 if k > 3 else np.int64) for k in range(6))]
+        self.begin, self.n, self.anchor, self.doc, self.id, self.whole = (np.concatenate(x) for x in zip(*some))
+
+
+def _slice(data: bytes, a: int, b: int, starts: np.ndarray, length: int):
+    """The runs of the windows in data[a:b]; a run that a slice's edge cuts is two runs."""
+    n = b - a
+    eight = np.ndarray((n - 7,), "<u8", memoryview(data)[a:b], strides=(1,))
+    gram = eight[:-8] * _C[0]
+    gram ^= gram >> _U(32)
+    gram += eight[8:] * _C[1]
+    gram *= _C[3]
+    gram ^= gram >> _U(31)
+    least = (gram & _U(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
+    wide, have = length - GRAM + 1, 1
+    while 2 * have <= wide:
+        least = np.minimum(least[:-have], least[have:])
+        have *= 2
+    if have < wide:
+        least = np.minimum(least[: len(least) - (wide - have)], least[wide - have :])
+    at = (least & _U(0xFFFFFFFF)).astype(np.int64)
+    where = np.arange(a, a + len(at))
+    fine = starts[np.searchsorted(starts, where, "right")] - where >= length
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | ~fine[:-1]
+    last = np.ones(len(at), bool)
+    last[:-1] = new[1:] | ~fine[1:]
+    begin = np.flatnonzero(new & fine)
+    n_windows = np.flatnonzero(last & fine) - begin + 1
+    anchor = at[begin]
+    tail = begin + n_windows + length - 1 - GRAM
+    whole = (anchor - begin).astype(np.uint64) * _C[1] + n_windows.astype(np.uint64)
+    for k in range(0, wide + length, GRAM):
+        whole = _mix(whole + gram[np.minimum(begin + k, tail)])
+    return begin + a, n_windows, anchor + a, np.searchsorted(starts, begin + a, "right") - 1, _mix(gram[anchor]), whole
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -153,7 +154,7 @@ def _ask(n_buckets: int):
             runs = Runs(data, starts)
             order, heads, first = _firsts(runs, ids)
             i, w = runs.id[order[heads]], runs.whole[order[heads]]
-            rows = [(b, part, _pack(at.astype("<u4"), (i[at] >> _U(32)).astype("<u4"), w[at], first[at])) for b, at in _by_bucket((i % _U(n_buckets)).astype(np.int64))]
+            rows = [(b, part, _pack((i[at] >> _U(32)).astype("<u4"), w[at], first[at])) for b, at in _by_bucket((i % _U(n_buckets)).astype(np.int64))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "part", "body"])
 
@@ -178,10 +179,12 @@ def _grouped(batches):
 def _answer(batches):
     """For each part's distinct runs: the first document with the whole run, and whether other parts
     or runs share the anchor; only where that tells more than the part knows."""
-    for _, parts, bodies in _grouped(batches):
-        some = [_unpack(b, "<u4", "<u4", "<u8", "<i8") for b in bodies]
-        number, anchor, whole, first = (np.concatenate(x) for x in zip(*some))
-        of = np.repeat(np.arange(len(parts)), [len(x[0]) for x in some])
+    for bucket, parts, bodies in _grouped(batches):
+        some = [_unpack(b, "<u4", "<u8", "<i8") for b in bodies]
+        anchor, whole, first = (np.concatenate(x) for x in zip(*some))
+        sent = [len(x[0]) for x in some]
+        of = np.repeat(np.arange(len(parts)), sent)
+        number = (np.arange(len(of)) - np.repeat(np.cumsum(sent) - sent, sent)).astype("<u4")
         order = np.lexsort((first, whole, anchor))
         a, w = anchor[order], whole[order]
         new_a = np.ones(len(order), bool)
@@ -194,7 +197,7 @@ def _answer(batches):
         rows = []
         for k, at in _by_bucket(of[order[tell]]):
             at = tell[at]
-            rows.append((parts[k], _pack(number[order[at]], least[at], (kinds[at] > 1).astype("u1"))))
+            rows.append((parts[k], bucket.to_bytes(8, "little") + _pack(number[order[at]], least[at], (kinds[at] > 1).astype("u1"))))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["part", "body"])
 
@@ -219,8 +222,12 @@ def _resolve(n_buckets: int):
             many = np.zeros(len(heads), bool)
             many[1:] |= anchors[1:] == anchors[:-1]
             many[:-1] |= anchors[1:] == anchors[:-1]
-            for raw in answers:
-                number, least, kinds = _unpack(raw, "<u4", "<i8", "u1")
+            told = {int.from_bytes(raw[:8], "little"): raw[8:] for raw in answers}
+            for b, sent in _by_bucket((anchors % _U(n_buckets)).astype(np.int64)):
+                if b not in told:
+                    continue
+                place, least, kinds = _unpack(told[b], "<u4", "<i8", "u1")
+                number = sent[place]
                 first[number] = np.minimum(first[number], least)
                 many[number] |= kinds > 0
             of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
