@@ -164,21 +164,24 @@ def ocr_clean(text: Column) -> Column:
 def html_to_text(html: Column) -> Column:
     """Readable text of html whose skipped tags are closed and don't hold each other; others need
     `sources.html.html_to_text_udf`, see `needs_parser`."""
-    # a page that ends inside a tag, or inside a character reference after the last tag, loses it
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, rf"(?is)<({'|'.join(sorted(T.SKIPPED_TAGS, key=len, reverse=True))})\b[^>]*>.*?</\1\s*>", "")
+    # a last run of text that ends inside a character reference is lost, and so is an unfinished last tag
+    text = _without_skipped(F.regexp_replace(html, r"(?U)(\A|>)[^<]*&[^\s;<]{0,33}\z", "$1"))
     text = F.regexp_replace(text, r"(?is)<[!?][^>]*>", "")
     text = F.regexp_replace(text, rf"(?is)</?(?:{'|'.join(sorted(T.BLOCK_TAGS, key=len, reverse=True))})\b[^>]*>", "\n\n")
     text = F.regexp_replace(text, r"(?s)</?[a-zA-Z][^>]*>", "")
     text = F.regexp_replace(text, r"(?s)<[/!?a-zA-Z][^>]*\z", "")
-    text = F.regexp_replace(text, r"&#?[a-zA-Z0-9]*\z", "")
     for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("#39", "'"), ("apos", "'"), ("amp", "&")):
         text = F.regexp_replace(text, f"&{name};?", sign)
     return text
 
 
+def _without_skipped(html: Column) -> Column:
+    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    return F.regexp_replace(text, rf"(?is)<({'|'.join(sorted(T.SKIPPED_TAGS, key=len, reverse=True))})\b[^>]*>.*?</\1\s*>", "")
+
+
 def needs_parser(html: Column) -> Column:
-    """Whether skipped tags are unclosed or nested, or character references are beyond the table."""
-    tags = rf"(?i)<(?:{'|'.join(T.SKIPPED_TAGS)})\b"
-    ends = rf"(?i)</(?:{'|'.join(T.SKIPPED_TAGS)})\s*>"
-    return (F.regexp_count(html, F.lit(tags)) != F.regexp_count(html, F.lit(ends))) | html.rlike(r"&(?!(?:copy|middot|quot|nbsp|lt|gt|#39|apos|amp);?)#?[a-zA-Z0-9]+;")
+    """Whether skipped tags are unclosed, nested in their own kind or crossed, so that some are left
+    over, or character references are beyond the table."""
+    left = _without_skipped(html).rlike(rf"(?i)</?(?:{'|'.join(T.SKIPPED_TAGS)})\b")
+    return left | html.rlike(r"&(?!(?:copy|middot|quot|nbsp|lt|gt|#39|apos|amp);?)#?[a-zA-Z0-9]+;")

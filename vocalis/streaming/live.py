@@ -18,10 +18,10 @@ from vocalis.shipping import ship
 
 class SlidingTtl(StatefulProcessor):
     """Accesses (item, at in seconds, op) of each item: hits within a window that each access renews.
-    State is dropped by a timer once no access can hit any more."""
+    With reclaim, a timer drops the state once no access can hit any more."""
 
-    def __init__(self, ttl: int = T.DOC_TTL):
-        self.ttl = ttl
+    def __init__(self, ttl: int = T.DOC_TTL, reclaim: bool = True):
+        self.ttl, self.reclaim = ttl, reclaim
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -39,9 +39,10 @@ class SlidingTtl(StatefulProcessor):
             self.used.clear()
         else:
             self.used.update((int(last),))
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.ttl * 1000)
+            if self.reclaim:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.ttl * 1000)
         yield pd.DataFrame({"item": f["item"], "event_id": f["event_id"], "hit": hits})
 
     def handleExpiredTimer(self, key: Any, timers, expired) -> Iterator[pd.DataFrame]:
@@ -52,11 +53,11 @@ class SlidingTtl(StatefulProcessor):
         pass
 
 
-def document_hits(accesses: DataFrame, ttl: int = T.DOC_TTL) -> DataFrame:
+def document_hits(accesses: DataFrame, ttl: int = T.DOC_TTL, reclaim: bool = True) -> DataFrame:
     """A stream of accesses (item, event_id, at, op) with their hits. Needs the RocksDB state store."""
     ship(accesses.sparkSession)
     return accesses.groupBy("item").transformWithStateInPandas(
-        SlidingTtl(ttl), outputStructType="item string, event_id long, hit boolean", outputMode="Append", timeMode="ProcessingTime"
+        SlidingTtl(ttl, reclaim), outputStructType="item string, event_id long, hit boolean", outputMode="Append", timeMode="ProcessingTime" if reclaim else "None"
     )
 
 
