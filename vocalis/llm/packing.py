@@ -45,26 +45,60 @@ def _price(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return best[capacity], counts
 
 
-def patterns(demand: np.ndarray, gap: float = 1e-5, most: int = 5000) -> list[tuple[np.ndarray, int]]:
+def first_fit(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Patterns for pieces of each size by first fit decreasing, like ones at once."""
+    left, capacity, used = left.astype(int).copy(), len(left), []
+    while left.any():
+        pattern, room = np.zeros(capacity, int), capacity
+        while room > 0 and left[:room].any():
+            size = int(np.flatnonzero(left[:room])[-1]) + 1
+            n = min(int(left[size - 1]), room // size)
+            pattern[size - 1] += n
+            left[size - 1] -= n
+            room -= n * size
+        on = pattern > 0
+        times = 1 + int((left[on] // pattern[on]).min())
+        used.append((pattern, times))
+        left -= (times - 1) * pattern
+    return used
+
+
+def patterns(demand: np.ndarray, gap: float = 2e-4, most: int = 300) -> list[tuple[np.ndarray, int]]:
     """demand[k]: pieces of size k + 1; stock has size len(demand). Patterns (pieces of each size) and
-    how often each is used; together they have a slot for every piece. A fixed point of the input."""
+    how often each is used; together they have a slot for every piece. A fixed point of the input.
+
+    The linear program begins with the columns of a first-fit solution; the best of them enters while
+    one improves on the present dual prices, then the knapsack supplies new ones, until the sum is
+    within gap of a lower bound (Farley's), or most knapsacks were solved."""
     capacity = len(demand)
     sizes = np.flatnonzero(demand) + 1
     if not len(sizes):
         return []
     m, need = len(sizes), demand[sizes - 1].astype(float)
+    plain = first_fit(demand)
+    pool = np.array([p[sizes - 1] for p, _ in plain], float)
     columns = np.zeros((m, m))
     np.fill_diagonal(columns, capacity // sizes)
     inverse = np.diag(1.0 / (capacity // sizes))
     x = inverse @ need
-    for _ in range(most):
+    bound, solved, turn = float(sizes @ need) / capacity, 0, 0
+    while x.sum() > bound * (1 + gap) and solved < most and turn < 20 * most:
+        turn += 1
         dual = np.maximum(inverse.sum(0), 0)
-        value = np.zeros(capacity)
-        value[sizes - 1] = dual
-        worth, counts = _price(value, capacity)
-        if worth <= 1 + gap:  # Farley: the optimum is above the present sum over worth
-            break
-        enter = counts[sizes - 1].astype(float)
+        worths = pool @ dual
+        k = int(np.argmax(worths))
+        if worths[k] > 1 + 1e-9:
+            enter = pool[k]
+        else:
+            solved += 1
+            value = np.zeros(capacity)
+            value[sizes - 1] = dual
+            worth, counts = _price(value, capacity)
+            bound = max(bound, float(dual @ need) / worth)
+            if worth <= 1 + 1e-9:
+                break
+            enter = counts[sizes - 1].astype(float)
+            pool = np.vstack([pool, enter])
         step = inverse @ enter
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         leave = int(np.argmin(ratio))
@@ -84,19 +118,8 @@ def patterns(demand: np.ndarray, gap: float = 1e-5, most: int = 5000) -> list[tu
         if times > 0:
             used.append((pattern, times))
             left -= times * pattern
-    while left.any():  # the rest, a few pieces for each pattern
-        pattern, room = np.zeros(capacity, int), capacity
-        while room > 0 and left[:room].any():
-            size = int(np.flatnonzero(left[:room])[-1]) + 1
-            n = min(int(left[size - 1]), room // size)
-            pattern[size - 1] += n
-            left[size - 1] -= n
-            room -= n * size
-        on = pattern > 0
-        times = 1 + int((left[on] // pattern[on]).min())
-        used.append((pattern, times))
-        left -= (times - 1) * pattern
-    return used
+    used += first_fit(left)  # the rest, a few pieces for each pattern
+    return min(used, plain, key=lambda u: sum(n for _, n in u))
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text: str, length: int, end_id: int) -> DataFrame:
