@@ -26,6 +26,8 @@ from vocalis.llm import common
 V = 256
 PAD = 10  # before a text's first byte: a line's end
 SLICE = 2_048
+#: Ids (of 8 bytes) up to which a list of target documents is broadcast.
+MOST_BROADCAST = 2_000_000
 
 
 def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +88,22 @@ def losses(key: np.ndarray, n: np.ndarray) -> np.ndarray:
     return -np.log(np.where(context + t_ab > 0, (n + t_ab * p_two) / np.maximum(context + t_ab, 1), p_two))
 
 
-def score(docs: DataFrame, target: Column, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`row` (struct of the columns in keep), n_tokens, loss_target, loss_background (means) and score."""
+def listed(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with a boolean `_listed`: whether the id is in ids (one column). A short list travels to
+    the documents; a long one is joined."""
+    ids = common.materialize(ids.toDF("_of").filter("_of is not null").distinct(), "listed")
+    small = ids.count() <= MOST_BROADCAST
+    ids = ids.withColumn("_listed", F.lit(True))
+    both = docs.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("_of"), "left")
+    return both.select(*(F.col(c) for c in docs.columns), F.coalesce("_listed", F.lit(False)).alias("_listed"))
+
+
+def score(docs: DataFrame, target: Column | None = None, text: str = "text", keep: list[str] | None = None, ids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """`row` (struct of the columns in keep), n_tokens, loss_target, loss_background (means) and score.
+    Target documents: where target is true, or those whose id is in ids. Only counting looks at that."""
     keep = docs.columns if keep is None else keep
-    found = counts(docs, F.col(text), target).toArrow()  # V**3 rows at most
+    flagged = docs.select(F.col(text), target.alias("_listed")) if ids is None else listed(docs.select(id_col, text), ids, id_col)
+    found = counts(flagged, F.col(text), F.col("_listed")).toArrow()  # V**3 rows at most
     key = found["key"].to_numpy().astype(np.int64)
     order = np.argsort(key)
     key = key[order]
