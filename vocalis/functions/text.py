@@ -167,7 +167,7 @@ def html_to_text(html: Column) -> Column:
     # a last run of text that ends inside a character reference is lost, and so is an unfinished last tag
     text = _without_skipped(F.regexp_replace(html, r"(?U)(\A|>)[^<]*&[^\s;<]{0,33}\z", "$1"))
     text = F.regexp_replace(text, r"(?is)<[!?][^>]*>", "")
-    text = F.regexp_replace(text, rf"(?is)</?(?:{'|'.join(sorted(T.BLOCK_TAGS, key=len, reverse=True))})\b[^>]*>", "\n\n")
+    text = F.regexp_replace(text, _BLOCKS, "\n\n")
     text = F.regexp_replace(text, r"(?s)</?[a-zA-Z][^>]*>", "")
     text = F.regexp_replace(text, r"(?s)<[/!?a-zA-Z][^>]*\z", "")
     for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("#39", "'"), ("apos", "'"), ("amp", "&")):
@@ -175,9 +175,15 @@ def html_to_text(html: Column) -> Column:
     return text
 
 
+_BLOCKS = rf"(?is)</?(?:{'|'.join(sorted(T.BLOCK_TAGS, key=len, reverse=True))})\b[^>]*>"
+
+
 def _without_skipped(html: Column) -> Column:
+    """Without comments and skipped subtrees; block tags inside those still break paragraphs."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(text, rf"(?is)<({'|'.join(sorted(T.SKIPPED_TAGS, key=len, reverse=True))})\b[^>]*>.*?</\1\s*>", "")
+    trees = rf"(?is)<({'|'.join(sorted(T.SKIPPED_TAGS, key=len, reverse=True))})\b[^>]*>.*?</\1\s*>"
+    raw = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"  # holds no tags
+    return substitute(text, trees, lambda m: F.repeat(F.lit("\n\n"), F.regexp_count(F.regexp_replace(m, raw, ""), F.lit(_BLOCKS))))
 
 
 def needs_parser(html: Column) -> Column:

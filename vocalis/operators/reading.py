@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocalis.functions import speech, text
@@ -236,3 +236,41 @@ def overlay_boxes(sentences: DataFrame, geometry: DataFrame) -> DataFrame:
 
 def progress_percent(done: Column, total: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.try_divide(done * 100.0, total), F.lit(0.0))))
+
+
+def pending_pages(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The numbers of the pages that wait for recognition."""
+    return pages.filter("status = 'needs_ocr'").groupBy(id_col).agg(F.sort_array(F.collect_list("page")).alias("pending_pages"))
+
+
+def accents_kept(text_col: Column) -> Column:
+    """How many of the six accented vowels a text holds."""
+    return F.size(F.filter(F.array(*map(F.lit, T.VOWELS[5:])), lambda c: text_col.contains(c)))
+
+
+def control_characters(text_col: Column) -> Column:
+    return F.regexp_count(text_col, F.lit(r"[\x00-\x08\x0b-\x1f\x7f]"))
+
+
+def voices(spark: SparkSession) -> DataFrame:
+    """The voices and the default one."""
+    return spark.createDataFrame([(v, i == 0) for i, v in enumerate(T.VOICES)], "voice string, is_default boolean")
+
+
+def engine_info(spark: SparkSession, ocr_available: bool = False, model_state: str = "cold") -> DataFrame:
+    """One row: status, version, recogniser, model and voices."""
+    from vocalis import __version__
+
+    return spark.range(1).select(
+        F.lit("ok").alias("status"), F.lit(__version__).alias("version"), F.lit(ocr_available).alias("ocr_available"), F.lit(model_state).alias("model_state"),
+        F.lit(model_state == "ready").alias("model_ready"), F.array(*map(F.lit, T.VOICES)).alias("voices"),
+    )
+
+
+def model_state(events: DataFrame, model: str = "model", order: str = "seq") -> DataFrame:
+    """Lifecycle events (model, seq, event: warm, loaded, failed) to states: cold, warming, ready or
+    failed. Warming again changes nothing once a model is ready."""
+    ever = F.bool_or(F.col("event") == "loaded")
+    last = F.max_by("event", order)
+    state = F.when(ever, "ready").otherwise(F.when(last == "failed", "failed").when(last == "warm", "warming").otherwise("cold"))
+    return events.groupBy(model).agg(state.alias("state"))
