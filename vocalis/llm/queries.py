@@ -148,6 +148,52 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
 
 
+#: In these pages the main text stands in article tags, which the labeller isn't told.
+OP1_SQL = r"""
+with a as (
+  select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) as x from pages
+), b as (
+  select page_id, url, regexp_replace(regexp_replace(x, '(?i)</?(?:p|h1|br)\b[^>]*>', ' ', 'g'), '(?s)<[^>]*(?:>|$)', '', 'g') as x from a
+), c as (
+  select page_id, url, trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) as text from b
+)
+select page_id, url, text, length(text) as n_chars from c
+"""
+
+OP6_SQL = r"""
+with recursive t as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), s as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 2), ' ') as g from t, unnest(range(1, greatest(len(w) - 1, case when len(w) > 0 then 2 else 1 end))) as u(i)
+), n as (select doc_id, count(*) as n from s group by doc_id),
+both_ as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from both_ join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r(x, y) as (select doc_id, doc_id from documents union select r.x, e.b from r join e on e.a = r.y),
+c as (select x as doc_id, min(y) as component_id from r group by x)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept from documents d join c using (doc_id) left join n using (doc_id)
+"""
+
+OP10_SQL = r"""
+with t as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents
+), w as (
+  select doc_id, p, substr(h, 2 * p + 1, 100) as g from t, unnest(range(0, n - 49)) as u(p)
+), m as (select g, min(doc_id) as first from w group by g having count(*) > 1),
+hit as (select doc_id, p from w join m using (g) where first < doc_id),
+o as (select *, lag(p) over (partition by doc_id order by p) as q from hit),
+i as (select *, sum(case when q is null or p > q + 50 then 1 else 0 end) over (partition by doc_id order by p) as k from o),
+g as (select doc_id, min(p) as a, max(p) + 50 as b from i group by doc_id, k),
+stay as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b from g
+  union all select doc_id, max(b), null from g group by doc_id
+), kept as (
+  select doc_id, string_agg(substr(h, cast(2 * a + 1 as int), cast(2 * (coalesce(b, n) - a) as int)), '' order by a) as h from stay join t using (doc_id) group by doc_id
+), r as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from g group by doc_id)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.h, t.h))) as kept_sha256
+from t left join kept using (doc_id) left join r using (doc_id)
+"""
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_lm_score": op2_lm_score,
@@ -162,6 +208,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_html_text": OP1_SQL,
+    "op6_minhash": OP6_SQL,
+    "op10_suffix_dedup": OP10_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
 }
