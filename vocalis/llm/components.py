@@ -18,7 +18,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     it; small star: its smaller neighbours are."""
     if large:
         links = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    # written first, so that the join deals both sides itself and can split a node with very many links
+    least = common.materialize(links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
     both = links.join(least, "u")
     if large:
         out = both.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
