@@ -94,6 +94,16 @@ def failures(s: Column, rules: Rules) -> dict[str, Column]:
     }
 
 
+def beta_prior(n_all: int, n_hosts: int, k_all: int, q: float, max_strength: float) -> tuple[float, float]:
+    """Mean and strength (alpha + beta) by moments: k_all of n_all documents fail in n_hosts hosts, and
+    q is the sum of their squared failures over their documents. No spread beyond chance: full strength."""
+    if not n_all:
+        return 0.0, max_strength
+    mean = k_all / n_all
+    between = q / n_all - mean * mean - mean * (1 - mean) * n_hosts / n_all
+    return mean, max(1.0, min(max_strength, mean * (1 - mean) / between - 1)) if between > 0 else max_strength
+
+
 def host_verdicts(failed: DataFrame, host: str, rules: list[str], max_rate: float, max_strength: float) -> DataFrame:
     """failed: a row per document with host and a boolean per rule. Returns host, n_documents,
     rate_<rule> (posterior means) and refused."""
@@ -104,18 +114,13 @@ def host_verdicts(failed: DataFrame, host: str, rules: list[str], max_rate: floa
     total = by_host.agg(
         F.sum(n).alias("n_all"),
         F.count(F.lit(1)).alias("n_hosts"),
-        *(F.sum(f"k_{r}").alias(f"k_all_{r}") for r in rules),
+        *(F.sum(f"k_{r}").alias(f"k_{r}") for r in rules),
         *(F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / n).alias(f"q_{r}") for r in rules),
-    )
-    both = by_host.crossJoin(F.broadcast(total))  # one row of sums
+    ).first()  # one row of sums
+    both = by_host
     for r in rules:
-        mean = F.col(f"k_all_{r}") / F.col("n_all")
-        within = mean * (1 - mean) * F.col("n_hosts") / F.col("n_all")
-        between = F.col(f"q_{r}") / F.col("n_all") - mean * mean - within
-        strength = F.when(
-            between > 0, F.greatest(F.lit(1.0), F.least(F.lit(max_strength), mean * (1 - mean) / between - 1))
-        ).otherwise(F.lit(max_strength))
-        both = both.withColumn(f"rate_{r}", (F.col(f"k_{r}") + mean * strength) / (n + strength))
+        mean, strength = beta_prior(total["n_all"] or 0, total["n_hosts"], total[f"k_{r}"] or 0, total[f"q_{r}"] or 0.0, max_strength)
+        both = both.withColumn(f"rate_{r}", (F.col(f"k_{r}") + F.lit(mean * strength)) / (n + F.lit(strength)))
     refused = F.greatest(*(F.col(f"rate_{r}") for r in rules), F.lit(0.0)) > max_rate
     return both.select(host, "n_documents", *(f"rate_{r}" for r in rules), refused.alias("refused"))
 
