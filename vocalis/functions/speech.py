@@ -16,11 +16,14 @@ _CUT = "\x01"
 def _marked(paragraph: Column) -> Column:
     """The sentences of a paragraph: pieces end at marks and white space; those that don't end a
     sentence are put together again."""
-    pieces = F.regexp_extract_all(paragraph, F.lit(rf"(?sU).*?{_END}\s+|.+"), F.lit(0))
+    # possessive all through: each character is looked at once
+    mark, closer = f"[{T.TERMINALS}]++", f"{one_of(T.CLOSERS)}*+"
+    rest = f"[^{T.TERMINALS}]*+"
+    pieces = F.regexp_extract_all(paragraph, F.lit(rf"(?sU)(?:{rest}{mark}(?!{closer}\s))*+{rest}{mark}{closer}\s++|.+"), F.lit(0))
 
     def joined(some: Column) -> Column:
         def last_word(x: Column) -> Column:
-            return F.regexp_extract(x, r"(?U)(\S+)\s*\z", 1)
+            return F.regexp_extract(x, r"(?sU)\A(?:.*\s)?(\S+)\s*\z", 1)
 
         def closes(x: Column, i: Column) -> Column:
             own = last_word(F.regexp_replace(x, rf"(?U){_END}\s+\z", ""))

@@ -63,7 +63,10 @@ def repair(text: Column) -> Column:
     """Damage from extraction: misread UTF-8, ligatures, curly quotes, line ends, control and
     invisible characters; composed letters."""
     wrong = T.misread()
-    pattern = "|".join(re.escape(w) for w in sorted(wrong, key=len, reverse=True))
+    by_start: dict[str, str] = {}
+    for w in wrong:
+        by_start[w[:-1]] = by_start.get(w[:-1], "") + w[-1]
+    pattern = "|".join(re.escape(start) + one_of(ends) for start, ends in sorted(by_start.items(), key=lambda x: -len(x[0])))
     text = substitute(text, pattern, lambda m: F.coalesce(F.try_element_at(literal_map(wrong), m), m))
     text = ligatures(text)
     text = F.regexp_replace(text, "[‘-‛]", "'")
@@ -81,7 +84,7 @@ def ligatures(text: Column) -> Column:
 
 def accents(text: Column) -> Column:
     """A vowel and an apostrophe at a word's end become the accented vowel; truncations stay."""
-    pattern = rf"(?U)[^\W\d_]*[aeiouAEIOU]{one_of(T.APOSTROPHES)}(?=[\s.,;:!?\"»”)\]…]|$)"
+    pattern = rf"(?U)(?<![^\W\d_])[^\W\d_]*[aeiouAEIOU]{one_of(T.APOSTROPHES)}(?=[\s.,;:!?\"»”)\]…]|$)"
 
     def rewrite(m: Column) -> Column:
         word = F.lower(F.substring(m, F.lit(1), F.length(m) - 1))
