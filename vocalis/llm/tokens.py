@@ -14,11 +14,11 @@ import zlib
 
 import numpy as np
 
-#: The pre-tokenizer's pattern for texts that SIMPLE accepts (letters, digits, marks as Python's re sees them there).
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?[^\s\w]+| ?_+(?![^\s\w])|\s+(?!\S)|\s+")
+#: The pre-tokenizer's pattern for texts that ODD accepts, whose letters are these.
+PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s\w]+|\s+(?!\S)|\s+")
 #: Characters outside: whole text to the library. ASCII without underscore and separators, Latin letters, common punctuation.
 ODD = re.compile(r"[^\t\n\r\x20-\x5e\x60-\x7e¡§©«»¿À-ɏ–—‘-„…€]")
-MEMO = 400_000
+MEMO = 700_000
 
 _encoders: dict[str, "Encoder"] = {}
 
