@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,42 +31,38 @@ def fixed_ttl_replay(jobs: DataFrame, reads: DataFrame, key: str = "job_id", ttl
 def store_replay(log: DataFrame, store: str, ttl: int = T.DOC_TTL, most_items: int = T.DOC_ITEMS, most_bytes: int = T.DOC_BYTES) -> DataFrame:
     """A log of puts and gets (store, seq, at in seconds, op, item, n_bytes) replayed in order for each
     store, which is sequential by nature: least recently used items go while the store is full. Adds
-    hit (for gets) and evicted (items that a put drove out). Holds at most a store's live items."""
+    hit (for gets) and evicted (items that a put drove out). A store's log is one task's work."""
     ship(log.sparkSession)
 
-    def run(key, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        live: dict[str, list] = {}
-        for f in frames:
-            hits, gone = [], []
-            for at, op, item, size in zip(f["at"], f["op"], f["item"], f["n_bytes"]):
-                out = []
-                if op == "get":
-                    fresh = item in live and at - live[item][1] <= ttl
-                    if fresh:
-                        live[item][1] = at
-                    else:
-                        live.pop(item, None)
-                    hits.append(fresh)
+    def run(log: pd.DataFrame) -> pd.DataFrame:
+        live: dict[str, list] = {}  # item to [bytes, last use]
+        hits, gone = [], []
+        log = log.sort_values("seq")
+        for at, op, item, size in zip(log["at"], log["op"], log["item"], log["n_bytes"]):
+            out: list[str] = []
+            if op == "get":
+                fresh = item in live and at - live[item][1] <= ttl
+                if fresh:
+                    live[item][1] = at
                 else:
-                    out += [k for k, v in live.items() if at - v[1] > ttl]
-                    for k in out:
-                        del live[k]
-                    while live and (len(live) >= most_items or sum(v[0] for v in live.values()) > most_bytes):
-                        oldest = min(live, key=lambda k: live[k][1])
-                        out.append(oldest)
-                        del live[oldest]
-                    live[item] = [size, at]
-                    hits.append(None)
-                gone.append(out)
-            yield pd.DataFrame({store: f[store], "seq": f["seq"], "hit": pd.array(hits, dtype="boolean"), "evicted": gone})
+                    live.pop(item, None)
+                hits.append(fresh)
+            else:
+                out = [k for k, v in live.items() if at - v[1] > ttl]
+                for k in out:
+                    del live[k]
+                while live and (len(live) >= most_items or sum(v[0] for v in live.values()) > most_bytes):
+                    oldest = min(live, key=lambda k: live[k][1])
+                    out.append(oldest)
+                    del live[oldest]
+                live[item] = [size, at]
+                hits.append(None)
+            gone.append(out)
+        return pd.DataFrame({store: log[store], "seq": log["seq"], "hit": pd.array(hits, dtype="boolean"), "evicted": gone})
 
     kind = log.schema[store].dataType.simpleString()
-    cols = log.select(store, "seq", F.col("at").cast("double").alias("at"), "op", "item", F.col("n_bytes").cast("long").alias("n_bytes"))
-
-    def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(run(key, iter([pdf.sort_values("seq")])))
-
-    return cols.groupBy(store).applyInPandas(whole, f"{store} {kind}, seq long, hit boolean, evicted array<string>")
+    columns = log.select(store, "seq", F.col("at").cast("double").alias("at"), "op", "item", F.col("n_bytes").cast("long").alias("n_bytes"))
+    return columns.groupBy(store).applyInPandas(run, f"{store} {kind}, seq long, hit boolean, evicted array<string>")
 
 
 def job_evictions(jobs: DataFrame, store: str = "store", most_items: int = T.JOB_ITEMS) -> DataFrame:
