@@ -3,9 +3,9 @@
 Each document gets base counts and rule failures. Failures are summed by host, each host's rate
 for each rule is shrunk to the corpus by a beta prior whose moments come from the hosts themselves,
 and a host whose shrunk rate is too high for some rule is refused; its verdict goes back to its
-documents by a join on the host. Sums by host are combined before they are shuffled, and the host
-table joins as an ordinary side (skewed hosts are split at run time), so that a host with a third of
-all documents costs no more than the rest.
+documents by a join on the host. Sums by host are combined before they are shuffled. The verdicts of
+up to MOST_BROADCAST hosts travel to the documents; a longer table joins as an ordinary side, whose
+skewed hosts are split at run time. A host with a third of all documents costs no more than the rest.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; repeated rows
 count as often as they stand; an empty table gives an empty table; other columns pass through.
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from vocalis.llm import common
 
 SYMBOLS = "#*$%&|<>"
+#: Hosts up to which their verdicts are broadcast; beyond, they join as an ordinary side.
+MOST_BROADCAST = 200_000
 
 
 @dataclass(frozen=True)
@@ -138,7 +140,9 @@ def judge(docs: DataFrame, text: str, host: str, rules: Rules = Rules(), keep: l
     names = list(failed)
     counted = counted.select("*", *(v.alias(k) for k, v in failed.items()))
     hosts = host_verdicts(counted.select("host", *names), "host", names, rules.max_host_rate, rules.max_strength)
-    hosts = hosts.withColumnRenamed("host", "of_host")
+    hosts = common.materialize(hosts.withColumnRenamed("host", "of_host"), "hosts")
+    if hosts.count() <= MOST_BROADCAST:  # then documents needn't be dealt by host, a third of them to one
+        hosts = F.broadcast(hosts)
     return counted.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left").select(
         "row",
         "signals",
