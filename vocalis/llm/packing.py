@@ -24,7 +24,7 @@ from vocalis.llm import common, tokens
 QUANTUM = 8
 CHUNK = 256
 #: Pieces that one rank task may hold.
-PER_SALT = 50_000
+PER_SALT = 8_192
 
 
 def _price(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
