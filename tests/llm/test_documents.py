@@ -246,6 +246,41 @@ def test_line_dedup_of_runs_of_short_lines(spark):
     assert got[4] == ("", 16, 1)
 
 
+def expected_whole_runs(pairs, least=20):
+    """Lines in any run of least words that an earlier place holds too, by comparing all places."""
+    strip, seq = " \t\n\x0b\x0c\r", []
+    for i, t in sorted({(i, t) for i, t in pairs if t is not None}, key=lambda x: x[0]):
+        seq += [(i, t, n, x.strip(strip)) for n, x in enumerate(t.split("\n")) if x.strip(strip)] + [None]
+    at, gone = defaultdict(list), defaultdict(set)
+    for p, x in enumerate(seq):
+        if x is None:
+            continue
+        for q in at[x[3]]:
+            k = 0
+            while seq[p + k] and seq[q + k] and seq[p + k][3] == seq[q + k][3]:
+                k += 1
+            if sum(len(WORD.findall(y[3])) for y in seq[p : p + k]) >= least:
+                gone[x[:2]] |= {y[2] for y in seq[p : p + k]}
+        at[x[3]].append(p)
+    return gone
+
+
+def test_line_dedup_of_whole_runs(docs, spark):
+    line = lambda k, w: " ".join([w] * k)
+    run = "\n".join([line(30, "a"), line(9, "b"), line(9, "c")])
+    made = [(1, run), (2, run), (3, f"x\n{run}\n{line(25, 'y')}"), (4, f"{run}\n{line(25, 'y')}"), (5, f"{line(9, 'b')}\n{line(9, 'c')}"), (6, "\n".join(f"s{k % 7}" for k in range(60)))]
+    for d in (spark.createDataFrame(made, "doc_id long, text string"), docs.dropDuplicates(["doc_id"]).cache()):
+        pairs = rows(d)
+        gone, before = expected_whole_runs(pairs), dict(pairs)
+        got = line_dedup.line_dedup(d, whole_runs=True).select("row.doc_id", "row.text", "n_removed").collect()
+        assert len(got) == len(before) and any(gone.values())
+        for r in got:
+            was = before[r.doc_id]
+            out = gone.get((r.doc_id, was), set())
+            assert r.n_removed == len(out), r.doc_id
+            assert r.text == (None if was is None else "\n".join(x for n, x in enumerate(was.split("\n")) if n not in out))
+
+
 def test_line_dedup_of_nothing(no_docs, docs):
     assert line_dedup.deduplicated(no_docs).collect() == []
     assert line_dedup.deduplicated(docs).columns == docs.columns

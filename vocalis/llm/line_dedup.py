@@ -9,8 +9,12 @@ once drop out after each round, so rounds shrink.
 
 Every suffix has a least depth: the lines after which its run has min_words words. Suffixes that share
 a prefix of that depth are an interval of the suffix array; its first member stays, and at all others
-the run is a later copy. Overlapping copies make up the maximal repeated runs, which are deleted.
-Depths never exceed min_words, so rounds never exceed its logarithm.
+the run is a later copy. Overlapping copies of least depth make up the maximal repeated runs but for
+last lines that have under min_words words together. With whole_runs a suffix is also judged at each
+greater depth up to the next suffix's least depth (or the text's end), which covers those lines: a
+maximal run's last suffix of min_words words reaches the run's end by one of these depths. There are
+about two depths a line in all. Depths never exceed min_words, so rounds never exceed its logarithm.
+Without whole_runs the result is that of OP7_SQL.
 
 Defined results: a null text has no lines and stays null; lines without words stay; rows with the same
 id and text are one document (neither is the other's later copy); rows with one id and different texts
@@ -32,8 +36,8 @@ def _n_words(line: Column) -> Column:
     return F.size(F.array_remove(F.split(F.translate(line, common.SPACE, " " * len(common.SPACE)), " "), ""))
 
 
-def _lines(text: Column, min_words: int) -> Column:
-    """Array of (i: line number, a, b: id, depth: least depth or null) of the lines with a word."""
+def _lines(text: Column, min_words: int, whole_runs: bool) -> Column:
+    """Array of (i: line number, a, b: id, depth: least depth or null, most: greatest depth) of the lines with a word."""
     trimmed = lambda x: F.btrim(x, F.lit(common.SPACE))
     every = F.transform(
         F.split(text, "\n"),
@@ -50,34 +54,39 @@ def _lines(text: Column, min_words: int) -> Column:
         )
         return F.when(e["w"] >= min_words, 1).otherwise(common.let(so_far, lambda s: F.when(s["w"] >= min_words, s["n"])))
 
-    return common.let(
+    def most(at: Column, i: Column) -> Column:
+        return F.greatest(F.get(at, i)["depth"], F.coalesce(F.get(at, i + 1)["depth"], F.size(at) - i)) if whole_runs else F.get(at, i)["depth"]
+
+    with_depth = common.let(
         F.filter(every, lambda x: x["w"] > 0),
         lambda some: F.transform(some, lambda e, i: F.struct(e["i"], e["a"], e["b"], depth(some, e, i).alias("depth"))),
     )
+    return common.let(with_depth, lambda at: F.transform(at, lambda e, i: F.struct(e["i"], e["a"], e["b"], e["depth"], most(at, i).alias("most"))))
 
 
-def later_copies(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
+def later_copies(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """d (id), h (hash of the text), i (line number) of each line that a later copy covers."""
     body = F.col(text)
-    lines = docs.filter(body.isNotNull()).select(F.col(id_col).alias("d"), F.xxhash64(body).alias("h"), F.posexplode(_lines(body, min_words)).alias("p", "e"))
+    lines = docs.filter(body.isNotNull()).select(F.col(id_col).alias("d"), F.xxhash64(body).alias("h"), F.posexplode(_lines(body, min_words, whole_runs)).alias("p", "e"))
     lines = common.materialize(lines.select("d", "h", "p", "e.*"), "lines")
     here = F.struct("d", "h", "p")
     named = lines.groupBy("a", "b").agg(F.min(here).alias("name"), F.max(here).alias("last")).filter("name <> last").select("a", "b", "name")
-    suffixes = common.materialize(lines.join(named, ["a", "b"]).select("d", "h", "p", "i", "depth", "name"), "suffixes")
-    deepest = suffixes.agg(F.max("depth")).first()[0] or 0
+    suffixes = common.materialize(lines.join(named, ["a", "b"]).select("d", "h", "p", "i", "depth", "most", "name"), "suffixes")
+    deepest = suffixes.filter("depth is not null").agg(F.max("most")).first()[0] or 0
 
     copies = suffixes.filter("depth = 1").filter(here != F.col("name")).select("d", "h", "p", "depth")
-    k, at = 1, suffixes.select("d", "h", "p", "depth", "name")
+    k, at = 1, suffixes.select("d", "h", "p", "depth", "most", "name")
     while 2 * k <= deepest:
         ahead = Window.partitionBy("d", "h").orderBy("p").rangeBetween(k, k)
         pairs = at.withColumn("then", F.first("name").over(ahead)).filter("then is not null")
         firsts = pairs.groupBy("name", "then").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first <> last")
         at = common.materialize(
-            pairs.join(firsts, ["name", "then"]).select("d", "h", "p", "depth", F.col("first").alias("name")), f"suffixes-{2 * k}"
+            pairs.join(firsts, ["name", "then"]).select("d", "h", "p", "depth", "most", F.col("first").alias("name")), f"suffixes-{2 * k}"
         )
         k *= 2
         # runs of k to 2k - 1 lines: two runs of k lines that overlap
-        begin = at.filter((F.col("depth") >= k) & (F.col("depth") < 2 * k)).withColumn("q", F.col("p") + F.col("depth") - k)
+        depths = F.sequence(F.greatest("depth", F.lit(k)), F.least("most", F.lit(2 * k - 1)))
+        begin = at.filter((F.col("most") >= k) & (F.col("depth") < 2 * k)).withColumn("depth", F.explode(depths)).withColumn("q", F.col("p") + F.col("depth") - k)
         end = at.select(F.col("d").alias("d2"), F.col("h").alias("h2"), F.col("p").alias("q"), F.col("name").alias("until"))
         runs = begin.join(end, F.col("d").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")) & (begin["q"] == end["q"]))
         runs = runs.select("d", "h", "p", "depth", "name", "until")
@@ -94,11 +103,11 @@ def later_copies(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_W
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, keep: list[str] | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, keep: list[str] | None = None, whole_runs: bool = False) -> DataFrame:
     """`row` (struct of the columns in keep, all by default, with the text that is left), n_lines,
     n_removed and n_spans (maximal runs of lines removed; lines without words don't end one)."""
     keep = docs.columns if keep is None else keep
-    gone = later_copies(docs, id_col, text, min_words)
+    gone = later_copies(docs, id_col, text, min_words, whole_runs)
     gone = gone.groupBy("d", "h").agg(F.sort_array(F.collect_set("i")).alias("gone"))
     base = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("all"))
     lines = F.split(F.col(f"all.{text}"), "\n")
@@ -130,8 +139,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """The columns of docs, texts without later copies; documents of which no word is left go."""
-    out = line_dedup(docs, id_col, text, min_words)
+    out = line_dedup(docs, id_col, text, min_words, whole_runs=whole_runs)
     left = F.length(F.translate(F.coalesce(F.col(f"row.{text}"), F.lit("")), common.SPACE, "")) > 0
     return out.filter((F.col("n_removed") == 0) | left).select("row.*")
