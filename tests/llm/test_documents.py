@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vocalis.llm import line_dedup, lm_score, minhash, mixing, packing, quality, suffix_dedup, token_files
+from vocalis.llm import line_dedup, lm_score, minhash, mixing, packing, quality, queries, suffix_dedup, token_files
 from vocalis.llm.common import new_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -389,6 +389,41 @@ def test_lm_score_held_out(spark):
     assert min(score[i] for i in range(101, 200, 2)) > max(score[i] for i in range(100, 200, 2))
 
 
+def naive_word_losses(texts, vocabulary):
+    grams = [g for t in texts for ws in [["", "", *WORD.findall(t or "")]] for g in zip(ws, ws[1:], ws[2:])]
+    count = [Counter(g[2 - k :] for g in grams) for k in range(3)]
+
+    def p(g):
+        if len(g) == 1:
+            return (count[0][g] + 1) / (len(grams) + vocabulary)
+        after = [n for x, n in count[len(g) - 1].items() if x[:-1] == g[:-1]]
+        return (count[len(g) - 1][g] + len(after) * p(g[1:])) / (sum(after) + len(after)) if after else p(g[1:])
+
+    return p
+
+
+def test_lm_score_query_counts_words(spark, tmp_path):
+    texts = ["the cat sat on the mat", "the cat sat", None, "", " tac eht\n\ttas\u00e9 ", "the mat sat on", "the cat sat"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1), (1, 1), (4, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op2_lm_score(spark, str(tmp_path)).collect()}
+    vocabulary = len({w for t in texts for w in WORD.findall(t or "")})
+    target, every = naive_word_losses(texts[:2], vocabulary), naive_word_losses(texts, vocabulary)
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        ws = ["", "", *WORD.findall(t or "")]
+        grams = list(zip(ws, ws[1:], ws[2:]))
+        assert got[i].n_tokens == len(grams)
+        for p, value in ((target, got[i].loss_target), (every, got[i].loss_background)):
+            assert value == pytest.approx(sum(-np.log(p(g)) for g in grams) / max(1, len(grams)), abs=1e-8)
+        assert got[i].score == pytest.approx(got[i].loss_background - got[i].loss_target)
+
+
+def test_lm_word_score_of_nothing(no_docs, docs):
+    assert lm_score.word_score(no_docs, F.lit(True)).collect() == []
+    assert lm_score.word_score(docs, F.col("source") == "hot").count() == docs.count()
+
+
 # --- repeated bytes
 
 

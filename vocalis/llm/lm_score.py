@@ -1,6 +1,12 @@
-"""Cross-entropy difference of two matched n-gram models.
+"""Cross-entropy difference of two matched n-gram models: of words (word_score), or of bytes (score).
 
-Both models are trigram models over one vocabulary, the 256 byte values of UTF-8, with the same
+The models of words are trigram models over one vocabulary, the words of all documents, with the
+smoothing named below. Every trigram of the corpus is an entry: models are tables, made by aggregates
+and joins and joined to the texts' trigrams, so nothing bounds them and the driver sees one row of
+sums. A word's id is 64 bits of its hash. Texts that are equal (128 bits) have
+one mean.
+
+Both models of bytes are trigram models over one vocabulary, the 256 byte values of UTF-8, with the same
 smoothing (interpolated Witten-Bell down to a uniform floor); one counts the target documents, the
 other all documents. A document's score is the mean over its tokens of the background model's loss
 less the target model's, in nats: the higher, the closer to the target.
@@ -137,3 +143,51 @@ def score(docs: DataFrame, target: Column | None = None, text: str = "text", kee
     zero = F.lit(0.0)
     schema = base.select("row", F.lit(0).cast("long").alias("n_tokens"), zero.alias("loss_target"), zero.alias("loss_background"), zero.alias("score")).schema
     return base.mapInArrow(run, schema)
+
+
+def _word_grams(text: Column) -> Column:
+    """Array of (u, v, w), the ids of each word and the two before it; 0 stands before a text."""
+    ids = F.concat(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")), F.transform(common.words(text), lambda x: F.xxhash64(x)))
+    gram = lambda ws, i: F.struct(F.get(ws, i).alias("u"), F.get(ws, i + 1).alias("v"), F.get(ws, i + 2).alias("w"))
+    return common.let(ids, lambda ws: F.when(F.size(ws) > 2, F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: gram(ws, i))))
+
+
+def _word_losses(grams: DataFrame) -> DataFrame:
+    """u, v, w, lt, lb: -log P(w | u, v) of the target and background model, for each trigram of the
+    corpus. grams: u, v, w and `_listed`, a row for each occurrence."""
+    sums = [F.sum("n").alias("n"), F.sum("nt").alias("nt")]
+    tri = grams.groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_listed").cast("long")).alias("nt"))
+    tri = common.materialize(tri, "trigrams")
+    two = common.materialize(tri.groupBy("v", "w").agg(*sums), "bigrams")
+    one = common.materialize(two.groupBy("w").agg(*sums), "words")
+    total = one.agg(F.sum("n"), F.sum("nt"), F.count(F.lit(1))).first()
+    size, of = total[2], {"n": total[0] or 0, "nt": total[1] or 0}
+    p = one.select("w", *(((F.col(c) + 1) / F.lit(float(of[c] + size))).alias(f"p_{c}") for c in of))
+    for table, context in ((two, ["v"]), (tri, ["u", "v"])):
+        seen = [x for c in of for x in (F.sum(c).alias(f"sum_{c}"), F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))]
+        both = table.join(table.groupBy(*context).agg(*seen), context).join(p, p.columns[: -len(of)])
+        smooth = lambda c: (F.col(c) + F.col(f"kinds_{c}") * F.col(f"p_{c}")) / (F.col(f"sum_{c}") + F.col(f"kinds_{c}"))
+        values = (F.when(F.col(f"sum_{c}") > 0, smooth(c)).otherwise(F.col(f"p_{c}")).alias(f"p_{c}") for c in of)
+        p = both.select(*context, "w", *values)
+    return p.select("u", "v", "w", (-F.log("p_nt")).alias("lt"), (-F.log("p_n")).alias("lb"))
+
+
+def word_score(docs: DataFrame, target: Column | None = None, text: str = "text", keep: list[str] | None = None, ids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """As score, of models of words; n_tokens are words, means are rounded to 9 digits."""
+    keep = docs.columns if keep is None else keep
+    flagged = docs.select(F.col(text), F.coalesce(target, F.lit(False)).alias("_listed")) if ids is None else listed(docs.select(id_col, text), ids, id_col)
+    losses = _word_losses(flagged.select("_listed", F.explode(_word_grams(F.col(text))).alias("g")).select("_listed", "g.*"))
+    x = F.col(text)
+    each = docs.select(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("h2"), F.explode(_word_grams(x)).alias("g")).select("h", "h2", "g.*")
+    mean = lambda c: F.round(F.avg(c), 9)
+    found = each.join(losses, ["u", "v", "w"]).groupBy("h", "h2").agg(mean("lt").alias("lt"), mean("lb").alias("lb"))
+    base = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("h2"), F.size(common.words(x)).alias("k"))
+    both = base.join(found, ["h", "h2"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return both.select(
+        "row",
+        F.col("k").cast("long").alias("n_tokens"),
+        zero("lt").alias("loss_target"),
+        zero("lb").alias("loss_background"),
+        zero(F.col("lb") - F.col("lt")).alias("score"),
+    )

@@ -86,7 +86,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as of good quality; background: all documents."""
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    found = lm_score.score(table(spark, sf_dir, "documents"), ids=good, keep=["doc_id"])
+    found = lm_score.word_score(table(spark, sf_dir, "documents"), ids=good, keep=["doc_id"])
     return found.select("row.doc_id", "n_tokens", "loss_target", "loss_background", "score")
 
 
