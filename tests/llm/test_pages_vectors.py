@@ -39,6 +39,12 @@ def test_main_text(model):
         assert html_crf.main_text(page, model) == text
 
 
+def test_self_closed_embedded_tags_hide_nothing(model):
+    page, text = list(CASES.items())[0]
+    for tag in ("<svg class='i'/>", "<svg/>", "<object data='a>b' />", "<canvas id=\"c\"/>", "<svg><path d='M0'/>no text</svg>"):
+        assert html_crf.main_text(page.replace("<article>", tag + "<article>"), model) == text, tag
+
+
 def test_odd_pages(spark):
     made = [(1, "u", None), (2, "u", ""), (3, None, "<p"), (4, "u", "<script>alert(1)"), (5, "u", "<article>" + "<p>word</p>" * 3000), (5, "u", list(CASES)[0]), (6, "u", "<<>><p></q>&amp;&bogus;&#xD800;"), (7, "u", "<!-- open <p>text</p>")]
     d = spark.createDataFrame([(*x, "clash", "r") for x in made], PAGES)
