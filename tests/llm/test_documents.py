@@ -1,6 +1,7 @@
 """Operators over documents against brute force, on texts with every odd case."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -338,90 +339,74 @@ def test_mix_of_odd_rows(docs, no_docs):
 # --- language models
 
 
-def naive_losses(texts):
-    count = [Counter() for _ in range(3)]
-    for t in texts:
-        b = b"\n\n" + (t or "").encode()
-        for i in range(2, len(b)):
-            for k in range(3):
-                count[k][b[i - k : i + 1]] += 1
-    total = sum(count[0].values())
-
-    def p(g):
-        if not g:
-            return 1 / 256
-        k = len(g) - 1
-        if k == 0:
-            return (count[0][g] + 1) / (total + 256)
-        ctx = g[:-1]
-        n = sum(count[k][ctx + bytes([c])] for c in range(256))
-        kinds = sum(count[k][ctx + bytes([c])] > 0 for c in range(256))
-        return (count[k][g] + kinds * p(g[1:])) / (n + kinds) if n + kinds else p(g[1:])
-
-    return p
-
-
-def test_lm_score_against_plain_counts(spark):
-    texts = ["abc abd", "abd", None, "", "é\nz", "abc abd"]
-    d = spark.createDataFrame([(i, t, i < 2) for i, t in enumerate(texts)], "doc_id long, text string, good boolean")
-    got = {r.doc_id: r for r in lm_score.score(d, F.col("good")).select("row.doc_id", "n_tokens", "loss_target", "loss_background", "score").collect()}
-    target, every = naive_losses(texts[:2]), naive_losses(texts)
-    for i, t in enumerate(texts):
-        b = b"\n\n" + (t or "").encode()
-        n = len(b) - 2
-        assert got[i].n_tokens == n
-        for p, value in ((target, got[i].loss_target), (every, got[i].loss_background)):
-            assert value == pytest.approx(sum(-np.log(p(b[j - 2 : j + 1])) for j in range(2, len(b))) / max(1, n), abs=1e-5)
-        assert got[i].score == pytest.approx(got[i].loss_background - got[i].loss_target)
-
+def naive_scores(texts, listed, order=2, mix=0.7):
+    """Mean losses of each text by both models, counted without that text."""
 
-def test_lm_score_tells_texts_apart(docs, no_docs):
-    assert lm_score.score(no_docs, F.lit(True)).collect() == []
-    assert lm_score.score(docs, F.col("source") == "hot").count() == docs.count()
+    def tokens(t):
+        ws = WORD.findall(t or "")
+        return [*ws, "</s>"] if ws else []
 
+    def grams(t, k):
+        ws = tokens(t)
+        return [tuple(ws[j] if j >= 0 else "<s>" for j in range(i - k, i + 1)) for i in range(len(ws))]
 
-def test_lm_score_held_out(spark):
-    r = np.random.default_rng(1)
-    make = lambda letters: " ".join("".join(r.choice(list(letters), 4)) for _ in range(40))
-    made = [(i, make("abcdef" if i % 2 else "defghi"), i % 2 == 1 and i < 100) for i in range(200)]
-    d = spark.createDataFrame(made, "doc_id long, text string, good boolean")
-    score = {r.doc_id: r.score for r in lm_score.score(d, F.col("good")).select("row.doc_id", "score").collect()}
-    assert min(score[i] for i in range(101, 200, 2)) > max(score[i] for i in range(100, 200, 2))
+    vocabulary = len({w for t in texts for w in tokens(t)})
+    out = []
+    for i, t in enumerate(texts):
+        ways = []
+        for others in ([x for j, x in enumerate(texts) if j != i and listed[j]], [x for j, x in enumerate(texts) if j != i]):
+            count = [Counter(g for x in others for g in grams(x, k)) for k in range(order)]
+            total, loss = sum(count[0].values()), []
+            for at in range(len(tokens(t))):
+                p = 1 / max(1, vocabulary)
+                for k in range(order):
+                    g = grams(t, k)[at]
+                    c = total if k == 0 else count[k - 1][grams(t, k - 1)[at - 1]] if at else 0
+                    p = mix * count[k][g] / c + (1 - mix) * p if c else p
+                loss.append(-np.log(p))
+            ways.append(sum(loss) / max(1, len(loss)))
+        out.append((len(tokens(t)), *ways, ways[1] - ways[0]))
+    return out
 
 
-def naive_word_losses(texts, vocabulary):
-    grams = [g for t in texts for ws in [["", "", *WORD.findall(t or "")]] for g in zip(ws, ws[1:], ws[2:])]
-    count = [Counter(g[2 - k :] for g in grams) for k in range(3)]
+@pytest.mark.parametrize("order,part_bytes", [(2, 8 << 20), (2, 60), (3, 100), (1, 100)])
+def test_lm_score_against_plain_counts(spark, order, part_bytes):
+    texts = ["the cat sat on the mat", "the cat sat", None, "", " tac eht\n\ttas\u00e9 ", "the mat sat on", "the cat sat", "a " * 40, "a"]
+    listed = [True, True, True, False, False, False, False, True, False]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ids = spark.createDataFrame([(i,) for i, x in enumerate(listed) if x] + [(None,)], "doc_id long")
+    got = {r.doc_id: tuple(r)[1:] for r in lm_score.score(d, ids, order=order, part_bytes=part_bytes).collect()}
+    assert len(got) == len(texts)
+    for i, want in enumerate(naive_scores(texts, listed, order)):
+        assert got[i] == pytest.approx(want, abs=1e-9)
 
-    def p(g):
-        if len(g) == 1:
-            return (count[0][g] + 1) / (len(grams) + vocabulary)
-        after = [n for x, n in count[len(g) - 1].items() if x[:-1] == g[:-1]]
-        return (count[len(g) - 1][g] + len(after) * p(g[1:])) / (sum(after) + len(after)) if after else p(g[1:])
 
-    return p
+def test_lm_score_of_odd_rows(docs, no_docs):
+    ids = docs.filter("source = 'hot'").select("doc_id")
+    assert lm_score.score(no_docs, ids).collect() == []
+    got = lm_score.score(docs, ids).collect()
+    assert len(got) == docs.count() and Counter(r.doc_id for r in got) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+    none = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r.doc_id for r in lm_score.score(none, ids).collect()] == [None] * 3
 
 
-def test_lm_score_query_counts_words(spark, tmp_path):
-    texts = ["the cat sat on the mat", "the cat sat", None, "", " tac eht\n\ttas\u00e9 ", "the mat sat on", "the cat sat"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(0, 1), (1, 1), (4, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = {r.doc_id: r for r in queries.op2_lm_score(spark, str(tmp_path)).collect()}
-    vocabulary = len({w for t in texts for w in WORD.findall(t or "")})
-    target, every = naive_word_losses(texts[:2], vocabulary), naive_word_losses(texts, vocabulary)
-    assert len(got) == len(texts)
-    for i, t in enumerate(texts):
-        ws = ["", "", *WORD.findall(t or "")]
-        grams = list(zip(ws, ws[1:], ws[2:]))
-        assert got[i].n_tokens == len(grams)
-        for p, value in ((target, got[i].loss_target), (every, got[i].loss_background)):
-            assert value == pytest.approx(sum(-np.log(p(g)) for g in grams) / max(1, len(grams)), abs=1e-8)
-        assert got[i].score == pytest.approx(got[i].loss_background - got[i].loss_target)
+def test_lm_score_held_out(spark):
+    r = np.random.default_rng(1)
+    words = ["".join(r.choice(list("abcdefghi"), 4)) for _ in range(60)]
+    make = lambda some: " ".join(r.choice(some, 40))
+    made = [(i, make(words[:40] if i % 2 else words[20:])) for i in range(200)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    score = {x.doc_id: x.score for x in lm_score.score(d, d.filter("doc_id % 2 = 1 and doc_id < 100").select("doc_id")).collect()}
+    assert min(score[i] for i in range(101, 200, 2)) > max(score[i] for i in range(100, 200, 2))
 
 
-def test_lm_word_score_of_nothing(no_docs, docs):
-    assert lm_score.word_score(no_docs, F.lit(True)).collect() == []
-    assert lm_score.word_score(docs, F.col("source") == "hot").count() == docs.count()
+def test_lm_score_sees_texts_that_occur_twice(spark):
+    r = np.random.default_rng(2)
+    words = ["".join(r.choice(list("abcdefghi"), 4)) for _ in range(300)]
+    texts = [" ".join(r.choice(words, 60)) for _ in range(120)]
+    d = spark.createDataFrame(list(enumerate(texts + texts[:10])), "doc_id long, text string")
+    loss = {x.doc_id: x.loss_background for x in lm_score.score(d, d.limit(0).select("doc_id")).collect()}
+    assert max(loss[i] for i in range(10)) < min(loss[i] for i in range(10, 120))
 
 
 # --- repeated bytes
@@ -445,15 +430,56 @@ def expected_bytes(pairs):
     return out
 
 
-@pytest.mark.parametrize("part_bytes,piece", [(8 << 20, 1 << 20), (1500, 700)])
-def test_repeated_bytes(docs, monkeypatch, part_bytes, piece):
-    monkeypatch.setattr(suffix_dedup.repeats, "__defaults__", ("doc_id", "text", part_bytes))
-    monkeypatch.setattr(suffix_dedup, "SLICE", piece)
+def digest(found):
+    return [(r.doc_id, r.n_bytes, sum(x.end - x.begin for x in r.spans), len(r.spans), r.kept_sha256) for r in found.collect()]
+
+
+SIZES = [suffix_dedup.Sizes(), suffix_dedup.Sizes(1500, 700, 512, 40), suffix_dedup.Sizes(1500, 700, 1), suffix_dedup.Sizes(9000, 1 << 20, 1, 10)]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_repeated_bytes(docs, sizes):
     pairs = rows(docs)
     want = Counter((i, *expected_bytes(pairs)[i, t]) for i, t in set(pairs) for _ in range(pairs.count((i, t))))
-    got = suffix_dedup.without_repeats(docs).collect()
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
-    assert sum(r.n_removed for r in got) > 0
+    got = digest(suffix_dedup.without_repeats(docs, sizes=sizes))
+    assert Counter(got) == want
+    assert sum(r[2] for r in got) > 0
+
+
+@pytest.mark.parametrize("sizes", SIZES[:3])
+def test_repeat_groups_have_all_occurrences(spark, sizes):
+    """Each group's occurrences are one string, and every 50-byte string of two documents is in a group with all its places."""
+    r = random.Random(4)
+    bits = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(30, 90))) for _ in range(12)]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 6))) for _ in range(40)]
+    found = suffix_dedup.repeat_groups_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sizes=sizes).collect()
+    groups = defaultdict(set)
+    for x in found:
+        groups[x.group].add((texts[x.doc_id][x.start : x.start + x.length], x.doc_id, x.start))
+    where = defaultdict(set)
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            where[t[p : p + 50]].add((i, p))
+    covered = defaultdict(set)
+    for members in groups.values():
+        (text,) = {t for t, _, _ in members}
+        assert len(text) >= 50
+        for k in range(len(text) - 49):
+            covered[text[k : k + 50]] |= {(d, s + k) for _, d, s in members}
+    want = {w: at for w, at in where.items() if len({d for d, _ in at}) > 1}
+    assert want and all(covered[w] == at for w, at in want.items())
+
+
+def test_a_hot_anchor_in_many_contexts(spark):
+    """One passage in thousands of documents whose neighbourhoods all differ, in small parts and slices."""
+    r, passage = random.Random(6), "the passage that every document of this corpus holds, word for word, to the end"
+    some = lambda: "".join(r.choice("klmnopqrst ") for _ in range(r.randint(20, 60)))
+    texts = [some() + passage + some() for _ in range(4000)]
+    pairs = list(enumerate(texts))
+    d = spark.createDataFrame(pairs, "doc_id long, text string").repartition(7)
+    got = digest(suffix_dedup.without_repeats(d, sizes=suffix_dedup.Sizes(60_000, 1 << 20, 64, 5_000)))
+    want = expected_bytes(pairs)
+    assert Counter(got) == Counter((i, *want[i, t]) for i, t in pairs)
 
 
 def test_repeated_bytes_of_nothing(no_docs):

@@ -1,15 +1,18 @@
 """The pipeline stage by stage, and as a whole."""
 
+import os
+
 import corpus_pipeline
+import pytest
 
-from vocalis.llm import common
+from vocalis.llm import common, minhash
 
 
 def test_stages(spark, docs):
-    now, columns = docs, docs.columns
+    now, columns, scratch = docs, docs.columns, common.Scratch(spark)
     counts = [now.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = common.materialize(stage(spark, now, ""), "stage").cache()
+        now = scratch.write(stage(spark, now, ""), "stage").cache()
         assert now.columns == columns, name
         counts.append(now.count())
     assert counts[0] > counts[1] >= counts[2] >= counts[3] > 0
@@ -28,3 +31,24 @@ def test_run_equals_stages(spark, docs, tmp_path):
     a = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect()}
     b = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect()}
     assert a == b and a
+
+
+def test_other_results_outlive_a_pipeline_run(spark, docs, tmp_path):
+    """An operator's result that was not written yet reads tables that another scope's end leaves alone."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    waiting = minhash.near_duplicates(docs)
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert waiting.count() == docs.count()
+    scratch = common.Scratch(spark)
+    minhash.near_duplicates(docs, scratch=scratch).count()
+    paths = list(scratch.paths)
+    scratch.close()
+    assert paths and not any(os.path.exists(p.removeprefix("file://")) for p in paths)
+
+
+def test_no_own_folder_on_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda _: "spark://host:7077"))
+    monkeypatch.setattr(type(spark.conf), "get", lambda *_: None)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda _: None)
+    with pytest.raises(ValueError):
+        common.shared_dir(spark)

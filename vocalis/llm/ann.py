@@ -154,9 +154,9 @@ def project(v: np.ndarray, matrix: np.ndarray, top: float) -> np.ndarray:
     return v @ matrix[:-1] + lift[:, None] * matrix[-1]
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, seed: int = 11, scratch: common.Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows found with the largest inner product for each query row."""
-    spark = vectors.sparkSession
+    spark, scratch = vectors.sparkSession, common.scope(vectors, scratch)
     common.ship(spark)
     x = F.col(vector).cast("array<double>")
     fine = (
@@ -176,7 +176,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         for f in frames:
             yield pd.DataFrame({"id": f["id"], "asks": f["asks"], "v": [np.asarray(a, "<f8").tobytes() for a in f["x"]], "norm": [float(np.square(np.asarray(a, float)).sum()) for a in f["x"]]})
 
-    points = common.materialize(rows.filter(F.size("x") == d).mapInPandas(pack, "id long, asks boolean, v binary, norm double"), "vectors")
+    points = scratch.write(rows.filter(F.size("x") == d).mapInPandas(pack, "id long, asks boolean, v binary, norm double"), "vectors")
     total = points.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).first()
     top, n = math.sqrt(total["top"]), total["n"]
     matrix = np.random.default_rng(seed).standard_normal((d + 1, M))
@@ -191,7 +191,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
             home = cell_of(v @ matrix[:-1], tree)
             yield pd.DataFrame({"id": f["id"], "asks": f["asks"], "v": f["v"], "cell": cell_of(y, tree), "home": home, "y": list(y)})
 
-    placed = common.materialize(points.mapInPandas(place, "id long, asks boolean, v binary, cell long, home long, y array<double>"), "cells")
+    placed = scratch.write(points.mapInPandas(place, "id long, asks boolean, v binary, cell long, home long, y array<double>"), "cells")
     boxes = placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*(F.min(F.get("y", i)) for i in range(M))).alias("low"),
@@ -217,8 +217,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         keys = ["cell", "shard", "block"]
         return some.groupBy(*keys).cogroup(who.groupBy(*keys)).applyInPandas(_search(k, matrix, top, stop), "query_id long, vec_id long, score double")
 
-    queries = common.materialize(placed.filter("asks").select("id", "v", "home").dropDuplicates(["id"]), "queries")
-    first = common.materialize(visit(queries.select(F.col("home").alias("cell"), "id", "v", F.lit(float("inf")).alias("bound"))), "first")
+    queries = scratch.write(placed.filter("asks").select("id", "v", "home").dropDuplicates(["id"]), "queries")
+    first = scratch.write(visit(queries.select(F.col("home").alias("cell"), "id", "v", F.lit(float("inf")).alias("bound"))), "first")
     by_rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
 
@@ -235,6 +235,6 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
                     yield pd.DataFrame({"cell": to, "id": f["id"].iloc[i], "v": [f["v"].iloc[i]] * len(to), "bound": bound[i]})
 
     onward = queries.join(kth, "id", "left").mapInPandas(further, "cell long, id long, v binary, bound double")
-    second = visit(common.materialize(onward, "onward"))
+    second = visit(scratch.write(onward, "onward"))
     both = first.unionByName(second).withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k)
     return both.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from vocalis.shipping import ship  # noqa: F401 - operators call common.ship
 
 #: White space of the word contracts: space and U+0009 to U+000D. Fixed by the contracts.
 SPACE = " \t\n\x0b\x0c\r"
+#: Shuffle files of a write go with the write.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of
+    our own on one machine (master local), and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="vocalis-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/") if "://" in at or at.startswith("file:") else "file://" + at.rstrip("/")
@@ -33,42 +39,66 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vocalis/{name}-{uuid.uuid4().hex}"
 
 
-_scratch: list[str] = []
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and outlives any executor."""
-    at = new_dir(df.sparkSession, name)
-    _scratch.append(at)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+@contextmanager
+def tidy_writes(spark: SparkSession):
+    """Within, shuffle files go when the write that made them ends."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
-def delete(spark: SparkSession, at: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+_open: set["Scratch"] = set()
+
+
+class Scratch:
+    """The tables that one operator call writes to the shared folder. They stay while results that
+    read them may be used: until their owner, who gave the scope to the call, closes it, or else until
+    the driver ends. No scope touches another's tables."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+        _open.add(self)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write to the shared folder and read back: cuts lineage and outlives any executor."""
+        at = new_dir(self.spark, name)
+        self.paths.append(at)
+        with tidy_writes(self.spark):
+            df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table of this scope that nothing reads any more."""
+        files = df.inputFiles()
+        for at in [p for p in self.paths if any(p in f for f in files)]:
+            delete(self.spark, at)
+            self.paths.remove(at)
+
+    def close(self) -> None:
+        while self.paths:
+            delete(self.spark, self.paths.pop())
+        _open.discard(self)
+
+
+@atexit.register
+def _close_all() -> None:
+    for scope in list(_open):
+        try:
+            scope.close()
+        except Exception:  # noqa: BLE001 - the session has ended; its folder is the cluster's to clear
+            _open.discard(scope)
 
 
-def tidy(docs: DataFrame) -> None:
-    """Delete the tables that materialize wrote so far, but for those that docs reads. For a caller
-    that has written all earlier results."""
-    spark = docs.sparkSession
-    files = docs.inputFiles()
-    held = [at for at in _scratch if any(at in f for f in files)]
-    for at in _scratch:
-        if at not in held:
-            delete(spark, at)
-    _scratch[:] = held
-    release(spark)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver drop what it no longer refers to, so that old shuffle files go: Python's
-    references first, then the JVM's; its cleaner works by the side and is given a moment."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def scope(df: DataFrame, given: Scratch | None) -> Scratch:
+    return given or Scratch(df.sparkSession)
 
 
 def words(text: Column) -> Column:

@@ -64,14 +64,14 @@ def _lines(text: Column, min_words: int, whole_runs: bool) -> Column:
     return common.let(with_depth, lambda at: F.transform(at, lambda e, i: F.struct(e["i"], e["a"], e["b"], e["depth"], most(at, i).alias("most"))))
 
 
-def later_copies(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def later_copies(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_WORDS, whole_runs: bool = False, scratch: common.Scratch | None = None) -> DataFrame:
     """d (id), h (hash of the text), i (line number) of each line that a later copy covers."""
-    body = F.col(text)
+    body, scratch = F.col(text), common.scope(docs, scratch)
     lines = docs.filter(body.isNotNull()).select(F.col(id_col).alias("d"), F.xxhash64(body).alias("h"), F.posexplode(_lines(body, min_words, whole_runs)).alias("p", "e"))
-    lines = common.materialize(lines.select("d", "h", "p", "e.*"), "lines")
+    lines = scratch.write(lines.select("d", "h", "p", "e.*"), "lines")
     here = F.struct("d", "h", "p")
     named = lines.groupBy("a", "b").agg(F.min(here).alias("name"), F.max(here).alias("last")).filter("name <> last").select("a", "b", "name")
-    suffixes = common.materialize(lines.join(named, ["a", "b"]).select("d", "h", "p", "i", "depth", "most", "name"), "suffixes")
+    suffixes = scratch.write(lines.join(named, ["a", "b"]).select("d", "h", "p", "i", "depth", "most", "name"), "suffixes")
     deepest = suffixes.filter("depth is not null").agg(F.max("most")).first()[0] or 0
 
     copies = suffixes.filter("depth = 1").filter(here != F.col("name")).select("d", "h", "p", "depth")
@@ -80,7 +80,7 @@ def later_copies(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_W
         ahead = Window.partitionBy("d", "h").orderBy("p").rangeBetween(k, k)
         pairs = at.withColumn("then", F.first("name").over(ahead)).filter("then is not null")
         firsts = pairs.groupBy("name", "then").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first <> last")
-        at = common.materialize(
+        at = scratch.write(
             pairs.join(firsts, ["name", "then"]).select("d", "h", "p", "depth", "most", F.col("first").alias("name")), f"suffixes-{2 * k}"
         )
         k *= 2
@@ -103,11 +103,11 @@ def later_copies(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_W
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, keep: list[str] | None = None, whole_runs: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, keep: list[str] | None = None, whole_runs: bool = False, scratch: common.Scratch | None = None) -> DataFrame:
     """`row` (struct of the columns in keep, all by default, with the text that is left), n_lines,
     n_removed and n_spans (maximal runs of lines removed; lines without words don't end one)."""
     keep = docs.columns if keep is None else keep
-    gone = later_copies(docs, id_col, text, min_words, whole_runs)
+    gone = later_copies(docs, id_col, text, min_words, whole_runs, scratch)
     gone = gone.groupBy("d", "h").agg(F.sort_array(F.collect_set("i")).alias("gone"))
     base = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("all"))
     lines = F.split(F.col(f"all.{text}"), "\n")
@@ -139,8 +139,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole_runs: bool = False, scratch: common.Scratch | None = None) -> DataFrame:
     """The columns of docs, texts without later copies; documents of which no word is left go."""
-    out = line_dedup(docs, id_col, text, min_words, whole_runs=whole_runs)
+    out = line_dedup(docs, id_col, text, min_words, whole_runs=whole_runs, scratch=scratch)
     left = F.length(F.translate(F.coalesce(F.col(f"row.{text}"), F.lit("")), common.SPACE, "")) > 0
     return out.filter((F.col("n_removed") == 0) | left).select("row.*")

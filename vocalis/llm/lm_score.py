@@ -1,193 +1,233 @@
-"""Cross-entropy difference of two matched n-gram models: of words (word_score), or of bytes (score).
-
-The models of words are trigram models over one vocabulary, the words of all documents, with the
-smoothing named below. Every trigram of the corpus is an entry: models are tables, made by aggregates
-and joins and joined to the texts' trigrams, so nothing bounds them and the driver sees one row of
-sums. A word's id is 64 bits of its hash. Texts that are equal (128 bits) have
-one mean.
-
-Both models of bytes are trigram models over one vocabulary, the 256 byte values of UTF-8, with the same
-smoothing (interpolated Witten-Bell down to a uniform floor); one counts the target documents, the
-other all documents. A document's score is the mean over its tokens of the background model's loss
-less the target model's, in nats: the higher, the closer to the target.
-
-All bytes of all documents are counted. Tasks count into fixed arrays and send what is not zero, sums
-are made by Spark, and a model has 256**3 entries at most, whatever the corpus: that bounds what the
-driver gathers and what travels to the scoring tasks. Scoring is one pass without a shuffle.
-
-Defined results: null and empty texts have no tokens, losses and score 0; without target documents the
-target model is uniform; rows that repeat count as often as they stand; an empty table gives an empty
-table.
+"""Cross-entropy difference of two matched n-gram models of words.
+
+The models share one vocabulary: the words of all documents (between white space as the contracts have
+it) and a text's end. One counts the documents of the target, the other all documents, each by every
+n-gram up to ORDER; a word's probability is interpolated from the longest seen context downwards,
+
+    P_k(w | context) = MIX * count(context w) / count(context) + (1 - MIX) * P_(k-1),
+
+to the uniform one over the vocabulary. A document is scored without itself: its own occurrences are
+taken from both models' counts, or a model of the whole corpus would know every document by heart.
+Its score is the mean loss by the background less that by the target, in nats: the higher, the closer
+to the target.
+
+Nothing bounds the models: all n-grams of all documents count. Parts of the corpus send buckets their
+distinct n-grams with two counts and get back how often other parts hold them (`exchange`); the driver
+sees three sums. An n-gram is 40 bits of its hash beside its bucket, so two of them meet in one count
+with a probability of 1e-6 or so at any size.
+
+Defined results: null and empty texts, and those without words, have no tokens, losses and score 0;
+other texts have their words and the end as tokens; without target documents the target model is
+uniform; rows that repeat count as often as they stand, and a row leaves out only itself; a null id is
+scored like others but is never of the target; very long texts are looked at whole, a piece at a time;
+an empty table gives an empty table; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalis.llm import common
+from vocalis.llm import common, exchange
+from vocalis.llm.exchange import by_number, pack, unpack
 
-V = 256
-PAD = 10  # before a text's first byte: a line's end
-SLICE = 2_048
+ORDER = 2
+MIX = 0.7
 #: Ids (of 8 bytes) up to which a list of target documents is broadcast.
 MOST_BROADCAST = 2_000_000
-
-
-def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The trigram at each byte of a string array's texts, and each text's first position."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].astype(np.uint32) if data is not None else np.empty(0, np.uint32)
-    starts = offsets - offsets[0]
-    one, two = np.empty_like(raw), np.empty_like(raw)
-    one[1:], two[2:] = raw[:-1], raw[:-2]
-    begin = starts[:-1][np.diff(starts) > 0]
-    one[begin] = PAD
-    two[begin] = PAD
-    second = begin[np.isin(begin + 1, begin, invert=True) & (begin + 1 < len(raw))] + 1
-    two[second] = PAD
-    return two << 16 | one << 8 | raw, starts
-
-
-def _slices(batch):
-    for a in range(0, batch.num_rows, SLICE):
-        yield batch.slice(a, SLICE)
-
-
-def counts(docs: DataFrame, text: Column, target: Column) -> DataFrame:
-    """key, n (in all documents), n_target of every trigram."""
-    common.ship(docs.sparkSession)
-
-    def run(batches):
-        every, some = np.zeros(V**3, np.uint32), np.zeros(V**3, np.uint32)
-        for batch in batches:
-            for part in _slices(batch):
-                keys, starts = _keys(part.column(0))
-                np.add.at(every, keys, np.uint32(1))
-                wanted = part.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-                np.add.at(some, keys[np.repeat(wanted, np.diff(starts))], np.uint32(1))
-        at = np.flatnonzero(every)
-        for a in range(0, len(at), 50_000):
-            k = at[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(every[k].astype(np.int64)), pa.array(some[k].astype(np.int64))], names=["key", "n", "n_target"])
-
-    one = docs.select(text.alias("text"), target.alias("target")).mapInArrow(run, "key int, n long, n_target long")
-    return one.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def losses(key: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """-log P(third byte | first two) at each trigram in key (all that can be asked for)."""
-    n = n.astype(float)
-    c, bc, ab, b = key & 255, key & 65535, key >> 8, key >> 8 & 255
-    one = np.bincount(c, n, V)
-    p = (one + 1) / (one.sum() + V)
-    two, after = np.bincount(bc, n, V * V), np.bincount(b, n, V)
-    kinds = np.bincount(np.flatnonzero(two) >> 8, minlength=V)
-    at_b, t_b = after[b], kinds[b]
-    p_two = np.where(at_b + t_b > 0, (two[bc] + t_b * p[c]) / np.maximum(at_b + t_b, 1), p[c])
-    context = np.bincount(ab, n, V * V)[ab]
-    t_ab = np.bincount(ab, n > 0, V * V)[ab]
-    return -np.log(np.where(context + t_ab > 0, (n + t_ab * p_two) / np.maximum(context + t_ab, 1), p_two))
-
-
-def listed(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+#: Bytes that are hashed together.
+PIECE = 1 << 20
+
+_U = np.uint64
+_A, _B = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BEGIN, _END = _U(1), _U(2)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(32))) * _B
+    x = (x ^ (x >> _U(29))) * _A
+    return x ^ (x >> _U(32))
+
+
+def word_ids(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts (UTF-8), and how many words each has. A word's hash is a
+    difference of sums of byte * A**place, shifted to place 0."""
+    data = np.frombuffer(b"\n".join([*bodies, b""]), np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    step = np.diff(space.astype(np.int8), prepend=np.int8(1), append=np.int8(1))
+    begin, end = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+    out = np.empty(len(begin), np.uint64)
+    a = 0
+    while a < len(begin):
+        z = max(a + 1, int(np.searchsorted(end, begin[a] + PIECE, "right")))
+        low, high = begin[a], end[z - 1]
+        power = np.cumprod(np.full(high - low, _A), dtype=np.uint64)
+        sums = np.append(_U(0), np.cumsum((data[low:high].astype(np.uint64) + _U(1)) * power, dtype=np.uint64))
+        back = np.cumprod(np.full(high - low, _INVERSE), dtype=np.uint64)
+        x, y = begin[a:z] - low, end[a:z] - low
+        out[a:z] = _mix((sums[y] - sums[x]) * back[x] + (y - x).astype(np.uint64))
+        a = z
+    starts = np.cumsum([0, *(len(b) + 1 for b in bodies)])
+    return out, np.diff(np.searchsorted(begin, starts))
+
+
+class Grams:
+    """The n-grams of a part's texts. Token t has key[k][t] for the n-gram of k + 1 tokens that it ends."""
+
+    def __init__(self, bodies: list[bytes], order: int):
+        words, n = word_ids(bodies)
+        self.size = np.where(n > 0, n + 1, 0)  # the end is a token of texts that have words
+        self.starts = np.cumsum(np.append(0, self.size))
+        self.doc = np.repeat(np.arange(len(n)), self.size)
+        token = np.full(self.starts[-1], _END)
+        last = np.zeros(len(token), bool)
+        last[self.starts[1:][self.size > 0] - 1] = True
+        token[~last] = words
+        place = np.arange(len(token)) - self.starts[:-1][self.doc]
+        self.keys, held = [], _U(0)
+        for k in range(order):
+            back = np.where(place >= k, np.roll(token, k), _BEGIN)
+            held = _mix(held * _A + back)
+            self.keys.append((held & ~_U(3)) | _U(k))
+
+
+def _code(n: np.ndarray, nt: np.ndarray) -> bytes:
+    """Pairs of counts: a byte each, and in full where one is 15 or more."""
+    big = np.flatnonzero((n >= 15) | (nt >= 15))
+    return pack(np.minimum(n, 15).astype("u1") << 4 | np.minimum(nt, 15).astype("u1")) + pack(big.astype("<u4"), n[big].astype("<i8"), nt[big].astype("<i8"))
+
+
+def _decode(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    (code,) = unpack(raw, "u1")
+    n, nt = (code >> 4).astype(np.int64), (code & 15).astype(np.int64)
+    at, big, big_t = unpack(raw[8 + len(code) :], "<u4", "<i8", "<i8")
+    n[at], nt[at] = big, big_t
+    return n, nt
+
+
+def _counted(keys: np.ndarray, target: np.ndarray):
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    return distinct, inverse, np.bincount(inverse, minlength=len(distinct)), np.bincount(inverse, target, len(distinct)).astype(np.int64)
+
+
+class Counts:
+    """A part's distinct n-grams of all orders, with their counts in the part. Order k's token t has
+    the n-gram number at[k][t]."""
+
+    def __init__(self, g: Grams, target: np.ndarray, n_buckets: int):
+        some, self.at, base = [], [], 0
+        for keys in g.keys:
+            distinct, inverse, n, nt = _counted(keys, target)
+            some.append((distinct, n, nt))
+            self.at.append(inverse + base)
+            base += len(distinct)
+        self.keys, self.n, self.nt = (np.concatenate(x) for x in zip(*some))
+        self.buckets = dict(by_number(((self.keys >> _U(8)) % _U(n_buckets)).astype(np.int64)))
+
+
+COUNTS, WORDS, TOKENS, TARGET = 0, 1, 2, 3
+
+
+def _flags(part: exchange.Part, g: Grams) -> np.ndarray:
+    return np.array(part.extra[0], bool)[g.doc]
+
+
+def _ask(n_buckets: int, order: int):
+    def run(part):
+        g = Grams(part.bodies, order)
+        c, rows = Counts(g, _flags(part, g), n_buckets), []
+        for b, at in c.buckets.items():
+            k = c.keys[at]
+            rows.append((b, part.number, pack((k >> _U(32)).astype("<u4"), (k & _U(255)).astype("u1")) + _code(c.n[at], c.nt[at])))
+        for a in range(0, len(rows), 500):
+            yield exchange.batch(rows[a : a + 500], bucket=pa.int64(), part=pa.int64(), body=pa.binary())
+
+    return run
+
+
+def _tell(bucket: int, parts: list[int], bodies: list[bytes]):
+    """To each part, how often others hold its n-grams; and the bucket's share of three sums."""
+    keys, n, nt = [], [], []
+    for raw in bodies:
+        high, low = unpack(raw, "<u4", "u1")
+        keys.append(high.astype(np.uint64) << _U(8) | low)
+        a, b = _decode(raw[8 + 5 * len(high) :])
+        n.append(a)
+        nt.append(b)
+    ends = np.cumsum([len(k) for k in keys])
+    keys, n, nt = (np.concatenate(x) for x in (keys, n, nt))
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    all_n, all_t = (np.bincount(inverse, x, len(distinct)).astype(np.int64) for x in (n, nt))
+    for p, a, b in zip(parts, [0, *ends], ends):
+        others, others_t = all_n[inverse[a:b]] - n[a:b], all_t[inverse[a:b]] - nt[a:b]
+        if others.any():
+            yield p, COUNTS, _code(others, others_t)
+    one = (distinct & _U(3)) == _U(0)
+    return [(WORDS, int(one.sum())), (TOKENS, int(all_n[one].sum())), (TARGET, int(all_t[one].sum()))]
+
+
+def _score(n_buckets: int, order: int, mix: float, words: int, tokens: int, in_target: int):
+    def run(part):
+        g = Grams(part.bodies, order)
+        target = _flags(part, g)
+        c = Counts(g, target, n_buckets)
+        for b, raw in part.answers.get(COUNTS, {}).items():
+            others, others_t = _decode(raw)
+            c.n[c.buckets[b]] += others
+            c.nt[c.buckets[b]] += others_t
+        p = {m: np.full(len(g.doc), 1 / max(words, 1)) for m in ("all", "target")}
+        # a word's context: all tokens, then the n-gram that ended one token before; a text's first token has none
+        own = g.size[g.doc]
+        context = {"all": tokens - own, "target": in_target - own * target}
+        first = np.zeros(len(g.doc), bool)
+        first[g.starts[:-1][g.size > 0]] = True
+        salt = _mix(g.doc.astype(np.uint64) + _A)
+        for at, keys in zip(c.at, g.keys):
+            _, mine, times, _ = _counted(_mix(keys ^ salt), target)
+            own = times[mine]  # in this document
+            count = {"all": c.n[at] - own, "target": c.nt[at] - own * target}
+            for m in p:
+                p[m] = np.where(context[m] > 0, mix * count[m] / np.maximum(context[m], 1) + (1 - mix) * p[m], p[m])
+                context[m] = np.where(first, 0, np.roll(count[m], 1))
+        mean = []
+        for m in ("target", "all"):
+            loss = np.append(0.0, np.cumsum(-np.log(p[m])))
+            mean.append((loss[g.starts[1:]] - loss[g.starts[:-1]]) / np.maximum(g.size, 1))
+        ids = pa.array([None if no else int(i) for i, no in zip(part.ids, part.extra[1])], pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, pa.array(g.size, pa.int64()), *map(pa.array, mean), pa.array(mean[1] - mean[0])], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+
+    return run
+
+
+def listed(docs: DataFrame, ids: DataFrame, scratch: common.Scratch, id_col: str = "doc_id") -> DataFrame:
     """docs with a boolean `_listed`: whether the id is in ids (one column). A short list travels to
     the documents; a long one is joined."""
-    ids = common.materialize(ids.toDF("_of").filter("_of is not null").distinct(), "listed")
+    ids = scratch.write(ids.toDF("_of").filter("_of is not null").distinct(), "listed")
     small = ids.count() <= MOST_BROADCAST
     ids = ids.withColumn("_listed", F.lit(True))
     both = docs.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("_of"), "left")
     return both.select(*(F.col(c) for c in docs.columns), F.coalesce("_listed", F.lit(False)).alias("_listed"))
 
 
-def score(docs: DataFrame, target: Column | None = None, text: str = "text", keep: list[str] | None = None, ids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """`row` (struct of the columns in keep), n_tokens, loss_target, loss_background (means) and score.
-    Target documents: where target is true, or those whose id is in ids. Only counting looks at that."""
-    keep = docs.columns if keep is None else keep
-    flagged = docs.select(F.col(text), target.alias("_listed")) if ids is None else listed(docs.select(id_col, text), ids, id_col)
-    found = counts(flagged, F.col(text), F.col("_listed")).toArrow()  # V**3 rows at most
-    key = found["key"].to_numpy().astype(np.int64)
-    order = np.argsort(key)
-    key = key[order]
-    tables = [losses(key, found[c].to_numpy()[order]).astype(np.float32) for c in ("n_target", "n")]
-    model = docs.sparkSession.sparkContext.broadcast((key.astype(np.int32), *tables))
-    base = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), F.col(text).alias("text"))
-
-    def run(batches):
-        known, *values = model.value
-        dense = []
-        for x in values:
-            full = np.zeros(V**3, np.float32)
-            full[known] = x
-            dense.append(full)
-        for batch in batches:
-            for part in _slices(batch):
-                keys, starts = _keys(part.column(1))
-                size = np.diff(starts)
-                sums = []
-                for full in dense:
-                    run_sum = np.zeros(len(size))
-                    has = size > 0
-                    if has.any():
-                        run_sum[has] = np.add.reduceat(full[keys].astype(np.float64), starts[:-1][has])
-                    sums.append(run_sum / np.maximum(size, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[1] - sums[0])],
-                    names=["row", "n_tokens", "loss_target", "loss_background", "score"],
-                )
-
-    zero = F.lit(0.0)
-    schema = base.select("row", F.lit(0).cast("long").alias("n_tokens"), zero.alias("loss_target"), zero.alias("loss_background"), zero.alias("score")).schema
-    return base.mapInArrow(run, schema)
-
-
-def _word_grams(text: Column) -> Column:
-    """Array of (u, v, w), the ids of each word and the two before it; 0 stands before a text."""
-    ids = F.concat(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")), F.transform(common.words(text), lambda x: F.xxhash64(x)))
-    gram = lambda ws, i: F.struct(F.get(ws, i).alias("u"), F.get(ws, i + 1).alias("v"), F.get(ws, i + 2).alias("w"))
-    return common.let(ids, lambda ws: F.when(F.size(ws) > 2, F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: gram(ws, i))))
-
-
-def _word_losses(grams: DataFrame) -> DataFrame:
-    """u, v, w, lt, lb: -log P(w | u, v) of the target and background model, for each trigram of the
-    corpus. grams: u, v, w and `_listed`, a row for each occurrence."""
-    sums = [F.sum("n").alias("n"), F.sum("nt").alias("nt")]
-    tri = grams.groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_listed").cast("long")).alias("nt"))
-    tri = common.materialize(tri, "trigrams")
-    two = common.materialize(tri.groupBy("v", "w").agg(*sums), "bigrams")
-    one = common.materialize(two.groupBy("w").agg(*sums), "words")
-    total = one.agg(F.sum("n"), F.sum("nt"), F.count(F.lit(1))).first()
-    size, of = total[2], {"n": total[0] or 0, "nt": total[1] or 0}
-    p = one.select("w", *(((F.col(c) + 1) / F.lit(float(of[c] + size))).alias(f"p_{c}") for c in of))
-    for table, context in ((two, ["v"]), (tri, ["u", "v"])):
-        seen = [x for c in of for x in (F.sum(c).alias(f"sum_{c}"), F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))]
-        both = table.join(table.groupBy(*context).agg(*seen), context).join(p, p.columns[: -len(of)])
-        smooth = lambda c: (F.col(c) + F.col(f"kinds_{c}") * F.col(f"p_{c}")) / (F.col(f"sum_{c}") + F.col(f"kinds_{c}"))
-        values = (F.when(F.col(f"sum_{c}") > 0, smooth(c)).otherwise(F.col(f"p_{c}")).alias(f"p_{c}") for c in of)
-        p = both.select(*context, "w", *values)
-    return p.select("u", "v", "w", (-F.log("p_nt")).alias("lt"), (-F.log("p_n")).alias("lb"))
-
-
-def word_score(docs: DataFrame, target: Column | None = None, text: str = "text", keep: list[str] | None = None, ids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """As score, of models of words; n_tokens are words, means are rounded to 9 digits."""
-    keep = docs.columns if keep is None else keep
-    flagged = docs.select(F.col(text), F.coalesce(target, F.lit(False)).alias("_listed")) if ids is None else listed(docs.select(id_col, text), ids, id_col)
-    losses = _word_losses(flagged.select("_listed", F.explode(_word_grams(F.col(text))).alias("g")).select("_listed", "g.*"))
-    x = F.col(text)
-    each = docs.select(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("h2"), F.explode(_word_grams(x)).alias("g")).select("h", "h2", "g.*")
-    mean = lambda c: F.round(F.avg(c), 9)
-    found = each.join(losses, ["u", "v", "w"]).groupBy("h", "h2").agg(mean("lt").alias("lt"), mean("lb").alias("lb"))
-    base = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("h2"), F.size(common.words(x)).alias("k"))
-    both = base.join(found, ["h", "h2"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return both.select(
-        "row",
-        F.col("k").cast("long").alias("n_tokens"),
-        zero("lt").alias("loss_target"),
-        zero("lb").alias("loss_background"),
-        zero(F.col("lb") - F.col("lt")).alias("score"),
-    )
+def score(
+    docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER, mix: float = MIX, part_bytes: int = exchange.PART_BYTES, scratch: common.Scratch | None = None
+) -> DataFrame:
+    """doc_id, n_tokens, loss_target, loss_background (means) and score of every document. ids: one
+    column, the ids of the target's documents."""
+    scratch = common.scope(docs, scratch)
+    common.ship(docs.sparkSession)
+    docs = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    n = exchange.n_parts_of(docs, "_text", part_bytes)
+    rows = listed(docs, ids, scratch, "_id").select(
+        F.pmod(F.xxhash64("_id", "_text"), F.lit(n)).alias("part"), F.lit(99).alias("kind"), F.coalesce(F.col("_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("_text").alias("hash"),
+        F.lit(0).cast("long").alias("bucket"), F.encode("_text", "UTF-8").alias("body"), "_listed", F.col("_id").isNull().alias("_no_id"),
+    )
+    asked = exchange.by_part(rows, _ask(n, order), exchange.MESSAGE, "_listed", "_no_id")
+    counts = scratch.write(exchange.by_bucket(asked, _tell), "counts")
+    sums = {r["kind"]: r["n"] for r in counts.filter("part < 0").groupBy("kind").agg(F.sum("bucket").alias("n")).collect()}  # three rows
+    scoring = _score(n, order, mix, sums.get(WORDS, 0), sums.get(TOKENS, 0), sums.get(TARGET, 0))
+    schema = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
+    return exchange.by_part(exchange.with_answers(rows, counts.filter("part >= 0")), scoring, schema, "_listed", "_no_id")

@@ -256,29 +256,29 @@ def _compare(near: Near):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", near: Near = Near()) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", near: Near = Near(), scratch: common.Scratch | None = None) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    common.ship(spark)
+    scratch = common.scope(docs, scratch)
+    common.ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    described = common.materialize(
+    described = scratch.write(
         texts.mapInArrow(_describe(near), "id long, n_shingles long, digest binary, sig binary, keys array<long>"), "minhash"
     )
     classes = described.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = common.materialize(classes, "classes")
+    classes = scratch.write(classes, "classes")
     reps = described.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
 
     banded = reps.select("id", F.explode("keys").alias("key"))
     company = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = banded.join(company, "key")
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
-    members = common.materialize(members.select("key", "id").join(weight, "id"), "members")
+    members = scratch.write(members.select("key", "id").join(weight, "id"), "members")
     # the signatures and texts that pairs can need
-    named = common.materialize(members.select("id").distinct(), "named")
+    named = scratch.write(members.select("id").distinct(), "named")
     if named.count() <= MOST_BROADCAST:  # then texts needn't be shuffled to find theirs
         named = F.broadcast(named)
     held = texts.join(named, "id", "left_semi").dropDuplicates(["id"]).join(reps.select("id", "sig").dropDuplicates(["id"]), "id")
-    held = common.materialize(held, "held")
+    held = scratch.write(held, "held")
 
     hub = members.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
     spokes = members.join(hub, "key").filter("id <> hub").select("key", "hub", "id")
@@ -286,24 +286,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     body = lambda c: held.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     pairs = spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     likely = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(near), "a long, b long")
-    likely = common.materialize(likely, "likely").join(body("b"), "b").join(body("a"), "a")
+    likely = scratch.write(likely, "likely").join(body("b"), "b").join(body("a"), "a")
     links = likely.select("a", "b", "text_a", "text_b").mapInArrow(_verify(near), "a long, b long")
-    links = common.materialize(links, "near-links")
-    found = common.materialize(components(links), "components")
+    links = scratch.write(links, "near-links")
+    found = scratch.write(components(links, scratch=scratch), "components")
 
     # buckets whose members aren't all of one component yet, and what hangs together by them
     labelled = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("of"))
     open_keys = labelled.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("key")
-    family = components(spokes.join(open_keys, "key", "left_semi").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    family = common.materialize(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
+    family = components(spokes.join(open_keys, "key", "left_semi").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), scratch=scratch)
+    family = scratch.write(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
     blocks = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = dealt.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("of", F.coalesce("component", "id"))
     dealt = dealt.join(held, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = [F.col("family"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
     dealt = dealt.select(*group, "block", "id", "of", "sig", "text").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "block", "id")
-    more = common.materialize(dealt.mapInArrow(_compare(near), "a long, b long"), "near-links")
-    found = common.materialize(components(links.union(more)), "components")
+    more = scratch.write(dealt.mapInArrow(_compare(near), "a long, b long"), "near-links")
+    found = scratch.write(components(links.union(more), scratch=scratch), "components")
 
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return (
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", near: Near = Near()) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", near: Near = Near(), scratch: common.Scratch | None = None) -> DataFrame:
     """One document of each group, that with the smallest id; the columns that docs has."""
-    stay = near_duplicates(docs, id_col, text, near).filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    stay = near_duplicates(docs, id_col, text, near, scratch).filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
     return docs.join(stay, F.col(id_col) == F.col("_stays"), "left_semi").union(docs.filter(F.col(id_col).isNull()))

@@ -107,11 +107,11 @@ def route(supply: dict[tuple, int], quota: dict, passes: int) -> dict[tuple, int
     return given
 
 
-def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, how: Mix = Mix(), keep: list[str] | None = None, salt: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, how: Mix = Mix(), keep: list[str] | None = None, salt: list[str] | None = None, scratch: common.Scratch | None = None) -> DataFrame:
     """sources: an array column of a document's sources (by default array(source)). Returns `row`
     (struct of the columns in keep), size, pattern, pattern_size, target (of a pattern with one
     source its source's, else null) and taken. salt: columns that tell documents apart for the hash."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, common.scope(docs, scratch)
     keep = docs.columns if keep is None else keep
     salt = ["doc_id"] if salt is None else salt
     sources = F.array("source") if sources is None else sources
@@ -122,9 +122,9 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, how:
     ]
     # ranges of the hash in its own order, so that all documents of a range stand before the next
     hash_range = (F.shiftright("hash", 52) + RANGES // 2).cast("int").alias("range")
-    narrow = common.materialize(docs.select(*facts), "mix").select("*", hash_range)
+    narrow = scratch.write(docs.select(*facts), "mix").select("*", hash_range)
     # a range has a row at most for each pattern; sums are combined before they are shuffled
-    sums = common.materialize(narrow.groupBy("pattern", "range").agg(F.sum("size").alias("words")), "mix-sums")
+    sums = scratch.write(narrow.groupBy("pattern", "range").agg(F.sum("size").alias("words")), "mix-sums")
     supply = {tuple(r["pattern"]): int(r["w"]) for r in sums.groupBy("pattern").agg(F.sum("words").alias("w")).collect()}
     by_source: dict[str | None, int] = {}
     for p, n in supply.items():
@@ -183,8 +183,8 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, how:
     return every.select("row", "size", "pattern", F.coalesce("pattern_size", F.lit(0)).alias("pattern_size"), "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, text: str = "text", how: Mix = Mix()) -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", how: Mix = Mix(), scratch: common.Scratch | None = None) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns that docs has."""
-    chosen = mix(docs, text, how=how).filter("taken > 0")
+    chosen = mix(docs, text, how=how, scratch=scratch).filter("taken > 0")
     times = F.greatest(F.lit(1), (F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int"))
     return chosen.select("row", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).select("row.*")

@@ -145,10 +145,11 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text: str, length: int,
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 1, scratch: common.Scratch | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
+    scratch = common.scope(docs, scratch)
     common.ship(docs.sparkSession)
-    cut = common.materialize(pieces(docs, tokenizer, id_col, text, length, end_id), "pieces")
+    cut = scratch.write(pieces(docs, tokenizer, id_col, text, length, end_id), "pieces")
     cut = cut.withColumn("size", F.ceil(F.col("length") / QUANTUM).cast("int"))
     capacity = -(-length // QUANTUM)
     demand = np.zeros(capacity, int)

@@ -127,20 +127,21 @@ def host_verdicts(failed: DataFrame, host: str, rules: list[str], max_rate: floa
     return both.select(host, "n_documents", *(f"rate_{r}" for r in rules), refused.alias("refused"))
 
 
-def judge(docs: DataFrame, text: str, host: str, rules: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, text: str, host: str, rules: Rules = Rules(), keep: list[str] | None = None, scratch: common.Scratch | None = None) -> DataFrame:
     """The columns of docs named in keep (all by default) in a struct `row`, with `signals`,
     `base_failed`, `rates` (the host's, by rule) and `kept`. Counts are made once: what follows
     reads them back from a written table."""
     keep = docs.columns if keep is None else keep
+    scratch = common.scope(docs, scratch)
     counted = docs.select(
         F.struct(*(F.col(c) for c in keep)).alias("row"), F.col(host).alias("host"), signals(F.col(text)).alias("signals")
     )
-    counted = common.materialize(counted, "quality")
+    counted = scratch.write(counted, "quality")
     failed = failures(F.col("signals"), rules)
     names = list(failed)
     counted = counted.select("*", *(v.alias(k) for k, v in failed.items()))
     hosts = host_verdicts(counted.select("host", *names), "host", names, rules.max_host_rate, rules.max_strength)
-    hosts = common.materialize(hosts.withColumnRenamed("host", "of_host"), "hosts")
+    hosts = scratch.write(hosts.withColumnRenamed("host", "of_host"), "hosts")
     if hosts.count() <= MOST_BROADCAST:  # then documents needn't be dealt by host, a third of them to one
         hosts = F.broadcast(hosts)
     return counted.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left").select(
@@ -152,6 +153,6 @@ def judge(docs: DataFrame, text: str, host: str, rules: Rules = Rules(), keep: l
     )
 
 
-def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
+def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules(), scratch: common.Scratch | None = None) -> DataFrame:
     """The documents that are kept, with the columns that docs has."""
-    return judge(docs, text, host, rules).filter("kept").select("row.*")
+    return judge(docs, text, host, rules, scratch=scratch).filter("kept").select("row.*")

@@ -86,8 +86,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as of good quality; background: all documents."""
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    found = lm_score.word_score(table(spark, sf_dir, "documents"), ids=good, keep=["doc_id"])
-    return found.select("row.doc_id", "n_tokens", "loss_target", "loss_background", "score")
+    return lm_score.score(table(spark, sf_dir, "documents"), good)
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +144,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
 #: In these pages the main text stands in article tags, which the labeller isn't told.

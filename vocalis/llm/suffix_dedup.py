@@ -4,41 +4,62 @@ A suffix array over all bytes of a corpus is out of reach of a shuffle, so suffi
 where a repeat can begin. Each window of LENGTH bytes has an anchor, the 16-byte string in it with the
 least hash; equal windows have equal anchors. The windows that share an anchor's place are a run.
 
-1. Documents are dealt to parts. A part sends the anchors of its runs with a fingerprint of the whole
-   run and its first document, each distinct one once, so that what many documents share is combined
-   before it is shuffled. Buckets of anchors answer with the first document that has the whole run,
-   and whether the anchor has other runs too.
-2. A run that an earlier document has whole is a repeat as it stands. Runs that are the first of their
-   kind, with an anchor that has other runs, send their bytes (LENGTH + 34 at most) to their bucket.
-3. A bucket sorts the suffixes at all windows of its runs, finds the longest common prefixes of
-   neighbours, and scans them with a stack: each interval of at least LENGTH bytes is a group of
-   occurrences, all of them, with the longest string they share. Groups whose occurrences all follow
-   the same byte are left out: the group one byte to the left says more. In each group, what isn't in
-   the first document is a repeat.
-4. Repeats come back to their documents, where their union is removed.
-
-Documents are compared by id; rows with one id are one document (neither is earlier), kept apart by a
-hash of their text. Defined results: null text is empty and nothing is removed; a null id takes no part and
-keeps its text; repeated rows get the same result; texts shorter than LENGTH lose nothing; an empty
-table gives an empty table; other columns are not read.
+1. Parts of the corpus ask buckets of anchors which of their anchors other parts hold too, and which
+   are hot: in so many different runs that they are to be dealt out by what stands beside them.
+2. Runs whose anchor occurs more than once are offered, with their bytes and their first document, to
+   the bucket of their anchor; equal runs of a part (compared as bytes) once. The run of a hot anchor is
+   cut in two: windows that reach 17 bytes past the anchor go by the anchor and those bytes, the others,
+   which reach 16 bytes back, by these and the anchor. So no bucket holds an anchor's whole company.
+3. A bucket sorts its runs as bytes; equal ones are one string with all their documents. In slices of
+   Sizes.suffixes, it sorts the suffixes at all windows of strings that share an anchor, finds the longest
+   common prefixes of neighbours, and scans them with a stack: each interval of LENGTH bytes or more is
+   a group of occurrences, all of them, with the longest string they share. Groups whose occurrences all
+   follow the same byte are left out: the group one byte to the left says more. A string that several
+   documents hold is a group too.
+4. Of each group, the occurrences outside its first document are repeats. Groups go back to the parts
+   that offered their runs, which know all places of a run; their union is removed.
+
+Groups are those among runs: a repeat longer than a run (LENGTH + 34 bytes at most) is a chain of groups,
+each overlapping the next by LENGTH - 1 bytes or more. `repeat_groups` returns them with all occurrences.
+
+Memory: a part is Sizes.part bytes of documents (by hash, so about), a bucket holds what as many bytes
+offer, and Sizes.suffixes are sorted at a time, or one key's in steps. Documents are compared by id; rows with one
+id are one document (neither is earlier), kept apart by a hash of their text.
+
+Defined results: null text is empty and nothing is removed; a null id takes no part and keeps its text;
+repeated rows get the same result; texts shorter than LENGTH lose nothing; very long texts are looked at
+whole, Sizes.slice bytes at a time; an empty table gives an empty table; other columns are not read, so their
+names can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalis.llm import common
+from vocalis.llm import common, exchange
+from vocalis.llm.exchange import by_number, pack, unpack
 
 LENGTH = 50
 GRAM = 16
-PART_BYTES = 8 << 20
-#: Bytes whose windows are looked at together.
-SLICE = 1 << 20
+ROOM = 2 * LENGTH - GRAM
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """They bound memory and change no result: bytes of a part; bytes whose windows are looked at
+    together; runs of an anchor from which on it is hot; suffixes that are sorted together."""
+
+    part: int = exchange.PART_BYTES
+    slice: int = 1 << 20
+    hot: int = 512
+    suffixes: int = 200_000
+
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _U = np.uint64
@@ -55,10 +76,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class Runs:
     """The runs of a buffer of documents: begin, n (windows), anchor (absolute), id (of the anchor),
-    whole (fingerprint of the run) and doc (number of the document)."""
+    whole (fingerprint of the run, an order for finding equal ones) and doc (number of the document)."""
 
-    def __init__(self, data: bytes, starts: np.ndarray, length: int = LENGTH):
-        some = [_slice(data, a, min(len(data), a + SLICE + length - 1), starts, length) for a in range(0, max(0, len(data) - length + 1), SLICE)]
+    def __init__(self, data: bytes, starts: np.ndarray, step: int, length: int = LENGTH):
+        some = [_slice(data, a, min(len(data), a + step + length - 1), starts, length) for a in range(0, max(0, len(data) - length + 1), step)]
         some = some or [tuple(np.empty(0, np.uint64 if k > 3 else np.int64) for k in range(6))]
         self.begin, self.n, self.anchor, self.doc, self.id, self.whole = (np.concatenate(x) for x in zip(*some))
 
@@ -96,110 +117,190 @@ def _slice(data: bytes, a: int, b: int, starts: np.ndarray, length: int):
     return begin + a, n_windows, anchor + a, np.searchsorted(starts, begin + a, "right") - 1, _mix(gram[anchor]), whole
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.int64(len(arrays[0])).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
-
-
-def _unpack(raw: bytes, *types: str) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-    for t in types:
-        out.append(np.frombuffer(raw, t, n, at))
-        at += n * np.dtype(t).itemsize
-    return out
-
-
-def _firsts(runs: Runs, ids: np.ndarray):
-    """Distinct (bucketed) runs of a part in order of id and fingerprint: order, heads, first document."""
-    order = np.lexsort((ids[runs.doc], runs.whole, runs.id)) if len(runs.id) else np.empty(0, np.int64)
-    i, w = runs.id[order], runs.whole[order]
-    head = np.ones(len(order), bool)
-    head[1:] = (i[1:] != i[:-1]) | (w[1:] != w[:-1])
-    return order, np.flatnonzero(head), ids[runs.doc[order[head]]]
-
-
-def _by_bucket(buckets: np.ndarray):
-    order = np.argsort(buckets, kind="stable")
-    cuts = np.flatnonzero(np.diff(buckets[order], prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(order)]):
-        yield int(buckets[order[a]]), order[a:b]
-
-
-def _parts(batches):
-    """From rows (part, kind, id, hash, body) in order: part, answers, ids, hashes, data, starts."""
-    part, answers, ids, hashes, bodies = None, [], [], [], []
-
-    def done():
-        starts = np.cumsum([0, *map(len, bodies)])
-        return part, answers, np.array(ids, np.int64), np.array(hashes, np.int64), b"".join(bodies), starts
-
-    for batch in batches:
-        for p, kind, i, h, body in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if p != part:
-                if part is not None:
-                    yield done()
-                part, answers, ids, hashes, bodies = p, [], [], [], []
-            if kind == 0:
-                answers.append(body)
-            else:
-                ids.append(i)
-                hashes.append(h)
-                bodies.append(body)
-    if part is not None:
-        yield done()
-
-
-def _ask(n_buckets: int):
-    def run(batches):
-        for part, _, ids, _, data, starts in _parts(batches):
-            runs = Runs(data, starts)
-            order, heads, first = _firsts(runs, ids)
-            i, w = runs.id[order[heads]], runs.whole[order[heads]]
-            rows = [(b, part, _pack((i[at] >> _U(32)).astype("<u4"), w[at], first[at])) for b, at in _by_bucket((i % _U(n_buckets)).astype(np.int64))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "part", "body"])
+def _grams(data: bytes, at: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM bytes from each place."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    return _mix(eight[at] * _C[0] ^ _mix(eight[at + 8] * _C[1]))
+
+
+class Offers:
+    """A part's runs that can hold a repeat, equal ones once. Offer k: begin, n, back (from its anchor),
+    key, first (least document), several (whether other documents of the part have it), of (its run);
+    run r stands at order[heads[r]:ends[r]]."""
+
+    def __init__(self, part: exchange.Part, n_buckets: int, codes: dict[int, bytes] | None, sizes: Sizes):
+        data, starts = b"".join(part.bodies), part.starts
+        runs = self.runs = Runs(data, starts, sizes.slice)
+        mine = part.ids[runs.doc]
+        order = self.order = np.lexsort((mine, runs.whole, runs.id)) if len(mine) else np.empty(0, np.int64)
+        i, w, d = runs.id[order], runs.whole[order], mine[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (i[1:] != i[:-1]) | (w[1:] != w[:-1])
+        self.flat = np.frombuffer(data + bytes(ROOM + 1), np.uint8)
+        again = np.flatnonzero(~head)
+        for a in range(0, len(again), 100_000):  # equal by fingerprint: compared as bytes
+            k = again[a : a + 100_000]
+            one, two = (self.strings(runs.begin[order[x]], runs.n[order[x]]) for x in (k, k - 1))
+            head[k[(one != two).any(1)]] = True
+        self.heads = np.flatnonzero(head)
+        self.ends = np.append(self.heads[1:], len(order))
+        anchors = i[self.heads]
+        new = np.ones(len(anchors), bool)
+        new[1:] = anchors[1:] != anchors[:-1]
+        self.anchors, of = anchors[new], np.cumsum(new) - 1
+        self.kinds = np.bincount(of, minlength=len(self.anchors))
+        if codes is None:
+            return
+        code = np.zeros(len(self.anchors), np.uint8)
+        for b, at in by_number((self.anchors % _U(n_buckets)).astype(np.int64)):
+            if b in codes:
+                (code[at],) = unpack(codes[b], "u1")
+        several = d[self.heads] != d[self.ends - 1]
+        run = np.flatnonzero(several | (code[of] > 0) | (self.kinds[of] > 1))
+        rep = order[self.heads[run]]
+        begin, n, anchor, key = runs.begin[rep], runs.n[rep], runs.anchor[rep], runs.id[rep]
+        hot = code[of[run]] > 1
+        left = begin + n
+        cut = np.where(hot, np.clip(anchor - 17, begin, left), begin)  # from here on windows reach 17 bytes past the anchor
+        right, back = left > cut, cut > begin
+        beside = np.where(hot & right, _grams(data, np.where(hot & right, anchor + 17, 0)), _U(0)) if len(rep) else key
+        before = np.where(back, _grams(data, np.where(back, anchor - 16, 0)), _U(0)) if len(rep) else key
+        self.begin = np.concatenate([cut[right], begin[back]])
+        self.n = np.concatenate([(left - cut)[right], (cut - begin)[back]])
+        self.back = np.concatenate([(anchor - cut)[right], (anchor - begin)[back]])
+        self.key = np.concatenate([np.where(hot, _mix(key ^ _mix(beside)), key)[right], _mix(_mix(key) + before)[back]])
+        self.of = np.concatenate([run[right], run[back]])
+        self.first = d[self.heads[self.of]]
+        self.several = several[self.of]
+
+    def strings(self, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The bytes of runs, padded with zeros: a row each."""
+        text = np.lib.stride_tricks.sliding_window_view(self.flat, ROOM)[begin]
+        text[np.arange(ROOM) >= (n + LENGTH - 1)[:, None]] = 0
+        return text
+
+    def places(self, offer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each offer's occurrences: which offer, which run of the part, and where the offer begins."""
+        r = self.of[offer]
+        size = self.ends[r] - self.heads[r]
+        which = np.repeat(np.arange(len(offer)), size)
+        at = self.order[np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.heads[r], size)]
+        shift = self.begin[offer] - self.runs.begin[self.order[self.heads[r]]]
+        return which, at, self.runs.begin[at] + shift[which]
+
+
+CODES, GROUPS = 0, 1
+
+
+def _ask(n_buckets: int, sizes: Sizes):
+    def run(part):
+        o = Offers(part, n_buckets, None, sizes)
+        yield from exchange.messages(part.number, (o.anchors % _U(n_buckets)).astype(np.int64), (o.anchors >> _U(32)).astype("<u4"), np.minimum(o.kinds, 255).astype("u1"))
+
+    return run
+
+
+def _tell(sizes: Sizes):
+    """Whether other parts have an anchor: 1, or 2 where it is hot."""
+
+    def run(bucket: int, parts: list[int], bodies: list[bytes]):
+        some = [unpack(b, "<u4", "u1") for b in bodies]
+        anchor, kinds = (np.concatenate(x) for x in zip(*some))
+        _, inverse, times = np.unique(anchor, return_inverse=True, return_counts=True)
+        code = np.where(times > 1, 1 + (np.bincount(inverse, kinds) > sizes.hot), 0).astype("u1")[inverse]
+        ends = np.cumsum([len(x[0]) for x in some])
+        for p, a, b in zip(parts, [0, *ends], ends):
+            if code[a:b].any():
+                yield p, CODES, pack(code[a:b])
 
     return run
 
 
-def _grouped(batches):
-    """Rows (bucket, part, body) in order of bucket: bucket, parts, bodies."""
-    bucket, parts, bodies = None, [], []
-    for batch in batches:
-        for b, p, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if b != bucket:
-                if bodies:
-                    yield bucket, parts, bodies
-                bucket, parts, bodies = b, [], []
-            parts.append(p)
-            bodies.append(body)
-    if bodies:
-        yield bucket, parts, bodies
-
-
-def _answer(batches):
-    """For each part's distinct runs: the first document with the whole run, and whether other parts
-    or runs share the anchor; only where that tells more than the part knows."""
-    for bucket, parts, bodies in _grouped(batches):
-        some = [_unpack(b, "<u4", "<u8", "<i8") for b in bodies]
-        anchor, whole, first = (np.concatenate(x) for x in zip(*some))
+def _offer(n_buckets: int, sizes: Sizes):
+    def run(part):
+        o = Offers(part, n_buckets, part.answers.get(CODES, {}), sizes)
+        rows = []
+        for b, at in by_number((o.key % _U(n_buckets)).astype(np.int64)):
+            n = o.n[at]
+            text = o.strings(o.begin[at], n)
+            bare = text[np.arange(ROOM) < (n + LENGTH - 1)[:, None]]
+            rows.append((b, part.number, pack((o.key[at] >> _U(32)).astype("<u4"), n.astype("u1"), o.back[at].astype("u1"), o.several[at].astype("u1"), o.first[at]) + bare.tobytes()))
+        for a in range(0, len(rows), 500):
+            yield exchange.batch(rows[a : a + 500], bucket=pa.int64(), part=pa.int64(), body=pa.binary())
+
+    return run
+
+
+def _group(every: bool, sizes: Sizes):
+    """A bucket's groups, as (number of the offer in the part's message, from, to, group, first document)
+    to each part. Unless every, only where an occurrence in the part can be a repeat."""
+
+    def run(bucket: int, parts: list[int], bodies: list[bytes]):
+        some = [unpack(b, "<u4", "u1", "u1", "u1", "<i8") for b in bodies]
+        key, n, back, several, first = (np.concatenate(x) for x in zip(*some))
+        n = n.astype(np.int64)
         sent = [len(x[0]) for x in some]
         of = np.repeat(np.arange(len(parts)), sent)
-        number = (np.arange(len(of)) - np.repeat(np.cumsum(sent) - sent, sent)).astype("<u4")
-        order = np.lexsort((first, whole, anchor))
-        a, w = anchor[order], whole[order]
-        new_a = np.ones(len(order), bool)
-        new_a[1:] = a[1:] != a[:-1]
-        new_w = new_a.copy()
-        new_w[1:] |= w[1:] != w[:-1]
-        kinds = np.add.reduceat(new_w, np.flatnonzero(new_a))[np.cumsum(new_a) - 1]
-        least = first[order][np.flatnonzero(new_w)][np.cumsum(new_w) - 1]
-        tell = np.flatnonzero((least < first[order]) | (kinds > 1))
-        rows = []
-        for k, at in _by_bucket(of[order[tell]]):
-            at = tell[at]
-            rows.append((parts[k], bucket.to_bytes(8, "little") + _pack(number[order[at]], least[at], (kinds[at] > 1).astype("u1"))))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["part", "body"])
+        number = np.arange(len(of)) - np.repeat(np.cumsum(sent) - sent, sent)
+        text = np.zeros((len(n), ROOM), np.uint8)
+        text[np.arange(ROOM) < (n + LENGTH - 1)[:, None]] = np.frombuffer(b"".join(b[8 + 15 * k :] for b, k in zip(bodies, sent)), np.uint8)
+        order = np.lexsort((back, n, text.view(f"S{ROOM}").ravel(), key))
+        sorted_text, k, m, back = text[order], key[order], n[order], back[order].astype(np.int64)
+        new = np.ones(len(order), bool)
+        new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1]) | (back[1:] != back[:-1]) | (sorted_text[1:] != sorted_text[:-1]).any(1)
+        heads = np.flatnonzero(new)
+        ends = np.append(heads[1:], len(order))
+        least = np.minimum.reduceat(first[order], heads)
+        many = (ends - heads > 1) | (np.maximum.reduceat(several[order], heads) > 0)
+        string, size, k, back = sorted_text[heads], m[heads], k[heads], back[heads]
+        found: list[tuple] = []  # strings, from, to, group, first document
+        copies = np.flatnonzero(many)
+        found.append((copies, np.zeros(len(copies), int), size[copies] + LENGTH - 1, np.arange(len(copies)), least[copies]))
+        group = len(copies)
+        for rows, at in _suffixes(k, size, back, sizes.suffixes):
+            for shared, members, diverse in repeat_groups(string, rows, at, (size + LENGTH - 1)[rows], LENGTH):
+                if diverse:
+                    who = rows[members]
+                    found.append((who, at[members], at[members] + shared, np.full(len(who), group), np.full(len(who), least[who].min())))
+                    group += 1
+        which, begin, end, number_of, whose = (np.concatenate(x) for x in zip(*found))
+        # to every offer of each string
+        times = (ends - heads)[which]
+        row = np.repeat(np.arange(len(which)), times)
+        offer = order[np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(heads[which], times)]
+        tell = np.flatnonzero(every | (first[offer] > whose[row]) | (several[offer] > 0))
+        row, offer = row[tell], offer[tell]
+        for p, at in by_number(of[offer]):
+            r = row[at]
+            yield parts[p], GROUPS, pack(number[offer[at]].astype("<u4"), begin[r].astype("u1"), end[r].astype("u1"), number_of[r].astype("<u4"), whose[r])
+
+    return run
+
+
+def _suffixes(key: np.ndarray, size: np.ndarray, back: np.ndarray, most: int):
+    """The suffixes (strings and places) at all windows of strings that share a key, which are in order of
+    the key, in slices of whole keys. A key with too many comes by the window's distance from the anchor,
+    which equal windows have in common."""
+    new = np.append(True, key[1:] != key[:-1])
+    edge = np.append(np.flatnonzero(new), len(key))
+    edge = np.stack([edge[:-1], edge[1:]])[:, np.diff(edge) > 1]
+    count = np.append(0, np.cumsum(size))
+    a = 0
+    while a < edge.shape[1]:
+        total = np.cumsum(count[edge[1, a:]] - count[edge[0, a:]])
+        z = a + max(1, int(np.searchsorted(total, most, "right")))
+        rows = np.concatenate([np.arange(x, y) for x, y in zip(edge[0, a:z], edge[1, a:z])])
+        if total[0] > most:
+            for away in range(int(back[rows].max()) + 1):
+                at = back[rows] - away
+                fine = (at >= 0) & (at < size[rows])
+                if fine.sum() > 1:
+                    yield rows[fine], at[fine]
+        else:
+            n = size[rows]
+            row = np.repeat(rows, n)
+            yield row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        a = z
 
 
 def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,68 +313,6 @@ def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[heads], end[np.append(heads[1:], len(end)) - 1] if len(heads) else end[:0]
 
 
-def _resolve(n_buckets: int):
-    def run(batches):
-        for _, answers, ids, hashes, data, starts in _parts(batches):
-            runs = Runs(data, starts)
-            order, heads, first = _firsts(runs, ids)
-            first = first.copy()
-            anchors = runs.id[order[heads]]
-            many = np.zeros(len(heads), bool)
-            many[1:] |= anchors[1:] == anchors[:-1]
-            many[:-1] |= anchors[1:] == anchors[:-1]
-            told = {int.from_bytes(raw[:8], "little"): raw[8:] for raw in answers}
-            for b, sent in _by_bucket((anchors % _U(n_buckets)).astype(np.int64)):
-                if b not in told:
-                    continue
-                place, least, kinds = _unpack(told[b], "<u4", "<i8", "u1")
-                number = sent[place]
-                first[number] = np.minimum(first[number], least)
-                many[number] |= kinds > 0
-            of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
-            mine = ids[runs.doc[order]]
-            later = first[of] < mine
-            got = order[later]
-            out = []
-            if len(got):
-                begin, end = _union(runs.begin[got], runs.begin[got] + runs.n[got] + LENGTH - 1)
-                doc = np.searchsorted(starts, begin, "right") - 1  # runs lie within documents, which a union joins at most
-                for d, b, e in _cut(begin, end, doc, starts):
-                    out.append((0, int(ids[d]), int(hashes[d]), _pack(b - starts[d], e - starts[d])))
-            ask = order[~later & many[of]]
-            if len(ask):
-                room = LENGTH + LENGTH - GRAM
-                padded = np.frombuffer(data + bytes(room + 1), np.uint8)
-                text = np.lib.stride_tricks.sliding_window_view(padded, room)
-                for b, at in _by_bucket((runs.id[ask] % _U(n_buckets)).astype(np.int64)):
-                    r = ask[at]
-                    doc = runs.doc[r]
-                    out.append((1, b, 0, _pack(ids[doc], hashes[doc], runs.begin[r] - starts[doc], runs.n[r].astype("u1"), text[runs.begin[r]].view(f"S{room}"))))
-            for a in range(0, len(out), 1000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out[a : a + 1000]), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "key", "hash", "body"]
-                )
-
-    return run
-
-
-def _cut(begin, end, doc, starts):
-    """Intervals by document, cut where documents end."""
-    pieces = [(begin, end, doc)]
-    over = end > starts[doc + 1]
-    while over.any():
-        b, e, d = pieces.pop()
-        pieces.append((b, np.where(over, starts[d + 1], e), d))
-        d2 = d[over] + 1
-        pieces.append((starts[d2], e[over], d2))
-        over = pieces[-1][1] > starts[pieces[-1][2] + 1]
-    b, e, d = (np.concatenate(x) for x in zip(*pieces))
-    fine = e > b
-    b, e, d = b[fine], e[fine], d[fine]
-    for k, at in _by_bucket(d):
-        yield k, b[at], e[at]
-
-
 def intervals(prefixes: list[int], least: int):
     """Common-prefix intervals of at least `least`, children first, by one scan with a stack.
     prefixes[k] is what suffix k shares with suffix k + 1. Yields (shared, first, last, parent's shared)."""
@@ -323,97 +362,77 @@ def repeat_groups(text: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.nd
         yield depth, some[a : b + 1], bool((left != left[0]).any())
 
 
-def _compare(batches):
-    room = LENGTH + LENGTH - GRAM
-    for _, _, bodies in _grouped(batches):
-        some = [_unpack(b, "<i8", "<i8", "<i8", "u1", f"S{room}") for b in bodies]
-        ids, hashes, begin, n, raw = (np.concatenate(x) for x in zip(*some))
-        text = np.ascontiguousarray(raw).view(np.uint8).reshape(-1, room)
-        n = n.astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        size = (n + LENGTH - 1)[row]
-        doc = ids[row]
-        settled = np.zeros(len(row), bool)
-        got_row, got_from, got_to = [], [], []
-        for shared, members, diverse in repeat_groups(text, row, at, size, LENGTH):
-            open_ = members[~settled[members]]
-            d = doc[open_]
-            later = open_[d > doc[members].min()]
-            settled[later] = True
-            if diverse and len(later):
-                got_row.append(row[later])
-                got_from.append(begin[row[later]] + at[later])
-                got_to.append(begin[row[later]] + at[later] + shared)
-        if got_row:
-            r, a, b = (np.concatenate(x) for x in (got_row, got_from, got_to))
-            key = np.lexsort((hashes[r], ids[r]))
-            r, a, b = r[key], a[key], b[key]
-            new = np.flatnonzero(np.append(True, (ids[r][1:] != ids[r][:-1]) | (hashes[r][1:] != hashes[r][:-1])))
-            rows = [(int(ids[r[x]]), int(hashes[r[x]]), _pack(*_union(a[x:y], b[x:y]))) for x, y in zip(new, [*new[1:], len(r)])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["key", "hash", "body"])
-
-
-def _remove(batches):
-    for batch in batches:
-        ids, bodies, spans = (batch.column(k).to_pylist() for k in range(3))
-        n, removed, n_spans, digest = [], [], [], []
-        for body, some in zip(bodies, spans):
-            n.append(len(body))
-            if not some:
-                removed.append(0)
-                n_spans.append(0)
-                digest.append(hashlib.sha256(body).hexdigest())
-                continue
-            a, b = _union(*(np.concatenate(x) for x in zip(*(_unpack(s, "<i8", "<i8") for s in some))))
+def _located(part: exchange.Part, n_buckets: int, sizes: Sizes):
+    """All occurrences in the part of the groups told: run, begin and end in the part, group, first document."""
+    o = Offers(part, n_buckets, part.answers.get(CODES, {}), sizes)
+    out = []
+    sent = dict(by_number((o.key % _U(n_buckets)).astype(np.int64)))
+    for b, raw in part.answers.get(GROUPS, {}).items():
+        number, begin, end, group, first = unpack(raw, "<u4", "u1", "u1", "<u4", "<i8")
+        which, run, at = o.places(sent[b][number])
+        out.append((run, at + begin[which], at + end[which], group[which].astype(np.int64) + (b << 32), first[which]))
+    return o, [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 5
+
+
+def _remove(n_buckets: int, sizes: Sizes):
+    def run(part):
+        o, (r, begin, end, _, first) = _located(part, n_buckets, sizes)
+        doc, starts = o.runs.doc[r], part.starts
+        later = first < part.ids[doc]
+        # a gap of one between documents, so that spans of two don't meet
+        begin, end = _union((begin + doc)[later], (end + doc)[later])
+        doc = np.searchsorted(starts + np.arange(len(starts)), begin, "right") - 1
+        spans = {d: (begin[at] - starts[d] - d, end[at] - starts[d] - d) for d, at in by_number(doc)}
+        rows = []
+        for d, body in enumerate(part.bodies):
+            a, b = spans.get(d, ((), ()))
             h, at = hashlib.sha256(), 0
-            for x, y in zip(a.tolist(), b.tolist()):
+            for x, y in zip(a, b):
                 h.update(body[at:x])
                 at = y
             h.update(body[at:])
-            removed.append(int((b - a).sum()))
-            n_spans.append(len(a))
-            digest.append(h.hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        )
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """key (id), hash (of the text), body: packed intervals of each document's repeats; a document can
-    have several rows."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    body = F.encode(F.col(text), "UTF-8")
-    base = docs.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull())
-    total = base.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n_parts = max(1, -(-total // part_bytes))
-    n_buckets = max(1, n_parts)
-    rows = base.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_parts)).alias("part"), F.lit(1).alias("kind"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("hash"), body.alias("body")
-    ).filter(F.octet_length("body") >= LENGTH)
-    order = ["part", "kind", "id", "hash"]
-
-    asked = rows.repartition("part").sortWithinPartitions(*order).mapInArrow(_ask(n_buckets), "bucket long, part long, body binary")
-    answers = common.materialize(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "part long, body binary"), "answers")
-    del asked
-    common.release(spark)
-    nothing = F.lit(0).cast("long")
-    both = rows.unionByName(answers.select("part", F.lit(0).alias("kind"), nothing.alias("id"), nothing.alias("hash"), "body"))
-    found = both.repartition("part").sortWithinPartitions(*order).mapInArrow(_resolve(n_buckets), "kind int, key long, hash long, body binary")
-    found = common.materialize(found, "runs")
-    del both
-    common.release(spark)
-    sent = found.filter("kind = 1").select(F.col("key").alias("bucket"), F.lit(0).cast("long").alias("part"), "body")
-    compared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare, "key long, hash long, body binary")
-    return found.filter("kind = 0").select("key", "hash", "body").unionByName(compared)
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    spans = common.materialize(repeats(docs, id_col, text), "repeats").groupBy("key", "hash").agg(F.collect_list("body").alias("spans"))
-    common.release(docs.sparkSession)
-    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("body"), F.xxhash64(F.col(text)).alias("hash"))
-    both = every.join(spans.withColumnRenamed("hash", "of"), (F.col("doc_id") == F.col("key")) & (F.col("hash") == F.col("of")), "left")
-    return both.select("doc_id", "body", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            rows.append((int(part.ids[d]), len(body), [{"begin": int(x), "end": int(y)} for x, y in zip(a, b)], h.hexdigest()))
+        yield exchange.batch(rows, doc_id=pa.int64(), n_bytes=pa.int64(), spans=pa.list_(pa.struct({"begin": pa.int64(), "end": pa.int64()})), kept_sha256=pa.string())
+
+    return run
+
+
+def _occurrences(n_buckets: int, sizes: Sizes):
+    def run(part):
+        o, (r, begin, end, group, first) = _located(part, n_buckets, sizes)
+        doc, starts = o.runs.doc[r], part.starts
+        for a in range(0, len(r), 50_000):
+            d, s = doc[a : a + 50_000], slice(a, a + 50_000)
+            columns = (group[s], part.ids[d], part.hashes[d], begin[s] - starts[d], end[s] - begin[s], first[s])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["group", "doc_id", "hash", "start", "length", "first_doc"])
+
+    return run
+
+
+def _exchanged(docs: DataFrame, id_col: str, text: str, sizes: Sizes, every: bool, scratch: common.Scratch):
+    common.ship(docs.sparkSession)
+    long_enough = docs.filter(F.octet_length(text) >= LENGTH)
+    n = exchange.n_parts_of(long_enough, text, sizes.part)
+    rows = exchange.rows_of(long_enough, id_col, text, n)
+    codes = scratch.write(exchange.by_bucket(exchange.by_part(rows, _ask(n, sizes), exchange.MESSAGE), _tell(sizes)), "anchors")
+    offered = exchange.by_part(exchange.with_answers(rows, codes), _offer(n, sizes), exchange.MESSAGE)
+    groups = scratch.write(exchange.by_bucket(offered, _group(every, sizes)), "groups")
+    return n, exchange.with_answers(rows, codes, groups)
+
+
+def repeat_groups_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sizes: Sizes = Sizes(), scratch: common.Scratch | None = None) -> DataFrame:
+    """Every occurrence of every group: group, doc_id, hash (of the text), start, length, first_doc."""
+    n, rows = _exchanged(docs, id_col, text, sizes, True, common.scope(docs, scratch))
+    return exchange.by_part(rows, _occurrences(n, sizes), "group long, doc_id long, hash long, start long, length long, first_doc long")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sizes: Sizes = Sizes(), scratch: common.Scratch | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (maximal removed runs, begin and end in bytes) and kept_sha256 of every document."""
+    n, rows = _exchanged(docs, id_col, text, sizes, False, common.scope(docs, scratch))
+    spans = "array<struct<begin:bigint,end:bigint>>"
+    found = exchange.by_part(rows, _remove(n, sizes), f"doc_id long, n_bytes long, spans {spans}, kept_sha256 string")
+    body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    rest = docs.filter(F.col(id_col).isNull() | F.col(text).isNull() | (F.octet_length(text) < LENGTH))
+    return found.unionByName(
+        rest.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.array().cast(spans).alias("spans"), F.sha2(body, 256).alias("kept_sha256"))
+    )
