@@ -12,36 +12,50 @@ from pyspark.sql import functions as F
 from vocalis.llm import common, line_dedup, minhash, mixing, packing, quality
 
 
+#: The scratch tables of the stage before, by session: written results no longer read them.
+_before: dict[str, common.Scratch] = {}
+
+
+def _scope(spark: SparkSession, docs: DataFrame) -> common.Scratch:
+    """This stage's tables. Those of the stage before go, unless docs, its result, still reads them."""
+    key = spark.sparkContext.applicationId
+    last = _before.get(key)
+    if last and not any(at in f for f in docs.inputFiles() for at in last.paths):
+        last.close()
+    _before[key] = common.Scratch(spark)
+    return _before[key]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their host's verdict reject go."""
-    return quality.quality_filter(docs)
+    """Documents that the base rules or their host's verdict reject go. A null or empty text has no
+    words and goes; a null host is a host; repeated rows stay; of no documents none are left."""
+    return quality.quality_filter(docs, scratch=_scope(spark, docs))
 
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go, with documents of which no word is left."""
-    common.tidy(docs)
-    out = line_dedup.deduplicated(docs, whole_runs=True)
+    """Later copies of repeated line runs go, with documents of which no word is left. A null text
+    stays null; rows with one id and text are one document and keep the same lines; whole texts count."""
+    out = line_dedup.deduplicated(docs, whole_runs=True, scratch=_scope(spark, docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
-    common.tidy(docs)
-    return minhash.near_dedup(docs)
+    """One document of each group stays, the one with the smallest id: five-word shingles, similarity of
+    0.8 or more. Texts without words and null ids are of no group and stay; so do all rows of an id."""
+    return minhash.near_dedup(docs, scratch=_scope(spark, docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    common.tidy(docs)
-    return mixing.mixed(docs)
+    """Documents as often as the mix of sources takes them; those without words are not taken, and null
+    is a source, the last."""
+    return mixing.mixed(docs, scratch=_scope(spark, docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
-    common.tidy(docs)
+    """Pieces of documents in sequences of 2048 tokens; a document that was taken twice is packed twice."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), scratch=_scope(spark, docs))
 
 
 STAGES = [
