@@ -47,7 +47,7 @@ def test_other_results_outlive_a_pipeline_run(spark, docs, tmp_path):
 
 
 def test_no_own_folder_on_a_cluster(spark, monkeypatch):
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda _: "spark://host:7077"))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     monkeypatch.setattr(type(spark.conf), "get", lambda *_: None)
     monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda _: None)
     with pytest.raises(ValueError):

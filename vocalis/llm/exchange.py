@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
+#: Rows that become Python objects together.
+CHUNK = 256
 MESSAGE = "bucket long, part long, body binary"
 ANSWER = "part long, kind int, bucket long, body binary"
 U = np.uint64
@@ -85,12 +87,18 @@ def with_answers(rows: DataFrame, *answers: DataFrame) -> DataFrame:
     return rows
 
 
+def _chunks(batches):
+    for some in batches:
+        for a in range(0, some.num_rows, CHUNK):
+            yield some.slice(a, CHUNK)
+
+
 def by_part(rows: DataFrame, run: Callable[[Part], Iterator[pa.RecordBatch]], schema: str, *extra: str) -> DataFrame:
     """run over each part; extra columns are given as lists in Part.extra."""
 
     def over(batches):
         part, held = None, []
-        for some in batches:
+        for some in _chunks(batches):
             for p, kind, i, h, bucket, body, *more in zip(*(some.column(k).to_pylist() for k in range(some.num_columns))):
                 if part is None or p != part.number:
                     if part is not None:
@@ -127,7 +135,7 @@ def by_bucket(messages: DataFrame, run: Callable[[int, list[int], list[bytes]],
                 yield batch(rows, part=pa.int64(), kind=pa.int32(), bucket=pa.int64(), body=pa.binary())
 
         bucket, parts, bodies = None, [], []
-        for some in batches:
+        for some in _chunks(batches):
             for b, p, body in zip(*(some.column(k).to_pylist() for k in range(3))):
                 if b != bucket:
                     if bodies:

@@ -38,7 +38,7 @@ MIX = 0.7
 #: Ids (of 8 bytes) up to which a list of target documents is broadcast.
 MOST_BROADCAST = 2_000_000
 #: Bytes that are hashed together.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -81,7 +81,7 @@ class Grams:
         words, n = word_ids(bodies)
         self.size = np.where(n > 0, n + 1, 0)  # the end is a token of texts that have words
         self.starts = np.cumsum(np.append(0, self.size))
-        self.doc = np.repeat(np.arange(len(n)), self.size)
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), self.size)
         token = np.full(self.starts[-1], _END)
         last = np.zeros(len(token), bool)
         last[self.starts[1:][self.size > 0] - 1] = True
@@ -122,7 +122,7 @@ class Counts:
         for keys in g.keys:
             distinct, inverse, n, nt = _counted(keys, target)
             some.append((distinct, n, nt))
-            self.at.append(inverse + base)
+            self.at.append((inverse + base).astype(np.int32))
             base += len(distinct)
         self.keys, self.n, self.nt = (np.concatenate(x) for x in zip(*some))
         self.buckets = dict(by_number(((self.keys >> _U(8)) % _U(n_buckets)).astype(np.int64)))
@@ -186,8 +186,9 @@ def _score(n_buckets: int, order: int, mix: float, words: int, tokens: int, in_t
         first[g.starts[:-1][g.size > 0]] = True
         salt = _mix(g.doc.astype(np.uint64) + _A)
         for at, keys in zip(c.at, g.keys):
-            _, mine, times, _ = _counted(_mix(keys ^ salt), target)
+            _, mine, times = np.unique(_mix(keys ^ salt), return_inverse=True, return_counts=True)
             own = times[mine]  # in this document
+            del mine, times
             count = {"all": c.n[at] - own, "target": c.nt[at] - own * target}
             for m in p:
                 p[m] = np.where(context[m] > 0, mix * count[m] / np.maximum(context[m], 1) + (1 - mix) * p[m], p[m])
