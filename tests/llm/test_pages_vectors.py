@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,25 +85,68 @@ def brute(ids, vectors, queries, k):
     return out
 
 
-def test_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD", 300)
-    monkeypatch.setattr(ann, "BLOCK", 16)
-    monkeypatch.setattr(ann, "LEAF", 32)
-    r = np.random.default_rng(0)
-    centre = r.standard_normal((8, 16))
-    vectors = (centre[r.integers(0, 8, 2000)] + 0.6 * r.standard_normal((2000, 16))).astype(np.float32)
-    vectors[::7] = vectors[0]  # one vector, many times
-    made = [(i, v.tolist()) for i, v in enumerate(vectors)]
-    d = spark.createDataFrame(made, "vec_id long, embedding array<float>")
-    got = ann.nearest(d, F.col("vec_id") % 20 == 0).collect()
-    found = {}
+def written(spark, tmp_path, vectors):
+    """vec_id and embedding as a table."""
+    column = pa.array(list(vectors), pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": column}), f"{tmp_path}/v.parquet")
+    return spark.read.parquet(f"{tmp_path}/v.parquet").repartition(4)
+
+
+def recall(got, vectors, asked, k=20):
+    found, v = {}, vectors.astype(float)
     for x in sorted(got, key=lambda x: (x.query_id, x.rank)):
         found.setdefault(x.query_id, []).append(x.vec_id)
-        assert x.score == pytest.approx(float(vectors[x.query_id].astype(float) @ vectors[x.vec_id].astype(float)))
-    want = brute(list(range(2000)), vectors.astype(float).tolist(), range(0, 2000, 20), 20)
-    assert all(len(found[q]) == 20 for q in want)
-    assert sum(len(set(found[q]) & set(w)) for q, w in want.items()) / sum(map(len, want.values())) >= 0.9
-    assert found[0] == want[0]  # ties go to the smaller id
+        assert x.score == pytest.approx(float(v[x.query_id] @ v[x.vec_id]))
+    hits = 0
+    for q in asked:
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(len(v)), -score))[:k].tolist()) & set(found[q]))
+    assert all(len(x) == k for x in found.values())
+    return hits / (k * len(asked)), found
+
+
+def test_recall_and_exact_scores(spark, tmp_path):
+    r = np.random.default_rng(0)
+    centre = r.standard_normal((8, 16))
+    vectors = (centre[r.integers(0, 8, 12_000)] + 0.6 * r.standard_normal((12_000, 16))).astype(np.float32)
+    vectors[::3] = 3 * vectors[0]  # one vector, a third of all rows
+    d = written(spark, tmp_path, vectors)
+    share, found = recall(ann.nearest(d, F.col("vec_id") % 100 == 0).collect(), vectors, range(0, 12_000, 100))
+    assert share >= 0.9
+    assert found[0] == list(range(3, 61, 3))  # ties go to the smaller id
+
+
+def test_clusters_are_pruned(spark, tmp_path):
+    """50,000 clustered unit vectors, production constants: recall, and the share of pairs verified."""
+    r = np.random.default_rng(3)
+    centre = r.standard_normal((200, 64))
+    vectors = centre[r.integers(0, 200, 50_000)] + 0.7 * r.standard_normal((50_000, 64))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    d = written(spark, tmp_path, vectors)
+    asked = range(0, 50_000, 100)
+    share, _ = recall(ann.nearest(d, F.col("vec_id") % 100 == 0).collect(), vectors, asked)
+    pairs = ann.candidates(d, F.col("vec_id") % 100 == 0, "vec_id", "embedding", 20, 11, None).agg(F.sum("verified")).first()[0]
+    print("recall", share, "verified", pairs / len(asked) / len(vectors))
+    assert share >= 0.9
+    assert pairs / len(asked) / len(vectors) < 0.3
+
+
+def test_recall_on_the_given_table(spark):
+    """The query's own constants on its own kind of table: vectors without clusters, the worst case."""
+    table = "/root/testdata/sf0.1/embeddings.parquet"
+    d = spark.read.parquet(table)
+    vectors = np.array([x.embedding for x in d.orderBy("vec_id").collect()], np.float32)
+    assert [x.vec_id for x in d.orderBy("vec_id").select("vec_id").collect()] == list(range(len(vectors)))
+    share, _ = recall(ann.nearest(d, F.col("vec_id") % 100 == 0).collect(), vectors, range(0, len(vectors), 100))
+    assert share >= 0.9
+
+
+def test_repeated_ids(spark):
+    made = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.5]), (2, [0.5, 2.0]), (2, [0.5, 2.0])]
+    d = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    got = {tuple(sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(d.repartition(n), F.col("vec_id") == 0).collect())) for n in (1, 2, 5)}
+    assert got == {((0, 1, 2, 2.0), (0, 2, 2, 2.0), (0, 3, 1, 0.5))}
 
 
 def test_odd_vectors(spark):
@@ -116,6 +161,6 @@ def test_odd_vectors(spark):
 def test_stopping_ratio_is_the_quantile():
     for m in (6, 12):
         assert ann.chi_square(ann.stopping_ratio(m, 0.95), m) == pytest.approx(0.95)
-    x = np.random.default_rng(0).chisquare(12, 200_000)
+    x = np.random.default_rng(0).chisquare(ann.M, 200_000)
     assert np.mean(x < ann.stopping_ratio()) == pytest.approx(ann.STOP, abs=0.005)
     assert math.isclose(ann.chi_square(0.0, 12), 0.0)
