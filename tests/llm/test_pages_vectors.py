@@ -1,6 +1,7 @@
 """HTML extraction and nearest neighbours."""
 
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,38 @@ def test_odd_pages(spark):
     assert html_crf.extract(d.limit(0), keep=["page_id"]).collect() == []
 
 
+LONG = {"open tags": "<a ", "inline": "<b>x", "blocks": "<div>x", "quote": None, "stray ends": None, "quotes": "<a =''", "own names": None, "comments": "<!-- ", "headings": None}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_unclosed_markup_takes_linear_time(model, kind):
+    page = {
+        "quote": "<p>Before.</p><a href=\"x " + "u <a " * 200_000,
+        "stray ends": "<div>" * 80_000 + "</p></li>" * 60_000,
+        "own names": "".join(f"<x{i}>y" for i in range(100_000)),
+        "headings": "<p><section>" + "<b>" * 100_000 + "<h1>t" * 100_000,
+    }.get(kind) or LONG[kind] * (1_000_000 // len(LONG[kind]))
+    began = time.process_time()
+    html_crf.main_text(page, model)
+    assert time.process_time() - began < 3
+
+
+def test_tag_ends():
+    texts = lambda page: [b.text for b in html_crf.blocks(page)]
+    assert texts("<p title='a > b'>x</p>") == ["x"]
+    assert texts("<p class=it's>x</p>y") == ["x", "y"]
+    assert texts("<p title='open>x</p><p>y</p>") == ["x", "y"]
+    assert texts("1 < 2 <b>and</b> 3 > 2 <") == ["1 < 2 and 3 > 2 <"]
+    assert texts("x<p cla") == ["x"] and texts("x</") == ["x"] and texts("a<!-- b") == ["a"] and texts("a<!x>b") == ["ab"]
+    assert texts("<ul><li>a<li>b</ul>c<script>if (a<b) x()</script>d") == ["a", "b", "c", "d"]
+
+
+def test_names_that_clash(spark):
+    d = spark.createDataFrame([(1, "<p>x", "mine", 5, 7)], "page_id long, html string, text string, n_chars int, row int")
+    out = html_crf.extract(d)
+    assert out.columns == ["page_id", "row", "text", "n_chars"] and out.first().n_chars == len(out.first().text)
+
+
 def test_viterbi_is_the_best_labelling(model):
     r = np.random.default_rng(2)
     names = list(model.weight)

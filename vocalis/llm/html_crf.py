@@ -10,8 +10,10 @@ driver and travels with the task. Pages are handled one by one, in batches, with
 
 Defined results: null or empty html, and pages without main text, give an empty string; markup that
 isn't closed is read as browsers would roughly do; a page that ends inside a tag loses that tag; an
-unclosed script, style or comment runs to the end; rows that repeat give rows that repeat; an empty
-table gives an empty table.
+unclosed script, style or comment runs to the end; a quote that isn't closed hides no tag's end; rows
+that repeat give rows that repeat; an empty table gives an empty table; result columns win over columns
+of the same name. Very long pages are read whole, in time and memory linear in their length, whatever
+they leave unclosed.
 """
 
 from __future__ import annotations
@@ -34,12 +36,20 @@ CHUNK = 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template svg textarea iframe object canvas select head title".split())
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?!(?:svg|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>)(script|style|noscript|template|svg|textarea|iframe|object|canvas|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/!?a-zA-Z][^<>]*\Z",
-    re.S | re.I,
-)
+RAW = frozenset("script style noscript template svg textarea iframe object canvas select title".split())
+EMBEDDED = frozenset("svg object canvas".split())
+#: Tags that close an open tag of their own kind, and those beyond which nothing is closed.
+SAME = frozenset("li dd dt option tr td th".split())
+SCOPE = frozenset("table td th ul ol div section article main aside nav form header footer body".split())
+#: Tags that make features; others are read alike.
+KNOWN = VOID | INLINE | SAME | SCOPE | frozenset(
+    "html head body h1 h2 h3 h4 h5 h6 p pre blockquote address hr dl figure figcaption caption thead tbody tfoot colgroup fieldset legend label button select optgroup "
+    "details summary dialog menu center hgroup search video audio picture map noscript template iframe object canvas svg math textarea title script style".split()
+)
+OPENS = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What can end a tag, or hide its end.
+EDGE = re.compile(r">|=\s*[\"']")
+CLOSES = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -70,61 +80,138 @@ class Block:
     at: int  # where in the page its first text stands
 
 
+class _Edges:
+    """Where tags end. Each place of the page is searched once: what was found beyond a place holds for
+    all tags that begin before it."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.found: tuple[int, re.Match | None] = (0, EDGE.search(page))  # the first edge at or after a place
+        self.ends: dict[int, int] = {}  # edge to the end of a tag that meets it, or -1
+        self.unclosed: set[str] = set()
+
+    def _next(self, at: int) -> re.Match | None:
+        since, m = self.found
+        if not (since <= at and (m is None or at <= m.start())):
+            self.found = (at, m := EDGE.search(self.page, at))
+        return m
+
+    def end(self, at: int) -> int:
+        """Where the tag whose name ends at `at` ends (its sign >), or -1. A quote that isn't closed hides nothing."""
+        met, m = [], self._next(at)
+        while m is not None and m.start() not in self.ends:
+            met.append(m.start())
+            sign = m[0][-1]
+            if sign == ">":
+                out = m.start()
+                break
+            close = -1 if sign in self.unclosed else self.page.find(sign, m.end())
+            if close < 0:
+                self.unclosed.add(sign)
+            m = self._next(close + 1 if close >= 0 else m.end())
+        else:
+            out = -1 if m is None else self.ends[m.start()]
+        self.ends.update(dict.fromkeys(met, out))
+        return out
+
+
+class _Node:
+    """An open tag: what its ancestors and it make of features grows by what is new."""
+
+    __slots__ = ("tag", "tags", "kinds", "near", "features")
+
+    def __init__(self, parent: _Node | None, tag: str, names: tuple[str, ...]):
+        tag = tag if tag in KNOWN else ""
+        own = (TAGS[tag], *names) if tag in TAGS else names
+        tags, kinds = (parent.tags, parent.kinds) if parent else (frozenset(), frozenset())
+        self.tag = tag
+        self.tags = tags if tag in tags else tags | {tag}
+        self.kinds = kinds if kinds.issuperset(own) else kinds | set(own)
+        self.near = tuple(sorted(set(own))) if own else parent.near if parent else ()
+        self.features = None
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, _Node]] = []
+    places: dict[str, list[int]] = {}  # where in the stack each name stands
+    scopes: list[int] = []
     held: list[str] = []
-    state = {"at": 0, "path": (), "linked": 0}
-
-    def text(raw: str, at: int) -> None:
-        if not raw:
-            return
-        if not any(held) and not raw.isspace():
-            state["at"], state["path"], state["linked"] = at, tuple(stack), 0
-        if any(t == "a" for t, _ in stack):
-            state["linked"] += len(raw)
-        held.append(raw)
+    edges = _Edges(page)
+    begun, at_first, path, linked = False, 0, None, 0
 
     def close() -> None:
-        if held:
+        nonlocal begun, linked
+        if begun:
             body = " ".join(entities.unescape("".join(held)).split())
             if body:
-                out.append(Block(body, _features(body, state["path"], state["linked"]), state["at"]))
-            held.clear()
-            state["linked"] = 0
-
-    def pop_to(name: str, stop: frozenset = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
-
-    last = 0
-    for m in TOKEN.finditer(page):
-        text(page[last : m.start()], last)
-        last = m.end()
-        name = (m[3] or "").lower()
-        if m[1] or not name:
-            if m[1] and m[1].lower() not in INLINE:
-                close()
+                out.append(Block(body, _features(body, path, linked), at_first))
+        held.clear()
+        begun, linked = False, 0
+
+    def pop_to(name: str, scoped: bool = False) -> None:
+        if places.get(name) and not (scoped and scopes and scopes[-1] > places[name][-1]):
+            k = places[name][-1]
+            for gone, _ in stack[k:]:
+                places[gone].pop()
+                if gone in SCOPE:
+                    scopes.pop()
+            del stack[k:]
+
+    last = i = 0
+    last_open, last_end = page.rfind("<"), page.rfind(">")
+    size = len(page)
+    while i <= size:
+        i = page.find("<", i)
+        tag = end = name = None
+        if i < 0:
+            i = end = size
+        elif page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            end = size if end < 0 else end + 3
+        elif page[i + 1 : i + 2] in ("!", "?"):
+            end = page.find(">", i) + 1 if last_end > i else size if i == last_open else None
+        elif tag := OPENS.match(page, i):
+            name = tag[1].lower()
+            end = edges.end(tag.end()) + 1
+            if not end:
+                end, tag = (size if i == last_open and last_end < i else None), None
+        elif page.startswith("</", i) and i == last_open and last_end < i:
+            end = size
+        if end is None:  # a sign in the text
+            i += 1
             continue
-        if name == "br":
+        raw = page[last:i]
+        if raw:
+            if not begun and not raw.isspace():
+                begun, at_first, path, linked = True, last, stack[-1][1] if stack else None, 0
+            if places.get("a"):
+                linked += len(raw)
+            held.append(raw)
+        attributes = page[tag.end() : end - 1] if tag else ""
+        if tag and name in RAW and page[i + 1] != "/" and not (name in EMBEDDED and attributes.endswith("/")):
+            if name not in INLINE:
+                close()
+            m = CLOSES[name].search(page, end)
+            end = m.end() if m else size
+        elif tag and name == "br":
             held.append(" ")
-            continue
-        if name not in INLINE:
-            close()
-        if m[2]:
-            pop_to(name)
-        elif name not in VOID and not m[4].endswith("/"):
+        elif tag:
             if name not in INLINE:
-                if name in SAME:
-                    pop_to(name, SCOPE)
-                if name not in ("span",):
-                    pop_to("p", SCOPE)
-            stack.append((name, _kinds(m[4])))
-    text(page[last:], last)
+                close()
+            if page[i + 1] == "/":
+                pop_to(name)
+            elif name not in VOID and not attributes.endswith("/"):
+                if name not in INLINE:
+                    if name in SAME:
+                        pop_to(name, True)
+                    pop_to("p", True)
+                if name in SCOPE:
+                    scopes.append(len(stack))
+                places.setdefault(name, []).append(len(stack))
+                stack.append((name, _Node(stack[-1][1] if stack else None, name, _kinds(attributes) if len(attributes) < 1000 else _kinds.__wrapped__(attributes))))
+        last = end
+        i = max(end, i + 1)
     close()
     if out:
         out[0].features.append("first")
@@ -132,11 +219,6 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-#: Tags that close an open tag of their own kind, and those beyond which nothing is closed.
-SAME = frozenset("li dd dt option tr td th".split())
-SCOPE = frozenset("table td th ul ol div section article main aside nav form header footer body".split())
-
-
 @functools.lru_cache(4096)
 def _kinds(attributes: str) -> tuple[str, ...]:
     found = []
@@ -147,22 +229,24 @@ def _kinds(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
-@functools.lru_cache(4096)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    f = [f"t:{t}" for t in {t for t, _ in path}]
-    kinds = [[*((TAGS[t],) if t in TAGS else ()), *names] for t, names in path]
-    f += [f"k:{k}" for k in {k for ks in kinds for k in ks}]
-    near = next((ks for ks in reversed(kinds) if ks), [])
-    f += [f"near:{k}" for k in set(near)]
-    if any(k in ks for ks in kinds for k in ("nav", "head", "foot", "side", "note", "ad", "talk", "form")):
-        f.append("other")
-    f.append(f"in:{path[-1][0] if path else ''}")
-    if not any(kinds):
-        f.append("plain")
-    return tuple(sorted(f))
-
-
-def _features(body: str, path: tuple, linked: int) -> list[str]:
+def _path_features(path: _Node | None) -> tuple[str, ...]:
+    if path is None:
+        return ("in:", "plain")
+    if path.features is None:
+        f = [f"t:{t}" for t in path.tags] + [f"k:{k}" for k in path.kinds] + [f"near:{k}" for k in path.near]
+        if path.kinds & OTHER:
+            f.append("other")
+        f.append(f"in:{path.tag}")
+        if not path.kinds:
+            f.append("plain")
+        path.features = tuple(sorted(f))
+    return path.features
+
+
+OTHER = frozenset("nav head foot side note ad talk form".split())
+
+
+def _features(body: str, path: _Node | None, linked: int) -> list[str]:
     n = body.count(" ") + 1
     share = linked / len(body)
     f = list(_path_features(path))
@@ -284,11 +368,12 @@ def main_text(page: str | None, model: Model) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None, model: Model | None = None) -> DataFrame:
-    """The columns of pages named in keep (all but html by default), then text and n_chars."""
+    """The columns of pages named in keep (all but html by default), then text and n_chars. Columns of
+    pages that have these two names aren't kept."""
     common.ship(pages.sparkSession)
     model = model or default_model()
-    keep = [c for c in pages.columns if c != html] if keep is None else keep
-    base = pages.select(F.struct(*(F.col(c) for c in keep)).alias("row"), F.col(html).alias("html"))
+    keep = [c for c in (pages.columns if keep is None else keep) if c not in (html if keep is None else "", "text", "n_chars")]
+    base = pages.select(F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in keep)).alias("row"), F.col(html).alias("html"))
 
     def run(batches):
         for batch in batches:
@@ -298,4 +383,4 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None,
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["row", "text", "n_chars"])
 
     out = base.mapInArrow(run, base.select("row", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema)
-    return out.select("row.*", "text", "n_chars") if len({*keep, "text", "n_chars"}) == len(keep) + 2 else out
+    return out.select(*(F.col("row").getField(c).alias(c) for c in keep), "text", "n_chars")
