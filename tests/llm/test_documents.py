@@ -124,13 +124,55 @@ def test_packing_holds_each_id_once(docs):
     check_packing(got, want, 256)
 
 
+def padding(lengths, length=2048):
+    """Share of padding, of pieces of these lengths as pack() places them: classes, patterns, slots."""
+    demand = np.bincount(lengths, minlength=length + 1)[1:]
+    of = packing.classes(demand)
+    assert (of >= np.arange(1, length + 1)).all()
+    need = np.bincount(of, demand, length + 1).astype(int)
+    sizes = np.flatnonzero(need)
+    used = packing.patterns(need[sizes], sizes, length)
+    assert all(p @ sizes <= length for p, _ in used)
+    assert (sum(p * n for p, n in used) >= need[sizes]).all()
+    return 1 - sum(lengths) / (length * sum(n for _, n in used))
+
+
 def test_packing_has_little_padding():
     r = np.random.default_rng(0)
-    demand = np.bincount(r.integers(0, 256, 20_000), minlength=256)
-    used = packing.patterns(demand)
-    assert (sum(p * n for p, n in used) >= demand).all()
-    assert all((p * np.arange(1, 257)).sum() <= 256 for p, _ in used)
-    assert sum(n for _, n in used) * 256 <= 1.01 * (demand * np.arange(1, 257)).sum()
+    for n in (9, 17, 20):
+        assert padding([n] * 12_800) <= 0.02
+    assert padding(r.integers(1, 2049, 50_000).tolist()) <= 0.02
+    assert padding((1 + r.gamma(1.2, 250, 50_000).astype(int) % 2048).tolist()) <= 0.02
+    assert padding([3, 700, 700, 640, 2048, 1024, 1024]) < 0.17  # four sequences, as few as can be
+
+
+def test_packing_is_as_tight_as_an_exhaustive_one():
+    """Small cases against the best packing by search."""
+
+    def best(left, bins):
+        if not left:
+            return len(bins)
+        out, seen = len(left) + len(bins), set()
+        for k, room in enumerate(bins):
+            if room >= left[0] and room not in seen:
+                seen.add(room)
+                out = min(out, best(left[1:], [*bins[:k], room - left[0], *bins[k + 1 :]]))
+        return min(out, best(left[1:], [*bins, 12 - left[0]]))
+
+    r = random.Random(2)
+    for _ in range(40):
+        some = sorted((r.randint(1, 12) for _ in range(7)), reverse=True)
+        need = np.bincount(some, minlength=13)
+        sizes = np.flatnonzero(need)
+        used = packing.patterns(need[sizes], sizes, 12)
+        assert best(some, []) <= sum(n for _, n in used) <= best(some, []) + 1
+
+
+def test_packing_fills_sequences(spark):
+    """In tokens, through the whole operator: documents of few lengths."""
+    d = spark.createDataFrame([(i, " a" * (8 + 8 * (i % 3))) for i in range(6000)], "doc_id long, text string")
+    got = packing.pack(d, PATH).collect()
+    assert sum(r.length for r in got) >= 0.98 * 2048 * len({r.sequence_id for r in got})
 
 
 def test_packing_of_nothing(no_docs):

@@ -1,14 +1,17 @@
 """Packing by cutting stock: column generation over length classes.
 
-A document's ids are cut into full sequences and one rest; rests fall into classes of QUANTUM ids.
-On the driver, from the histogram of classes alone (at most 256 counts, whatever the corpus), the
-linear program of patterns is solved by the revised simplex method; an unbounded knapsack over the
-dual prices supplies columns. Patterns are rounded down, what is left over is packed first fit
+A document's ids are cut into full sequences and one rest. Lengths fall into classes, each named by the
+length it makes room for: every length is its own class where CLASSES suffice, else short and frequent
+lengths are, and others are rounded up by a 64th at most. On the driver, from the histogram of lengths
+alone (a row for each length of a sequence at most, whatever the corpus), the linear program of
+patterns is solved by the revised simplex method; an unbounded knapsack over the dual prices supplies
+columns. Patterns are rounded down, the pieces left over (a few for each pattern) are packed first fit
 decreasing, and pieces take the slots of their class by rank. Ranks come from counts per class and
 salt, so that a class with a third of all pieces is ranked by many tasks.
 
 Defined results: null text encodes to the end id alone; repeated rows are packed as often as they
-stand; an empty table gives no row; other columns are not read.
+stand, and equal pieces rank among each other in any order; very long texts are encoded whole; an empty
+table gives no row; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -21,41 +24,60 @@ from pyspark.sql import functions as F
 
 from vocalis.llm import common, tokens
 
-QUANTUM = 8
+#: Lengths that get a class of their own, by how many pieces have them.
+CLASSES = 320
 CHUNK = 256
 #: Pieces that one rank task may hold.
 PER_SALT = 8_192
 
 
-def _price(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The best multiset of sizes 1..capacity: unbounded knapsack by capacity."""
-    best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, int)
-    for c in range(1, capacity + 1):
-        gain = value[:c] + best[c - 1 :: -1]
-        k = int(np.argmax(gain))
-        best[c], took[c] = (gain[k], k + 1) if gain[k] > best[c - 1] else (best[c - 1], 0)
-    counts, c = np.zeros(capacity, int), capacity
+def classes(demand: np.ndarray, most: int = CLASSES) -> np.ndarray:
+    """The class of each length: demand[k] pieces have k + 1 ids."""
+    lengths = np.arange(1, len(demand) + 1)
+    if (demand > 0).sum() <= most:
+        return lengths
+    step = np.maximum(1, lengths // 64)
+    own = (lengths % step == 0) | (lengths == len(demand))
+    own[np.argsort(-demand, kind="stable")[: most // 4]] = True
+    edges = lengths[own]
+    return edges[np.searchsorted(edges, lengths)]
+
+
+def _price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The best multiset of sizes (ascending) in capacity: unbounded knapsack by capacity."""
+    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    for c in range(int(sizes[0]), capacity + 1):
+        gain = value[: fits[c]] + best[c - sizes[: fits[c]]]
+        k = int(gain.argmax())
+        if gain[k] > best[c - 1]:
+            best[c], took[c] = gain[k], k
+        else:
+            best[c] = best[c - 1]
+    counts, c = np.zeros(len(sizes), int), capacity
     while c > 0:
-        if took[c]:
-            counts[took[c] - 1] += 1
-            c -= took[c]
+        if took[c] >= 0:
+            counts[took[c]] += 1
+            c -= sizes[took[c]]
         else:
             c -= 1
     return best[capacity], counts
 
 
-def first_fit(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """Patterns for pieces of each size by first fit decreasing, like ones at once."""
-    left, capacity, used = left.astype(int).copy(), len(left), []
+def first_fit(left: np.ndarray, sizes: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns for left[k] pieces of sizes[k] by first fit decreasing, like ones at once."""
+    left, used = left.astype(int).copy(), []
     while left.any():
-        pattern, room = np.zeros(capacity, int), capacity
-        while room > 0 and left[:room].any():
-            size = int(np.flatnonzero(left[:room])[-1]) + 1
-            n = min(int(left[size - 1]), room // size)
-            pattern[size - 1] += n
-            left[size - 1] -= n
-            room -= n * size
+        pattern, room = np.zeros(len(sizes), int), capacity
+        while room > 0:
+            some = np.flatnonzero(left[: np.searchsorted(sizes, room, "right")])
+            if not len(some):
+                break
+            k = some[-1]
+            n = min(int(left[k]), room // int(sizes[k]))
+            pattern[k] += n
+            left[k] -= n
+            room -= n * int(sizes[k])
         on = pattern > 0
         times = 1 + int((left[on] // pattern[on]).min())
         used.append((pattern, times))
@@ -63,63 +85,64 @@ def first_fit(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return used
 
 
-def patterns(demand: np.ndarray, gap: float = 2e-4, most: int = 300) -> list[tuple[np.ndarray, int]]:
-    """demand[k]: pieces of size k + 1; stock has size len(demand). Patterns (pieces of each size) and
-    how often each is used; together they have a slot for every piece. A fixed point of the input.
+def patterns(need: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = 5e-4, most: int = 200) -> list[tuple[np.ndarray, int]]:
+    """need[k] pieces of sizes[k] (ascending) into stock of size capacity. Patterns (pieces of each size)
+    and how often each is used; together they have a slot for every piece. A fixed point of the input.
 
     The linear program begins with the columns of a first-fit solution; the best of them enters while
     one improves on the present dual prices, then the knapsack supplies new ones, until the sum is
     within gap of a lower bound (Farley's), or most knapsacks were solved."""
-    capacity = len(demand)
-    sizes = np.flatnonzero(demand) + 1
     if not len(sizes):
         return []
-    m, need = len(sizes), demand[sizes - 1].astype(float)
-    plain = first_fit(demand)
-    pool = np.array([p[sizes - 1] for p, _ in plain], float)
-    columns = np.zeros((m, m))
-    np.fill_diagonal(columns, capacity // sizes)
+    need, m = need.astype(float), len(sizes)
+    # told apart a little, so that no two basic columns run out together and the method can't go in circles
+    goal = need * (1 + 1e-7 * np.arange(1, m + 1) / m) + 1e-6 * np.random.default_rng(0).random(m)
+    pool = np.array([p for p, _ in first_fit(need, sizes, capacity)], float)
+    columns, cost = np.diag((capacity // sizes).astype(float)), np.ones(m)
     inverse = np.diag(1.0 / (capacity // sizes))
-    x = inverse @ need
+    x = inverse @ goal
     bound, solved, turn = float(sizes @ need) / capacity, 0, 0
-    while x.sum() > bound * (1 + gap) and solved < most and turn < 20 * most:
+    while cost @ x > bound * (1 + gap) and solved < most and turn < 20 * (most + m):
         turn += 1
-        dual = np.maximum(inverse.sum(0), 0)
-        worths = pool @ dual
-        k = int(np.argmax(worths))
-        if worths[k] > 1 + 1e-9:
-            enter = pool[k]
+        dual = cost @ inverse
+        if dual.min() < -1e-9:  # a piece too many costs nothing
+            k = int(np.argmin(dual))
+            enter, price = np.zeros(m), 0.0
+            enter[k] = -1.0
         else:
-            solved += 1
-            value = np.zeros(capacity)
-            value[sizes - 1] = dual
-            worth, counts = _price(value, capacity)
-            bound = max(bound, float(dual @ need) / worth)
-            if worth <= 1 + 1e-9:
-                break
-            enter = counts[sizes - 1].astype(float)
-            pool = np.vstack([pool, enter])
+            dual, price = np.maximum(dual, 0), 1.0
+            worths = pool @ dual
+            k = int(np.argmax(worths))
+            enter = pool[k]
+            if worths[k] <= 1 + 1e-9:
+                solved += 1
+                worth, counts = _price(dual, sizes, capacity)
+                bound = max(bound, float(dual @ need) / worth)
+                if worth <= 1 + 1e-9:
+                    break
+                enter = counts.astype(float)
+                pool = np.vstack([pool, enter])
         step = inverse @ enter
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         leave = int(np.argmin(ratio))
         if not np.isfinite(ratio[leave]):
             break
-        columns[:, leave] = enter
+        columns[:, leave], cost[leave] = enter, price
         row = inverse[leave] / step[leave]
         inverse -= np.outer(step, row)
         inverse[leave] = row
-        x = np.maximum(inverse @ need, 0)
-    used, left = [], demand.astype(int).copy()
-    for k in np.argsort(-x, kind="stable"):
-        pattern = np.zeros(capacity, int)
-        pattern[sizes - 1] = columns[:, k].astype(int)
+        x = np.maximum(inverse @ goal, 0)
+    used, left = [], need.astype(int)
+    for k in np.argsort(-x * cost, kind="stable"):
+        if not cost[k]:
+            continue
+        pattern = columns[:, k].astype(int)
         on = pattern > 0
         times = int(min(np.floor(x[k] + 1e-6), (left[on] // pattern[on]).min()))
         if times > 0:
             used.append((pattern, times))
             left -= times * pattern
-    used += first_fit(left)  # the rest, a few pieces for each pattern
-    return min(used, plain, key=lambda u: sum(n for _, n in u))
+    return used + first_fit(left, sizes, capacity)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text: str, length: int, end_id: int) -> DataFrame:
@@ -150,23 +173,26 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     scratch = common.scope(docs, scratch)
     common.ship(docs.sparkSession)
     cut = scratch.write(pieces(docs, tokenizer, id_col, text, length, end_id), "pieces")
-    cut = cut.withColumn("size", F.ceil(F.col("length") / QUANTUM).cast("int"))
-    capacity = -(-length // QUANTUM)
-    demand = np.zeros(capacity, int)
-    for r in cut.groupBy("size").count().collect():  # a row for each class
-        demand[r["size"] - 1] = r["count"]
+    demand = np.zeros(length, int)
+    for r in cut.groupBy("length").count().collect():  # a row for each length
+        demand[r["length"] - 1] = r["count"]
+    of = classes(demand)
+    need = np.bincount(of, demand, length + 1).astype(int)
+    sizes = np.flatnonzero(need)
     salts = max(1, int(demand.sum()) // PER_SALT)
-    used = patterns(demand)
+    used = patterns(need[sizes], sizes, length)
+    names = docs.sparkSession.createDataFrame(list(zip(range(1, length + 1), of.tolist())), "length long, size int")
+    cut = cut.join(F.broadcast(names), "length")
 
     # slots of each class: from which rank on, how many in each sequence, of which pattern
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
-    base, filled = 0, dict.fromkeys(range(1, capacity + 1), 0)
+    base, filled = 0, dict.fromkeys(range(len(sizes)), 0)
     for pattern, times in used:
         place = 0
-        for size in np.flatnonzero(pattern)[::-1] + 1:
-            n = int(pattern[size - 1])
-            slots.setdefault(int(size), []).append((filled[size], n, base, place))
-            filled[size] += n * times
+        for k in np.flatnonzero(pattern)[::-1]:
+            n = int(pattern[k])
+            slots.setdefault(int(sizes[k]), []).append((filled[k], n, base, place))
+            filled[k] += n * times
             place += n
         base += times
     held = {k: np.array(v, np.int64) for k, v in slots.items()}
