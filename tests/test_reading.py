@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from vocalis import cli
 from vocalis.functions import tables as T
 from vocalis.operators import reading, stores
 from vocalis.sources import audio, uploads
@@ -23,16 +24,16 @@ def test_kinds(spark):
 
 
 def test_page_status_and_splicing(spark):
-    d = spark.createDataFrame([(1, 1, "A long enough text layer."), (1, 2, "short"), (1, 3, None), (2, 1, " " * 40)], "doc_id long, page int, text string")
+    d = spark.createDataFrame([(1, 1, "A text layer of some length."), (1, 2, "short"), (1, 3, None), (2, 1, " " * 40)], "doc_id long, page int, text string")
     pages = reading.page_status(d, True).cache()
     assert {(r.doc_id, r.page): r.status for r in pages.collect()} == {(1, 1): "ready", (1, 2): "needs_ocr", (1, 3): "needs_ocr", (2, 1): "needs_ocr"}
     assert [r.ocr_error for r in reading.page_status(d, False).orderBy("doc_id", "page").collect()] == [False, True, True, True]
-    seen = spark.createDataFrame([(1, 2, "Letto | bene"), (1, 3, None), (2, 1, " "), (1, 1, "not asked")], "doc_id long, page int, ocr_text string")
+    seen = spark.createDataFrame([(1, 2, "Visto | bene"), (1, 3, None), (2, 1, " "), (1, 1, "not asked")], "doc_id long, page int, ocr_text string")
     got = {(r.doc_id, r.page): (r.status, r.text) for r in reading.splice_ocr(pages, seen).collect()}
-    assert got == {(1, 1): ("ready", "A long enough text layer."), (1, 2): ("ready", "Letto bene"), (1, 3): ("ocr_failed", ""), (2, 1): ("empty", "")}
+    assert got == {(1, 1): ("ready", "A text layer of some length."), (1, 2): ("ready", "Visto bene"), (1, 3): ("ocr_failed", ""), (2, 1): ("empty", "")}
     eager = reading.eager_document(d.withColumn("ocr_text", F.when(F.col("page") == 2, "seen text")), "doc_id").orderBy("doc_id").collect()
-    assert (eager[0].text, eager[0].ocr_pages, eager[0].ocr_used, eager[1].ocr_used) == ("A long enough text layer.\n\nseen text", [2], True, False)
-    assert [r.text for r in reading.eager_pages(d.withColumn("ocr_text", F.lit(""))).orderBy("doc_id", "page").collect()] == ["A long enough text layer.", "short", "", ""]
+    assert (eager[0].text, eager[0].ocr_pages, eager[0].ocr_used, eager[1].ocr_used) == ("A text layer of some length.\n\nseen text", [2], True, False)
+    assert [r.text for r in reading.eager_pages(d.withColumn("ocr_text", F.lit(""))).orderBy("doc_id", "page").collect()] == ["A text layer of some length.", "short", "", ""]
 
 
 def test_document_json(spark):
@@ -147,10 +148,31 @@ def test_wav(spark):
 
 
 def test_store_replay(spark):
-    log = [("s", 1, 0.0, "put", "a", 60), ("s", 2, 5.0, "put", "b", 60), ("s", 3, 6.0, "get", "a", 0), ("s", 4, 7.0, "put", "c", 10), ("s", 5, 8.0, "get", "b", 0), ("s", 6, 200.0, "get", "a", 0)]
-    d = spark.createDataFrame(log, "store string, seq long, at double, op string, item string, n_bytes long")
-    got = {r.seq: (r.hit, r.evicted) for r in stores.store_replay(d, "store", ttl=100, most_items=3, most_bytes=100).collect()}
-    assert got == {1: (None, []), 2: (None, []), 3: (True, []), 4: (None, ["b"]), 5: (False, []), 6: (False, [])}
+    log = [("s", 1, 0.0, "put", "a", 60), ("s", 2, 5.0, "put", "b", 60), ("s", 3, 6.0, "get", "a", 0), ("s", 4, 7.0, "put", "c", 10), ("s", 5, 8.0, "get", "b", 0), ("s", 6, 200.0, "get", "a", 0), ("t", 7, 9.0, "get", "c", 0)]
+    d = spark.createDataFrame(log, "store string, seq long, at double, op string, item string, n_bytes long").repartition(3)
+    got = {r.seq: (r.hit, r.evicted, r.held) for r in stores.store_replay(d, "store", ttl=100, most_items=3, most_bytes=100).collect()}
+    assert got == {1: (None, [], 60), 2: (None, [], 120), 3: (True, [], 120), 4: (None, ["b"], 70), 5: (False, [], 70), 6: (False, [], 10), 7: (False, [], 0)}
+
+
+def test_job_replay(spark):
+    log = [(1, 0.0, "create", "a"), (2, 1.0, "create", "b"), (3, 2.0, "finish", "b"), (4, 3.0, "create", "c"), (5, 4.0, "read", "a"), (6, 5.0, "create", "d"), (7, 6.0, "read", "a"), (8, 103.5, "read", "c"), (9, 104.0, "create", "e"), (10, 105.0, "read", "d")]
+    d = spark.createDataFrame([("s", *x) for x in log], "store string, seq long, at double, op string, job string")
+    got = {r.seq: (r.found, r.evicted) for r in stores.job_replay(d, "store", ttl=100, most_items=2).collect()}
+    assert got == {1: (None, []), 2: (None, []), 3: (None, []), 4: (None, ["b"]), 5: (True, []), 6: (None, ["a"]), 7: (False, []), 8: (False, []), 9: (None, []), 10: (True, [])}
+
+
+def test_wav_header_is_what_the_writer_makes(spark):
+    d = spark.createDataFrame([(0,), (1,), (70_000,)], "n long")
+    for r in d.select("n", audio.wav_header(F.col("n")).alias("h")).collect():
+        assert bytes(r.h) == audio.wav_bytes(np.zeros(r.n))[:44]
+
+
+def test_extraction_of_every_kind(spark):
+    made = [("1", "a.html", "", b"<p>Una pagina.</p>"), ("2", "b.epub", "", epub([("a", "u.xhtml", "<p>Un capitolo.</p>")], ["a"])), ("3", "c.pdf", "", b"un testo abbastanza lungo|no"), ("4", "d.txt", "", b"x"), ("5", "e.html", "", b""), ("6", None, "text/html", b"<p>Altra.</p>")]
+    d = spark.createDataFrame(made, "path string, filename string, content_type string, content binary")
+    got = sorted((r.path, r.page, r.status, r.ocr_error, r.text) for r in uploads.extract(d, lambda b: b.decode().split("|")).collect())
+    assert got == [("1", 1, "ready", False, "Una pagina."), ("2", 1, "ready", False, "Un capitolo."), ("3", 1, "ready", False, "un testo abbastanza lungo"), ("3", 2, "empty", True, ""), ("6", 1, "ready", False, "Altra.")]
+    assert uploads.extract(d).filter("path = '3'").count() == 0
 
 
 def test_job_state(spark):
@@ -187,12 +209,52 @@ def test_streamed_progress(spark, tmp_path):
 
 
 def test_streamed_recognition(spark, tmp_path):
-    pages = spark.createDataFrame([(1, 1, "needs_ocr", "")], "doc_id long, page int, status string, text string")
+    pages = spark.createDataFrame([(1, 1, "needs_ocr", ""), (1, 2, "needs_ocr", "")], "doc_id long, page int, status string, text string")
     pages.write.parquet(f"{tmp_path}/pages/v0")
-    seen = spark.createDataFrame([(1, 1, "Letto.")], "doc_id long, page int, ocr_text string")
-    seen.write.parquet(f"{tmp_path}/seen")
-    q = live.splice_stream(f"{tmp_path}/pages", spark.readStream.schema(seen.schema).parquet(f"{tmp_path}/seen"), f"{tmp_path}/c").start()
-    q.processAllAvailable()
-    q.stop()
-    got = spark.read.parquet(live.current_version(spark, f"{tmp_path}/pages")).first()
-    assert (got.status, got.text) == ("ready", "Letto.")
+    made = "doc_id long, page int, ocr_text string"
+    spark.createDataFrame([(1, 1, "Visto.")], made).write.parquet(f"{tmp_path}/seen")
+
+    def go():
+        q = live.splice_stream(f"{tmp_path}/pages", spark.readStream.schema(made).parquet(f"{tmp_path}/seen"), f"{tmp_path}/c").start()
+        q.processAllAvailable()
+        q.stop()
+        got = spark.read.parquet(live.current_version(spark, f"{tmp_path}/pages")).orderBy("page").collect()
+        return [(r.status, r.text) for r in got]
+
+    assert go() == [("ready", "Visto."), ("needs_ocr", "")]
+    # a crash after the batch was written and before its commit: the batch runs again
+    def uncommit():
+        for name in ("0", ".0.crc"):
+            (tmp_path / "c" / "commits" / name).unlink()
+
+    uncommit()
+    assert go() == [("ready", "Visto."), ("needs_ocr", "")]
+    # a crash in the middle of the batch's write: its version isn't whole
+    uncommit()
+    (tmp_path / "pages" / "v1" / "_SUCCESS").unlink()
+    assert go() == [("ready", "Visto."), ("needs_ocr", "")]
+    spark.createDataFrame([(1, 2, None)], made).write.mode("append").parquet(f"{tmp_path}/seen")
+    assert go() == [("ready", "Visto."), ("ocr_failed", "")]
+    assert sorted(live.versions(spark, f"{tmp_path}/pages")) == [0, 1, 2]
+
+
+def test_event_lines(spark):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(1, 1, at, "synth", 0, 2, "a"), (1, 2, at + datetime.timedelta(seconds=40), "synth", 1, 2, "a"), (1, 3, at + datetime.timedelta(seconds=41), "done", 2, 2, "a"), (1, 4, at + datetime.timedelta(seconds=90), "synth", 2, 2, "a")]
+    d = spark.createDataFrame(rows, "job_id long, seq long, ts timestamp, phase string, done int, total int, detail string")
+    got = [(r.seq, r.beats, r.line) for r in stores.event_lines(d).orderBy("seq").collect()]
+    assert [g[:2] for g in got] == [(1, 0), (2, 2), (3, 0)]
+    assert got[1][2] == ": keep-alive\n\n" * 2 + 'data: {"phase":"synth","done":1,"total":2,"detail":"a"}\n\n'
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "in.txt").write_text("Ecco un testo. Finisce qui.", encoding="utf-8")
+    cli.main([str(tmp_path / "in.txt"), str(tmp_path / "out"), "--chapters-per-page"])
+    assert [r.chunk for r in spark.read.parquet(f"{tmp_path}/out/plan").collect()] == ["Ecco un testo. Finisce qui."]
+    assert "title=Pagina 1" in spark.read.parquet(f"{tmp_path}/out/chapters").first().metadata
+    monkeypatch.setattr("sys.stdin", io.StringIO("Dal flusso."))
+    cli.main(["-", str(tmp_path / "two"), "--voice", "im_nicola"])
+    assert spark.read.parquet(f"{tmp_path}/two/plan").first().voice == "im_nicola"
+    assert "wrote" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["-", str(tmp_path / "three"), "--voice", "nobody"])

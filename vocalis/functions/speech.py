@@ -27,10 +27,9 @@ def _marked(paragraph: Column) -> Column:
 
         def closes(x: Column, i: Column) -> Column:
             own = last_word(F.regexp_replace(x, rf"(?U){_END}\s+\z", ""))
-            word = F.when(own != "", own).when(i > 0, last_word(F.get(some, i - 1))).otherwise("")
-            word = F.rtrim(F.lower(word), F.lit("."))
-            after = F.coalesce(F.get(some, i + 1), F.lit(""))
-            return ~word.isin(T.ABBREVIATIONS) & (F.length(word) != 1) & ~after.rlike(r"^\p{javaLowerCase}")
+            word = let(own, lambda w: F.when(w != "", w).when(i > 0, last_word(F.get(some, i - 1))).otherwise(""))
+            ended = let(F.rtrim(F.lower(word), F.lit(".")), lambda w: ~w.isin(T.ABBREVIATIONS) & (F.length(w) != 1))
+            return ended & ~F.coalesce(F.get(some, i + 1), F.lit("")).rlike(r"^\p{javaLowerCase}")
 
         return F.array_join(F.transform(some, lambda x, i: F.concat(x, F.when(closes(x, i), _CUT).otherwise(""))), "")
 

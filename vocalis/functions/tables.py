@@ -20,6 +20,13 @@ TRUNCATED = "po mo be va da fa sta di to".split()
 ACUTE = "ne se merce vicere teste scimpanze".split()
 MONTHS = "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre".split()
 VOWELS = "aeiouàèéìòù"
+#: After a word's apostrophe, besides white space.
+AFTER_WORD = r".,;:!?\"»”)\]…"
+#: Curly quotes by the plain one, line ends besides the line feed, control characters and combining marks (ranges).
+PLAIN_QUOTES = {"'": "‘’‚‛", '"': "“”„‟"}
+LINE_ENDS = "\r\u2028\u2029\u0085"
+CONTROLS = r"\x00-\x08\x0b\x0e-\x1f\x7f"
+MARKS = "\u0300-\u0344"
 INVISIBLE = "­​‌‍⁠﻿"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 NOISE = "|~^`_\\¦•·◦¬"
@@ -54,8 +61,13 @@ LINE_TOLERANCE = 0.012
 SAMPLE_RATE = 24_000
 GAP_SECONDS = 0.3
 UNIT_WORDS = 12
+#: What the reader shows for a page, after its number, that waits for recognition or that failed.
+WAITS, FAILED = ": in attesa del riconoscimento.", ": nessuna parola riconosciuta."
 DOC_TTL, DOC_ITEMS, DOC_BYTES = 30 * 60, 8, 256 * 1024 * 1024
 JOB_TTL, JOB_ITEMS = 15 * 60, 16
+HEARTBEAT = 15
+#: Audio encodings by format: codec, container, bit rate; a chapter file goes into the last.
+ENCODINGS = {"wav": ("pcm_s16le", "wav", None), "mp3": ("libmp3lame", "mp3", "64k"), "m4b": ("aac", "mp4", "64k")}
 
 # --- Tables made by rule ------------------------------------------------------------------------
 

@@ -44,6 +44,12 @@ def substitute(text: Column, pattern: str, rewrite: Callable[[Column], Column])
     return let(text, lambda t: F.when(t.rlike(pattern), put(t)).otherwise(t))
 
 
+def where_found(text: Column, cheap: str, rule: Callable[[Column], Column]) -> Column:
+    """rule(text) where the pattern cheap, which every text that rule changes holds, is found: most
+    texts cost one look at each character, and no rule."""
+    return let(text, lambda t: F.when(t.rlike(cheap), rule(t)).otherwise(t))
+
+
 def trim(text: Column) -> Column:
     """Without white space at either end, as Unicode has it."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
@@ -56,7 +62,7 @@ def tokens(text: Column) -> Column:
 def nfc(text: Column) -> Column:
     """Latin letters and a combining mark become one character. Other scripts stay as they are."""
     pairs = T.composed()
-    return substitute(text, "[A-Za-z][̀-̈́]", lambda m: F.coalesce(F.try_element_at(literal_map(pairs), m), m))
+    return substitute(text, f"[A-Za-z][{T.MARKS}]", lambda m: F.coalesce(F.try_element_at(literal_map(pairs), m), m))
 
 
 def repair(text: Column) -> Column:
@@ -67,13 +73,18 @@ def repair(text: Column) -> Column:
     for w in wrong:
         by_start[w[:-1]] = by_start.get(w[:-1], "") + w[-1]
     pattern = "|".join(re.escape(start) + one_of(ends) for start, ends in sorted(by_start.items(), key=lambda x: -len(x[0])))
-    text = substitute(text, pattern, lambda m: F.coalesce(F.try_element_at(literal_map(wrong), m), m))
-    text = ligatures(text)
-    text = F.regexp_replace(text, "[‘-‛]", "'")
-    text = F.regexp_replace(text, "[“-‟]", '"')
-    text = F.regexp_replace(text, "\r\n|[\r  \u0085]", "\n")
-    text = F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f]", "")
-    return F.regexp_replace(nfc(text), one_of(T.INVISIBLE), "")
+
+    def whole(t: Column) -> Column:
+        t = where_found(t, one_of("".join(sorted({w[0] for w in wrong}))), lambda x: substitute(x, pattern, lambda m: F.coalesce(F.try_element_at(literal_map(wrong), m), m)))
+        t = ligatures(t)
+        for one, many in T.PLAIN_QUOTES.items():
+            t = F.translate(t, many, one * len(many))
+        t = F.regexp_replace(t, f"\r\n|{one_of(T.LINE_ENDS)}", "\n")
+        t = F.regexp_replace(t, f"[{T.CONTROLS}]", "")
+        return F.translate(where_found(t, f"[{T.MARKS}]", nfc), T.INVISIBLE, "")
+
+    some = "".join(sorted({w[0] for w in wrong})) + "".join(T.LIGATURES) + "".join(T.PLAIN_QUOTES.values()) + T.LINE_ENDS + T.INVISIBLE
+    return where_found(text, f"{one_of(some)[:-1]}{T.CONTROLS}{T.MARKS}]", whole)
 
 
 def ligatures(text: Column) -> Column:
@@ -84,7 +95,9 @@ def ligatures(text: Column) -> Column:
 
 def accents(text: Column) -> Column:
     """A vowel and an apostrophe at a word's end become the accented vowel; truncations stay."""
-    pattern = rf"(?U)(?<![^\W\d_])[^\W\d_]*[aeiouAEIOU]{one_of(T.APOSTROPHES)}(?=[\s.,;:!?\"»”)\]…]|$)"
+    # a word's letters, its last vowel and the sign, before white space, punctuation or the end
+    letters, vowel, sign = r"[\p{L}\p{M}]", "[aeiouAEIOU]", one_of(T.APOSTROPHES)
+    pattern = rf"(?U)(?<!{letters}){letters}*{vowel}{sign}(?![^\s{T.AFTER_WORD}])"
 
     def rewrite(m: Column) -> Column:
         word = F.lower(F.substring(m, F.lit(1), F.length(m) - 1))
@@ -94,19 +107,22 @@ def accents(text: Column) -> Column:
         new = F.when(vowel == F.upper(vowel), F.upper(low)).otherwise(low)
         return F.when(word.isin(T.TRUNCATED), m).otherwise(F.concat(F.substring(m, F.lit(1), F.length(m) - 2), new))
 
-    return substitute(text, pattern, rewrite)
+    return where_found(text, vowel + sign, lambda t: substitute(t, pattern, rewrite))
 
 
 def despace(text: Column) -> Column:
     """Four or more letters with a space between each are one word, if one is a consonant."""
-    pattern = r"(?U)(?<!\S)[^\W\d_](?: [^\W\d_]){3,}(?!\S)"
-    return substitute(text, pattern, lambda m: let(F.replace(m, F.lit(" "), F.lit("")), lambda w: F.when(F.lower(w).rlike(f"[^{T.VOWELS}]"), w).otherwise(m)))
+    letter = r"\p{L}"
+    pattern = rf"(?U)(?<!\S){letter}(?: {letter}(?!\S)){{3,}}+"
+    joined = lambda m: let(F.replace(m, F.lit(" "), F.lit("")), lambda w: F.when(F.lower(w).rlike(f"[^{T.VOWELS}]"), w).otherwise(m))
+    return where_found(text, rf"{letter} {letter} {letter} {letter}", lambda t: substitute(t, pattern, joined))
 
 
 def lexicon(text: Column) -> Column:
     """Words of the lexicon get their accent and keep their case."""
     words = T.lexicon()
-    pattern = r"(?iuU)\b(?:" + "|".join(sorted(words, key=len, reverse=True)) + r")\b"
+    # a tree of letters: a word that no entry begins like costs a look at its first letters
+    pattern = rf"(?U)\b(?:{letter_tree(words)})\b"
 
     def rewrite(m: Column) -> Column:
         new = F.try_element_at(literal_map(words), F.lower(m))
@@ -117,6 +133,15 @@ def lexicon(text: Column) -> Column:
     return substitute(text, pattern, rewrite)
 
 
+def letter_tree(words) -> str:
+    """A regular expression for these words in either case, longest first, with common beginnings shared."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by_first.setdefault(w[:1], []).append(w[1:])
+    some = [f"[{c}{c.upper()}](?:{letter_tree(rest)})" if rest != [""] else f"[{c}{c.upper()}]" for c, rest in by_first.items() if c]
+    return "|".join(some + [""] * ("" in by_first))
+
+
 def dates(text: Column) -> Column:
     """Numeric dates with their month as a word; what can't be a day and a month stays."""
 
@@ -127,12 +152,17 @@ def dates(text: Column) -> Column:
         said = F.concat_ws(" ", F.when(day == 1, "primo").otherwise(day.cast("string")), name, year.cast("string"))
         return F.when(day.between(1, 31) & month.between(1, 12), said).otherwise(m)
 
-    return substitute(text, r"(?U)\b[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{4}\b", rewrite)
+    part, sign = "[0-9]{1,2}", r"[/.\-]"
+    pattern = rf"(?U)\b(?:{part}{sign}){{2}}[0-9]{{4}}\b"
+    return where_found(text, f"[0-9]{sign}[0-9]", lambda t: substitute(t, pattern, rewrite))
 
 
 def ellipses(text: Column) -> Column:
-    text = F.regexp_replace(text, r"(?:[ \t]*\.){3,}", "…")
-    return F.regexp_replace(text, r"…(?:[ \t]*[.…])*", "…")
+    """Three periods or more, blanks before and between, are one sign; it takes in dots that follow."""
+    blanks, dot = r"[ \t]*+", r"\."
+    one = rf"{blanks}{dot}(?:{blanks}{dot}){{2,}}+"
+    more = rf"…(?:{blanks}[.…])++"
+    return where_found(text, rf"{dot}{blanks}{dot}{blanks}{dot}|…{blanks}[.…]", lambda t: F.regexp_replace(F.regexp_replace(t, one, "…"), more, "…"))
 
 
 def normalize_for_speech(text: Column) -> Column:
@@ -141,9 +171,14 @@ def normalize_for_speech(text: Column) -> Column:
 
 def unwrap(text: Column) -> Column:
     """Hyphens at line ends, soft line ends and runs of blanks; blank lines part paragraphs."""
-    text = F.regexp_replace(text, r"(?U)(\w)-\n(\w)", "$1$2")
-    text = F.regexp_replace(text, r"\n[ \t]*\n+", PARAGRAPH)
-    text = F.regexp_replace(F.replace(text, F.lit("\n"), F.lit(" ")), r"[ \t]{2,}", " ")
+    blank, runs = r"[ \t]", r"[ \t]{2,}+"
+
+    def lines(t: Column) -> Column:
+        t = where_found(t, "-\n", lambda x: F.regexp_replace(x, r"(?U)(?<=\w)-\n(?=\w)", ""))
+        t = F.regexp_replace(t, rf"\n(?:{blank}*+\n)++", PARAGRAPH)
+        return F.translate(t, "\n", " ")
+
+    text = where_found(where_found(text, "\n", lines), runs, lambda t: F.regexp_replace(t, runs, " "))
     return F.replace(text, F.lit(PARAGRAPH), F.lit("\n\n"))
 
 
@@ -166,7 +201,7 @@ def ocr_clean(text: Column) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """Readable text of html whose skipped tags are closed and don't hold each other; others need
-    `sources.html.html_to_text_udf`, see `needs_parser`."""
+    `sources.uploads.html_to_text_udf`, see `needs_parser`."""
     # a last run of text that ends inside a character reference is lost, and so is an unfinished last tag
     text = _without_skipped(F.regexp_replace(html, r"(?U)(\A|>)[^<]*&[^\s;<]{0,33}\z", "$1"))
     text = F.regexp_replace(text, r"(?is)<[!?][^>]*>", "")

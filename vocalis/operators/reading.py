@@ -97,8 +97,8 @@ def viewer_sentences(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     else the page's sentences. id, page, nth (on the page), sentence, placeholder, failed."""
     no = F.col("page").cast("string")
     shown = (
-        F.when(F.col("status") == "needs_ocr", F.array(F.concat(F.lit("Pagina "), no, F.lit(" — testo scansionato, verrà riconosciuto durante la lettura…"))))
-        .when(F.col("status") == "ocr_failed", F.array(F.concat(F.lit("Pagina "), no, F.lit(": testo non riconosciuto."))))
+        F.when(F.col("status") == "needs_ocr", F.array(F.concat(F.lit("Pagina "), no, F.lit(T.WAITS))))
+        .when(F.col("status") == "ocr_failed", F.array(F.concat(F.lit("Pagina "), no, F.lit(T.FAILED))))
         .otherwise(speech.sentences(F.col("text")))
     )
     return pages.select(id_col, "page", (F.col("status") == "needs_ocr").alias("placeholder"), (F.col("status") == "ocr_failed").alias("failed"), F.posexplode(shown).alias("nth", "sentence"))
@@ -199,26 +199,61 @@ def words_at(words: DataFrame, probes: DataFrame, id_col: str = "clip_id") -> Da
 
 def playback_units(rows: DataFrame, id_col: str = "doc_id", size: int = T.UNIT_WORDS) -> DataFrame:
     """Viewer rows (id, seq, sentence, placeholder, failed) to units: id, unit, kind (seg, ocr, skip),
-    seq, w0, w1. Short sentences are grouped up to size words; long ones are cut into slices."""
-    some = F.sort_array(F.collect_list(F.struct("seq", F.size(text.tokens(F.col("sentence"))).alias("n"), "placeholder", "failed")))
-    start = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(-1).alias("id"), F.lit(0).alias("words"), F.lit(False).alias("open"))
-
-    def add(s: Column, x: Column) -> Column:
-        short = ~x["placeholder"] & ~x["failed"] & (x["n"] <= size)
-        joins = short & s["open"] & (s["words"] < size) & (s["words"] + x["n"] <= size)
-        new = F.when(joins, s["id"]).otherwise(s["id"] + 1)
-        # a long sentence has a unit for each slice
-        last = F.when(short | x["placeholder"] | x["failed"], new).otherwise(new + F.ceil(x["n"] / size).cast("int") - 1)
-        return F.struct(
-            F.concat(s["ids"], F.array(new)).alias("ids"), last.alias("id"), F.when(joins, s["words"] + x["n"]).otherwise(x["n"]).alias("words"), short.alias("open")
-        )
+    seq, w0, w1. Short sentences are grouped up to size words; long ones are cut into slices.
 
-    docs = rows.groupBy(id_col).agg(some.alias("s")).withColumn("ids", F.aggregate("s", start, add, lambda s: s["ids"]))
-    one = docs.select(id_col, F.explode(F.arrays_zip("s", "ids")).alias("z")).select(id_col, "z.s.*", F.col("z.ids").alias("first"))
+    Placeholders, failed pages and long sentences part a document into runs of short sentences. Only
+    within a run does a unit depend on the one before: a run is folded, the rest are running sums."""
+    some = rows.select(id_col, "seq", "placeholder", "failed", F.size(text.tokens(F.col("sentence"))).alias("n"))
     kind = F.when(F.col("failed"), "skip").when(F.col("placeholder"), "ocr").otherwise("seg")
-    slices = F.when((kind == "seg") & (F.col("n") > size), F.ceil(F.col("n") / size).cast("int")).otherwise(1)
-    cut = one.select(id_col, kind.alias("kind"), "seq", "n", "first", F.explode(F.sequence(F.lit(0), slices - 1)).alias("k"))
-    return cut.select(id_col, (F.col("first") + F.col("k")).alias("unit"), "kind", "seq", (F.col("k") * size).alias("w0"), F.when(F.col("kind") != "seg", 0).otherwise(F.least((F.col("k") + 1) * size, F.col("n"))).alias("w1"))
+    some = some.select(id_col, "seq", "n", kind.alias("kind")).withColumn("alone", (F.col("kind") != "seg") | (F.col("n") > size))
+    so_far = Window.partitionBy(id_col).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    some = some.withColumn("run", F.sum(F.col("alone").cast("int")).over(so_far))
+
+    def add(s: Column, n: Column) -> Column:
+        joins = (s["words"] < size) & (s["words"] + n <= size)
+        return F.struct(F.when(joins, s["words"] + n).otherwise(n).alias("words"), F.concat(s["starts"], F.array((~joins).cast("int"))).alias("starts"))
+
+    nothing = F.struct(F.lit(size).alias("words"), F.array().cast("array<int>").alias("starts"))
+    runs = some.filter(~F.col("alone")).groupBy(id_col, "run").agg(F.sort_array(F.collect_list(F.struct("seq", "n"))).alias("x"))
+    folded = runs.select(id_col, F.explode(F.arrays_zip("x", F.aggregate(F.col("x.n"), nothing, add, lambda s: s["starts"]).alias("starts"))).alias("z"))
+    short = folded.select(id_col, "z.x.seq", "z.x.n", F.lit("seg").alias("kind"), F.col("z.starts").alias("units"))
+    slices = F.when(F.col("kind") == "seg", F.ceil(F.col("n") / size).cast("int")).otherwise(1)
+    every = short.unionByName(some.filter("alone").select(id_col, "seq", "n", "kind", slices.alias("units")))
+    last = F.sum("units").over(so_far) - 1
+    cut = every.withColumn("last", last).select(
+        id_col, "kind", "seq", "n", F.col("last") - F.greatest("units", F.lit(1)) + 1, F.explode(F.sequence(F.lit(0), F.greatest("units", F.lit(1)) - 1))
+    ).toDF(id_col, "kind", "seq", "n", "first", "k")
+    w1 = F.when(F.col("kind") != "seg", 0).otherwise(F.least((F.col("k") + 1) * size, F.col("n")))
+    return cut.select(id_col, (F.col("first") + F.col("k")).cast("int").alias("unit"), "kind", "seq", (F.col("k") * size).cast("int").alias("w0"), w1.cast("int").alias("w1"))
+
+
+def next_units(units: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Each playback unit with the one to fetch while it plays: the next one, if it is spoken."""
+    one = units.groupBy(id_col, "unit").agg(F.min("kind").alias("kind"), F.min("seq").alias("seq"))
+    after = Window.partitionBy(id_col).orderBy("unit")
+    return one.select(id_col, "unit", "kind", "seq", F.when(F.lead("kind").over(after) == "seg", F.lead("unit").over(after)).alias("fetch"))
+
+
+def page_rows(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Pages as an upload's answer has them: id, page, status, sentences."""
+    return pages.select(id_col, "page", "status", speech.sentences(F.col("text")).alias("sentences"))
+
+
+def first_of_pages(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Where each page's own sentences begin in the reader's flat list (viewer rows): id, page, at."""
+    order = Window.partitionBy(id_col).orderBy("page", "nth")
+    shown = rows.withColumn("at", (F.row_number().over(order) - 1).cast("int")).filter(~F.col("placeholder") & ~F.col("failed"))
+    return shown.groupBy(id_col, "page").agg(F.min("at").alias("at"))
+
+
+def sample(pages: DataFrame, id_col: str = "doc_id", short: int = 70, long: int = 160) -> DataFrame:
+    """The start of each page's first sentence, and of its text."""
+    return pages.select(id_col, "page", F.left(F.try_element_at(speech.sentences(F.col("text")), F.lit(1)), F.lit(short)).alias("first"), F.left("text", F.lit(long)).alias("start"))
+
+
+def latency_ratio(runs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Timed runs (id, eager, fast in seconds): how many times longer the eager way takes, where pages wait."""
+    return runs.select(id_col, F.try_divide("eager", "fast").alias("ratio"))
 
 
 def document_units(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -234,10 +269,6 @@ def overlay_boxes(sentences: DataFrame, geometry: DataFrame) -> DataFrame:
     )
 
 
-def progress_percent(done: Column, total: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.try_divide(done * 100.0, total), F.lit(0.0))))
-
-
 def pending_pages(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The numbers of the pages that wait for recognition."""
     return pages.filter("status = 'needs_ocr'").groupBy(id_col).agg(F.sort_array(F.collect_list("page")).alias("pending_pages"))

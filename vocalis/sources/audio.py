@@ -63,3 +63,34 @@ def join_audio(chunks: DataFrame, id_col: str = "doc_id", rate: int = T.SAMPLE_R
     """Length of each document's audio, silence after each chunk included: n_samples, duration."""
     total = F.sum(F.col("n_samples") + F.lit(int(rate * gap)))
     return chunks.groupBy(id_col).agg(total.alias("n_samples")).withColumn("duration", F.col("n_samples") / F.lit(float(rate)))
+
+
+def wav_header(n_samples: Column, rate: int = T.SAMPLE_RATE) -> Column:
+    """The 44 bytes before the samples of a mono 16-bit WAV file."""
+
+    def little(x: Column, width: int) -> Column:
+        return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(x.cast("long"), 8 * i).bitwiseAND(F.lit(255).cast("long"))), 2, "0") for i in range(width))))
+
+    size = n_samples * 2
+    fixed = [(16, 4), (1, 2), (1, 2), (rate, 4), (rate * 2, 4), (2, 2), (16, 2)]
+    word = lambda x: F.encode(F.lit(x), "US-ASCII")
+    return F.concat(word("RIFF"), little(size + 36, 4), word("WAVEfmt "), *(little(F.lit(x), w) for x, w in fixed), word("data"), little(size, 4))
+
+
+def encoding(fmt: Column, has_chapters: Column) -> Column:
+    """How an export format is encoded: codec, container, bitrate and whether a chapter file goes along;
+    null for formats that aren't offered."""
+    out = F.when(F.lit(False), F.lit(None))
+    for name, (codec, container, bitrate) in T.ENCODINGS.items():
+        value = F.struct(F.lit(codec).alias("codec"), F.lit(container).alias("container"), F.lit(bitrate).cast("string").alias("bitrate"), (F.lit(name == "m4b") & has_chapters).alias("chapters"))
+        out = F.when(F.lower(fmt) == name, value).otherwise(out)
+    return out
+
+
+def export_summary(plan: DataFrame, marks: DataFrame, id_col: str = "doc_id", rate: int = T.SAMPLE_RATE) -> DataFrame:
+    """What an export tells at its end: seconds, megabytes as WAV, chunks and chapters."""
+    length = join_audio(plan, id_col, rate)
+    chunks = plan.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_chunks"))
+    titles = marks.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_chapters"))
+    both = length.join(chunks, id_col).join(titles, id_col, "left")
+    return both.select(id_col, F.round("duration", 1).alias("seconds"), F.round((F.col("n_samples") * 2 + 44) / 1e6, 1).alias("megabytes"), "n_chunks", F.coalesce("n_chapters", F.lit(0)).alias("n_chapters"))

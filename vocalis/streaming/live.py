@@ -74,21 +74,32 @@ def windowed_progress(events: DataFrame, width: str = "1 minute", delay: str = "
 
 
 def splice_stream(pages_path: str, seen: DataFrame, checkpoint: str):
-    """Recognition results as they come, put into a table of pages. Each batch writes a new version
-    beside the last and then a pointer to it, so readers see whole tables."""
+    """Recognition results as they come, put into a table of pages. Batch n makes version v(n + 1) of the
+    newest whole version before it and leaves that as it is; a version is whole once its _SUCCESS file
+    stands. A batch that runs again after a crash either finds its version whole and does nothing, or
+    makes it anew from the same one, so it never reads what it writes. Versions before the last but one
+    can be deleted by their owner."""
 
     def batch(some: DataFrame, epoch: int) -> None:
         spark = some.sparkSession
-        now = current_version(spark, pages_path)
-        to = f"{pages_path}/v{epoch + 1}"
-        reading.splice_ocr(spark.read.parquet(now), some.dropDuplicates(["doc_id", "page"])).write.mode("overwrite").parquet(to)
+        whole = {n: p for n, p in versions(spark, pages_path).items()}
+        if epoch + 1 in whole:
+            return
+        before = whole[max(n for n in whole if n <= epoch)]
+        once = some.groupBy("doc_id", "page").agg(F.max_by("ocr_text", F.xxhash64("ocr_text")).alias("ocr_text"))
+        reading.splice_ocr(spark.read.parquet(before), once).write.mode("overwrite").parquet(f"{pages_path}/v{epoch + 1}")
 
     return seen.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def current_version(spark, pages_path: str) -> str:
-    """The newest whole version below pages_path."""
+def versions(spark, pages_path: str) -> dict[int, str]:
+    """The whole versions below pages_path by their number."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pages_path)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max((p.toString() for p in done), key=lambda p: int(p.rsplit("/v", 1)[1]))
+    found = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return {int(p.toString().rsplit("/v", 1)[1]): p.toString() for p in found}
+
+
+def current_version(spark, pages_path: str) -> str:
+    """The newest whole version below pages_path."""
+    return max(versions(spark, pages_path).items())[1]
