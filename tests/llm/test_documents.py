@@ -1,8 +1,10 @@
 """Operators over documents against brute force, on texts with every odd case."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -370,6 +372,71 @@ def test_mix_of_overlapping_sources(spark):
     assert sum(r.taken for r in got) == 4000
 
 
+def cheapest(supply, quota, passes):
+    """The most words that patterns can give, and at what least cost, by trying every amount (small cases)."""
+    patterns = list(supply)
+
+    def spread(amounts):
+        """Whether the sources can take these amounts: Hall's condition over sets of sources."""
+        names = list(quota)
+        return all(
+            sum(n for p, n in zip(patterns, amounts) if set(p) <= {x for k, x in enumerate(names) if m >> k & 1}) <= sum(quota[x] for k, x in enumerate(names) if m >> k & 1)
+            for m in range(1 << len(names))
+        )
+
+    def cost(p, n):
+        out, k = 0, 0
+        while n > 0:
+            out += min(n, supply[p]) * (0, 1, 3, 7)[k]
+            n, k = n - supply[p], k + 1
+        return out
+
+    some = [a for a in itertools.product(*(range(passes * supply[p] + 1) for p in patterns)) if spread(a)]
+    most = max(map(sum, some))
+    return most, min(sum(map(cost, patterns, a)) for a in some if sum(a) == most), cost
+
+
+def test_route_is_a_flow_of_least_cost():
+    r = random.Random(8)
+    for _ in range(60):
+        names = ["a", "b", "c"][: r.randint(1, 3)]
+        every = [p for k in range(1, len(names) + 1) for p in itertools.combinations(names, k)]
+        supply = {p: r.randint(0, 3) for p in r.sample(every, r.randint(1, min(4, len(every))))}
+        quota = {x: r.randint(0, 9) for x in names}
+        most, least, cost = cheapest(supply, quota, 2)
+        given = mixing.route(supply, quota, 2)
+        assert sum(given.values()) == most and all(0 <= given[p] <= 2 * supply[p] for p in supply)
+        assert sum(cost(p, n) for p, n in given.items()) == least
+
+
+def test_route_of_many_sources_is_quick():
+    r = random.Random(1)
+    names = [f"s{i}" for i in range(10_000)]
+    supply = {(x,): r.randint(1, 1000) for x in names} | {tuple(sorted(r.sample(names, r.randint(2, 4)))): r.randint(1, 1000) for _ in range(10_000)}
+    sizes = Counter()
+    for p, n in supply.items():
+        for x in p:
+            sizes[x] += n
+    began = time.process_time()
+    quota = {x: round(v) for x, v in mixing.targets(sizes, (5, 2, 1), 3).items()}
+    given = mixing.route(supply, quota, 3)
+    assert time.process_time() - began < 10
+    assert sum(given.values()) <= sum(quota.values())
+
+
+def test_mix_with_more_patterns_than_are_told_apart(spark, monkeypatch):
+    r = random.Random(5)
+    made = [(i, "w " * r.randint(1, 30), sorted(r.sample("abcdef", r.randint(1, 4)))) for i in range(600)]
+    d = spark.createDataFrame(made, "doc_id long, text string, of array<string>")
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 5)
+    got = mixing.mix(d, sources=F.col("of")).collect()
+    assert len(got) == 600 and len({tuple(x.pattern) for x in got if len(x.pattern) > 1}) == 5
+    by = {x.row.doc_id: x for x in got}
+    assert all(set(by[i].pattern) <= set(of) and 0 <= by[i].taken <= 3 * by[i].size for i, _, of in made)
+    size = sum(x.size for x in got)
+    assert 0.9 * size <= sum(x.taken for x in got) <= 1.02 * sum(x.size * len(x.pattern) for x in got)
+
+
 def test_mix_of_odd_rows(docs, no_docs):
     assert mixing.mixed(no_docs).collect() == []
     out = mixing.mix(docs).select("row.doc_id", "row.text", "size", "taken").collect()

@@ -6,20 +6,27 @@ first pass over its documents is free, each further one costs more (convex), and
 max_passes exists. The flow tells how often each pattern is passed over whole and how many words of
 one more pass it gives; for that pass documents are taken in the order of a seeded hash.
 
+Costs stand on the arcs into patterns only, so cheapest paths come in the order of passes: the flow of
+least cost is a maximum flow with the first passes, enlarged to one with the second, and so on, each
+found by Dinic's algorithm. Sources of no overlapping pattern have a closed form. The driver sees a
+row for each source and for up to MOST_PATTERNS overlapping patterns; those beyond, with the fewest words,
+count as of one of their sources each, by a hash of the pattern.
+
 The order is found without sorting a pattern: sizes are summed by range of the hash, the range that
 holds the cut is found from those sums, and only its documents are ranked. A document that would
 overshoot is left out and the gap closed by the largest documents that fit.
 
 Defined results: a null text has size 0 and is taken 0 words; null is a source of its own, last;
 documents of no source (an empty array) are not taken; rows of one id and size are taken or left
-together; an empty table gives an empty table.
+together; very long texts count whole; an empty table gives an empty table; columns of docs that share a
+name with a result stand in `row`.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +36,8 @@ from vocalis.llm import common
 RANGES = 4096
 #: Patterns up to which the plan, a row for each, is broadcast; beyond, it joins as it comes.
 MOST_BROADCAST = 10_000
-#: Cost of a word in the first, second, ... pass.
-PASS_COST = (0, 1, 3, 7, 15, 31, 63)
+#: Overlapping patterns that the flow tells apart.
+MOST_PATTERNS = 50_000
 
 
 @dataclass(frozen=True)
@@ -44,67 +51,89 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...], cap: float
     """Shares of all words by weight, in code point order with null last; what is above cap times a
     source's own size is shared again by weight among the others."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    total, fixed = float(sum(sizes.values())), {}
+    weight = np.array([weights[i % len(weights)] for i in range(len(names))], float)
+    most = cap * np.array([sizes[s] for s in names], float)
+    out, free = np.zeros(len(names)), np.ones(len(names), bool)
     while True:
-        free = [s for s in names if s not in fixed]
-        left, sum_w = total - sum(fixed.values()), sum(weight[s] for s in free)
-        share = {s: left * weight[s] / sum_w for s in free}
-        over = [s for s in free if share[s] > cap * sizes[s]]
-        if not over:
-            return {s: fixed.get(s, share.get(s)) for s in names}
-        fixed |= {s: float(cap * sizes[s]) for s in over}
+        out[free] = (most.sum() / cap - most[~free].sum()) * weight[free] / weight[free].sum()
+        over = free & (out > most)
+        if not over.any():
+            return dict(zip(names, out.tolist()))
+        out[over] = most[over]
+        free &= ~over
 
 
 def route(supply: dict[tuple, int], quota: dict, passes: int) -> dict[tuple, int]:
-    """Words that each pattern gives: successive cheapest paths; supply: pattern (its sources) to words."""
-    patterns, sources = list(supply), list(quota)
-    n = len(patterns) + len(sources) + 2
-    s, t = n - 2, n - 1
-    graph: list[list[int]] = [[] for _ in range(n)]
-    to, room, cost = [], [], []
-
-    def arc(a, b, c, w):
-        graph[a].append(len(to))
-        to.extend((b, a))
-        room.extend((c, 0))
-        cost.extend((w, -w))
-        graph[b].append(len(to) - 1)
-
-    at = {x: len(patterns) + i for i, x in enumerate(sources)}
-    for i, p in enumerate(patterns):
-        for k in range(passes):
-            arc(s, i, supply[p], PASS_COST[k] if k < len(PASS_COST) else 2 ** (k + 1) - 1)
+    """Words that each pattern gives; supply: pattern (its sources) to words, quota: source to words."""
+    given, mixed = {}, {x for p in supply if len(p) > 1 for x in p}
+    shared = [p for p in supply if not mixed.isdisjoint(p)]
+    for p in supply:
+        given[p] = min(quota[p[0]], passes * supply[p]) if len(p) == 1 and p[0] not in mixed else 0
+    if not shared:
+        return given
+    sources = sorted(mixed, key=lambda x: (x is None, x or ""))
+    place = {x: len(shared) + i for i, x in enumerate(sources)}
+    source, sink = len(shared) + len(sources), len(shared) + len(sources) + 1
+    graph: list[list[int]] = [[] for _ in range(sink + 1)]
+    to, room = [], []
+
+    def arc(a: int, b: int, capacity: int) -> None:
+        for x, y, c in ((a, b, capacity), (b, a, 0)):
+            graph[x].append(len(to))
+            to.append(y)
+            room.append(c)
+
+    for i, p in enumerate(shared):
         for x in p:
-            arc(i, at[x], passes * supply[p], 0)
+            arc(i, place[x], passes * supply[p])
     for x in sources:
-        arc(at[x], t, quota[x], 0)
+        arc(place[x], sink, quota[x])
+    enter = len(to)
+    for i in range(len(shared)):
+        arc(source, i, 0)
+    for _ in range(passes):
+        for i, p in enumerate(shared):
+            room[enter + 2 * i] += supply[p]
+        _enlarge(graph, to, room, source, sink)
+    for i, p in enumerate(shared):
+        given[p] = room[enter + 2 * i + 1]
+    return given
+
+
+def _enlarge(graph: list[list[int]], to: list[int], room: list[int], source: int, sink: int) -> None:
+    """To a maximum flow: rounds of blocking flows along shortest paths, walked with an explicit stack."""
     while True:
-        far, via, queued = {s: 0}, {}, {s}
-        line = deque([s])
-        while line:  # Bellman-Ford: residual arcs have negative costs
-            a = line.popleft()
-            queued.discard(a)
+        level = [-1] * len(graph)
+        level[source], line = 0, [source]
+        for a in line:
             for e in graph[a]:
-                if room[e] > 0 and far[a] + cost[e] < far.get(to[e], float("inf")):
-                    far[to[e]], via[to[e]] = far[a] + cost[e], e
-                    if to[e] not in queued:
-                        queued.add(to[e])
-                        line.append(to[e])
-        if t not in far:
-            break
-        path, a = [], t
-        while a != s:
-            path.append(via[a])
-            a = to[via[a] ^ 1]
-        give = min(room[e] for e in path)
-        for e in path:
-            room[e] -= give
-            room[e ^ 1] += give
-    given = dict.fromkeys(patterns, 0)
-    for i, p in enumerate(patterns):
-        given[p] = sum(room[e ^ 1] for e in graph[i] if e % 2 == 0)
-    return given
+                if room[e] and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    line.append(to[e])
+        if level[sink] < 0:
+            return
+        at, path, a = [0] * len(graph), [], source
+        while True:
+            if a == sink:
+                least = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= least
+                    room[e ^ 1] += least
+                first = next(i for i, e in enumerate(path) if not room[e])
+                a = to[path[first] ^ 1]
+                del path[first:]
+                continue
+            arcs = graph[a]
+            while at[a] < len(arcs) and not (room[arcs[at[a]]] and level[to[arcs[at[a]]]] == level[a] + 1):
+                at[a] += 1
+            if at[a] < len(arcs):
+                path.append(arcs[at[a]])
+                a = to[path[-1]]
+            elif path:
+                a = to[path.pop() ^ 1]
+                at[a] += 1
+            else:
+                break
 
 
 def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, how: Mix = Mix(), keep: list[str] | None = None, salt: list[str] | None = None, scratch: common.Scratch | None = None) -> DataFrame:
@@ -123,6 +152,22 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, how:
     # ranges of the hash in its own order, so that all documents of a range stand before the next
     hash_range = (F.shiftright("hash", 52) + RANGES // 2).cast("int").alias("range")
     narrow = scratch.write(docs.select(*facts), "mix").select("*", hash_range)
+    overlapping = narrow.filter(F.size("pattern") > 1).groupBy("pattern").agg(F.sum("size").alias("words"))
+    overlapping = scratch.write(overlapping, "patterns")
+    rare = None
+    if overlapping.count() > MOST_PATTERNS:
+        kept = overlapping.orderBy(F.desc("words"), F.xxhash64("pattern"), "pattern").limit(MOST_PATTERNS).select("pattern")
+        rare = scratch.write(overlapping.select("pattern").join(kept, "pattern", "left_anti"), "rare").select(F.col("pattern").alias("_rare"))
+
+    def told_apart(df: DataFrame) -> DataFrame:
+        """Rare patterns as one of their sources."""
+        if rare is None:
+            return df
+        one = F.array(F.get("pattern", F.pmod(F.xxhash64("pattern"), F.size("pattern")).cast("int")))
+        both = df.join(rare, F.col("pattern").eqNullSafe(F.col("_rare")), "left")
+        return both.withColumn("pattern", F.when(F.col("_rare").isNull(), F.col("pattern")).otherwise(one)).drop("_rare")
+
+    narrow = told_apart(narrow)
     # a range has a row at most for each pattern; sums are combined before they are shuffled
     sums = scratch.write(narrow.groupBy("pattern", "range").agg(F.sum("size").alias("words")), "mix-sums")
     supply = {tuple(r["pattern"]): int(r["w"]) for r in sums.groupBy("pattern").agg(F.sum("words").alias("w")).collect()}
@@ -176,7 +221,7 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, how:
             v["gap"] -= r["words"]
             v.setdefault("extra", []).append((r["hash"], r["size"]))
     # one more pass over the documents, without a shuffle
-    every = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), *facts).select("*", hash_range)
+    every = told_apart(docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), *facts).select("*", hash_range))
     every = with_plan(every, "pattern_size", "target", "whole", "cut_range", "last_hash", "last_size", "extra")
     chosen = first | F.coalesce(F.array_contains("extra", F.struct("hash", "size")), F.lit(False))
     taken = F.col("size") * (F.col("whole") + chosen.cast("long"))
