@@ -270,7 +270,7 @@ def expected_lines(pairs, least=20):
 def test_line_dedup(docs):
     once = docs.dropDuplicates(["doc_id"]).cache()
     gone = expected_lines(rows(once))
-    got = line_dedup.line_dedup(once).select("row.*", "n_lines", "n_removed", "n_spans").collect()
+    got = line_dedup.line_dedup(once, whole_runs=False).select("row.*", "n_lines", "n_removed", "n_spans").collect()
     before = dict(rows(once))
     assert len(got) == len(before) and any(gone.values())
     for r in got:
@@ -291,6 +291,12 @@ def test_line_dedup_of_runs_of_short_lines(spark):
     assert got[4] == ("", 16, 1)
 
 
+def removed_spans(text, out):
+    """Maximal runs of removed lines; lines without words don't end one."""
+    wordy = [n in out for n, x in enumerate((text or "").split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
+    return sum(now and not before for before, now in zip([False, *wordy], wordy))
+
+
 def expected_whole_runs(pairs, least=20):
     """Lines in any run of least words that an earlier place holds too, by comparing all places."""
     strip, seq = " \t\n\x0b\x0c\r", []
@@ -314,16 +320,22 @@ def test_line_dedup_of_whole_runs(docs, spark):
     line = lambda k, w: " ".join([w] * k)
     run = "\n".join([line(30, "a"), line(9, "b"), line(9, "c")])
     made = [(1, run), (2, run), (3, f"x\n{run}\n{line(25, 'y')}"), (4, f"{run}\n{line(25, 'y')}"), (5, f"{line(9, 'b')}\n{line(9, 'c')}"), (6, "\n".join(f"s{k % 7}" for k in range(60)))]
-    for d in (spark.createDataFrame(made, "doc_id long, text string"), docs.dropDuplicates(["doc_id"]).cache()):
+    again = [(7, run), (7, run), (7, None), (None, None)]  # repeated rows are one document
+    for d in (spark.createDataFrame(made + again, "doc_id long, text string"), docs.dropDuplicates(["doc_id"]), docs.filter("doc_id > 1")):
         pairs = rows(d)
-        gone, before = expected_whole_runs(pairs), dict(pairs)
-        got = line_dedup.line_dedup(d, whole_runs=True).select("row.doc_id", "row.text", "n_removed").collect()
-        assert len(got) == len(before) and any(gone.values())
-        for r in got:
-            was = before[r.doc_id]
-            out = gone.get((r.doc_id, was), set())
-            assert r.n_removed == len(out), r.doc_id
-            assert r.text == (None if was is None else "\n".join(x for n, x in enumerate(was.split("\n")) if n not in out))
+        gone, want = expected_whole_runs(pairs), Counter()
+        for i, was in pairs:
+            out = gone.get((i, was), set())
+            want[i, None if was is None else "\n".join(x for n, x in enumerate(was.split("\n")) if n not in out), len(out), removed_spans(was, out)] += 1
+        got = line_dedup.line_dedup(d).select("row.doc_id", "row.text", "n_removed", "n_spans").collect()
+        assert Counter(map(tuple, got)) == want and any(gone.values())
+
+
+def test_line_spans_over_lines_without_words(spark):
+    run = "\n".join(f"row {k} " + "z " * 25 for k in range(4))
+    made = [(1, run), (2, "own\n" + run.replace("\n", "\n \n") + "\nend"), (3, "\n\n" + run.split("\n")[0] + "\nmid\n" + run.split("\n")[3])]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in line_dedup.line_dedup(spark.createDataFrame(made, "doc_id long, text string")).select("row.doc_id", "n_removed", "n_spans").collect()}
+    assert got == {1: (0, 0), 2: (4, 1), 3: (2, 2)}
 
 
 def test_line_dedup_of_nothing(no_docs, docs):

@@ -8,18 +8,20 @@ suffix of each pair by an aggregate that is combined before it is shuffled. Suff
 once drop out after each round, so rounds shrink.
 
 Every suffix has a least depth: the lines after which its run has min_words words. Suffixes that share
-a prefix of that depth are an interval of the suffix array; its first member stays, and at all others
-the run is a later copy. Overlapping copies of least depth make up the maximal repeated runs but for
-last lines that have under min_words words together. With whole_runs a suffix is also judged at each
-greater depth up to the next suffix's least depth (or the text's end), which covers those lines: a
-maximal run's last suffix of min_words words reaches the run's end by one of these depths. There are
-about two depths a line in all. Depths never exceed min_words, so rounds never exceed its logarithm.
-Without whole_runs the result is that of OP7_SQL.
+a prefix of some depth are an interval of the suffix array, a common-prefix interval, and its first
+member stays: at all others the run is a later copy. Intervals are looked at from a suffix's least depth
+up to the next suffix's least depth (or the text's end): a maximal repeated run's last suffix of
+min_words words reaches the run's end by one of these depths, and the suffixes before it cover the rest,
+so the union of what intervals cover is the maximal repeated runs whole. There are about two depths a
+line in all, and depths never exceed min_words, so rounds never exceed its logarithm. Names stand for
+ranks: an interval needs only to know which suffixes are equal and which is first. Without whole_runs a
+suffix is judged at its least depth alone, and last lines with under min_words words together stay.
 
 Defined results: a null text has no lines and stays null; lines without words stay; rows with the same
 id and text are one document (neither is the other's later copy); rows with one id and different texts
 are ordered by a hash of the text; null ids come first; an empty table gives an empty table; other
-columns pass through.
+columns pass through, whatever their names; very long texts are read whole, line by line, and a line's
+identity is 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def _lines(text: Column, min_words: int, whole_runs: bool) -> Column:
     return common.let(with_depth, lambda at: F.transform(at, lambda e, i: F.struct(e["i"], e["a"], e["b"], e["depth"], most(at, i).alias("most"))))
 
 
-def later_copies(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_WORDS, whole_runs: bool = False, scratch: common.Scratch | None = None) -> DataFrame:
+def later_copies(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_WORDS, whole_runs: bool = True, scratch: common.Scratch | None = None) -> DataFrame:
     """d (id), h (hash of the text), i (line number) of each line that a later copy covers."""
     body, scratch = F.col(text), common.scope(docs, scratch)
     lines = docs.filter(body.isNotNull()).select(F.col(id_col).alias("d"), F.xxhash64(body).alias("h"), F.posexplode(_lines(body, min_words, whole_runs)).alias("p", "e"))
@@ -103,7 +105,7 @@ def later_copies(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_W
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, keep: list[str] | None = None, whole_runs: bool = False, scratch: common.Scratch | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, keep: list[str] | None = None, whole_runs: bool = True, scratch: common.Scratch | None = None) -> DataFrame:
     """`row` (struct of the columns in keep, all by default, with the text that is left), n_lines,
     n_removed and n_spans (maximal runs of lines removed; lines without words don't end one)."""
     keep = docs.columns if keep is None else keep
@@ -118,16 +120,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
         return F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n")
 
     def spans(ls: Column) -> Column:
-        """Removed lines before which the nearest line with a word stays."""
-        wordy = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.length(F.btrim(F.get(ls, i), F.lit(common.SPACE))) > 0)
-        starts = F.array_except(
-            F.col("gone"), F.transform(F.col("gone"), lambda i: i + 1)
-        )  # all begin a span where no line without words stands between
-        return common.let(wordy, lambda w: F.when(F.size(w) == F.size(ls), F.size(starts)).otherwise(_spans(w)))
+        """Removed lines before which the nearest line with a word stays: one walk along lines and `gone`."""
+        start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("in"), F.lit(0).alias("n"))
 
-    def _spans(w: Column) -> Column:
-        at = F.filter(F.transform(w, lambda i, k: F.when(F.array_contains("gone", i), k)), lambda k: k.isNotNull())
-        return common.let(at, lambda a: F.size(F.array_except(a, F.transform(a, lambda k: k + 1))))
+        def step(s: Column, line: Column) -> Column:
+            i, wordy = line["i"], line["w"]
+            hit = F.coalesce(F.get("gone", s["at"]) == i, F.lit(False))
+            return F.struct(
+                (s["at"] + hit.cast("int")).alias("at"), F.when(wordy, hit).otherwise(s["in"]).alias("in"), (s["n"] + (wordy & hit & ~s["in"]).cast("int")).alias("n")
+            )
+
+        every = F.transform(ls, lambda x, i: F.struct(i.alias("i"), (F.length(F.btrim(x, F.lit(common.SPACE))) > 0).alias("w")))
+        return F.aggregate(every, start, step, lambda s: s["n"])
 
     some = F.col("gone").isNotNull()
     new_text = F.when(some, common.let(lines, left_over)).otherwise(F.col(f"all.{text}"))
@@ -139,7 +143,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole_runs: bool = False, scratch: common.Scratch | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole_runs: bool = True, scratch: common.Scratch | None = None) -> DataFrame:
     """The columns of docs, texts without later copies; documents of which no word is left go."""
     out = line_dedup(docs, id_col, text, min_words, whole_runs=whole_runs, scratch=scratch)
     left = F.length(F.translate(F.coalesce(F.col(f"row.{text}"), F.lit("")), common.SPACE, "")) > 0

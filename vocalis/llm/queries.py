@@ -119,8 +119,10 @@ with t as (
     list(w) over (partition by doc_id order by p rows between current row and 19 following) as ws from n
 ), d as (
   select doc_id, i, p, run, list_min(list_filter(range(1, len(ws) + 1), lambda k: list_sum(list_slice(ws, 1, k)) >= 20)) as depth from c
+), m as (
+  select *, greatest(depth, coalesce(lead(depth) over (partition by doc_id order by p), len(run))) as most from d
 ), k as (
-  select doc_id, p, depth, list_slice(run, 1, depth) as run from d where depth is not null
+  select doc_id, p, n as depth, list_slice(run, 1, n) as run from m, unnest(range(depth, most + 1)) as u(n) where depth is not null
 ), later as (
   select doc_id, p, depth from (select *, row_number() over (partition by run order by doc_id, p) as nth from k) where nth > 1
 ), gone as (
