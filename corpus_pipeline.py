@@ -35,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, with documents of which no word is left. A null text
     stays null; rows with one id and text are one document and keep the same lines; whole texts count."""
-    out = line_dedup.deduplicated(docs, whole_runs=True, scratch=_scope(spark, docs))
+    out = line_dedup.deduplicated(docs, scratch=_scope(spark, docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
