@@ -185,8 +185,9 @@ def test_packing_of_nothing(no_docs):
 
 
 def near_components(pairs_of, near):
-    sets = {}
-    for i, t in pairs_of:
+    """Of each id, by its text with the least digest."""
+    sets, digest = {}, lambda t: hashlib.blake2b(minhash.shingles(t, near.shingle).tobytes(), digest_size=16).digest()
+    for i, t in sorted(pairs_of, key=lambda x: digest(x[1]), reverse=True):
         w = WORD.findall((t or "").translate(minhash.LOWER))
         k = near.shingle
         sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
@@ -209,13 +210,30 @@ def near_components(pairs_of, near):
 
 @pytest.mark.parametrize("near", [minhash.Near(), minhash.Near(3, 85, 100)])
 def test_near_duplicates(docs, near):
-    once = docs.dropDuplicates(["doc_id"]).cache()
-    want = near_components(rows(once), near)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(once, near=near).collect()}
-    assert got == want
+    pairs = rows(docs)
+    want = near_components(pairs, near)
+    size = lambda t: len(minhash.shingles(t, near.shingle))
+    found = minhash.near_duplicates(docs, near=near).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == Counter((i, size(t), want[i][1]) for i, t in pairs)
     assert len({c for _, c in want.values()}) < len(want)
 
 
+def test_near_duplicates_in_large_families(spark, monkeypatch):
+    """Many documents about one text, some nearer to each other than to the rest; small blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    r, made = random.Random(9), []
+    base = [f"w{i}" for i in range(120)]
+    for i in range(150):
+        words = base.copy()
+        for k in r.sample(range(120), (0, 3, 6, 9)[i % 4]):
+            words[k] = f"n{r.randint(0, 40)}"
+        made.append((i, " ".join(words)))
+    d = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    want = near_components(made, minhash.Near())
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(d).collect()} == want
+    assert 1 < len({c for _, c in want.values()}) < 150
+
+
 def test_near_duplicates_keep_chains_through_other_documents(spark):
     base = [f"w{i}" for i in range(200)]
     chain = []

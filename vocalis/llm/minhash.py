@@ -6,10 +6,12 @@
    it. A pair's signatures are compared in batches; after each one the pair is dropped if the posterior
    probability that its similarity reaches the threshold is below MISS (uniform prior: a binomial
    tail). Survivors are verified on the full shingle sets of their texts, with whole numbers.
-3. Buckets whose members aren't of one component by then hang together in families. A family's
-   documents are dealt to pairs of blocks of BLOCK documents. A task compares what isn't of one
-   component in the same way, likeliest pairs first, and gives a link only where it joins components:
-   no pairs are written, and a large family is many tasks.
+3. Buckets whose members aren't of one component by then hang together in families. What is not of a
+   family's largest component is compared with the whole family in the same way, so a family costs its
+   size times its rest, not its square. Both are dealt in blocks of BLOCK documents: a task first sees
+   ids and signatures alone, and texts travel only to the tasks, and of the documents, that have a likely
+   pair. There, likeliest pairs first, a link is given only where it joins components: no pairs are
+   written, and a large family is many tasks.
 4. Links give components, by min-label stars over tables.
 
 Hubs come from aggregates that are combined before the shuffle; pairs and texts come from ordinary
@@ -17,8 +19,9 @@ joins whose hot keys Spark splits at run time. Band parameters follow from the t
 pair at the threshold is missed by all bands with probability BAND_MISS.
 
 Defined results: texts without words, and null texts, have no set and are linked with nothing; rows
-with one id are one node; a null id stands alone; an empty table gives an empty table; other columns
-are not read. Very long texts are used whole.
+with one id are one node, whose text is, where they differ, the one with the least digest; a null id
+stands alone; an empty table gives an empty table; other columns are not read, so their names can't
+clash. Very long texts are used whole.
 """
 
 from __future__ import annotations
@@ -131,8 +134,8 @@ def _describe(near: Near):
                     k ^= k >> np.uint64(31)
                     keys.append((k.sum(1) * np.uint64(0x9E3779B97F4A7C15) + np.arange(bands, dtype=np.uint64)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["id", "n_shingles", "digest", "sig", "keys"],
+                    [some.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), some.column(2), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["id", "n_shingles", "digest", "hash", "sig", "keys"],
                 )
 
     return run
@@ -185,33 +188,69 @@ def _verify(near: Near):
     return run
 
 
-def _compare(near: Near):
-    """Rows (family, x, y, block, id, of, sig, text) in order of the first three: links between
-    components among the documents of block x and those of block y."""
+def _likely(sigs: np.ndarray, component: np.ndarray, asks: np.ndarray, steps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a row that asks and one that doesn't, of different components, that pass all batches:
+    matches, first and second row."""
+    found, others = [], np.flatnonzero(~asks)
+    for i in np.flatnonzero(asks):
+        live = others[component[others] != component[i]]
+        matched = np.zeros(len(live), int)
+        for n, least in steps:
+            matched += (sigs[live, n - BATCH : n] == sigs[i, n - BATCH : n]).sum(1)
+            on = matched >= least
+            live, matched = live[on], matched[on]
+            if not len(live):
+                break
+        if len(live):
+            found.append((matched, np.full(len(live), i), live))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int),) * 3
+
+
+def _grouped(near: Near, names: list[str], group):
+    """Rows (family, x, y, asks, id, of, sig, ...) in order of the first three, a task after the other,
+    through group(key, rows, likely pairs)."""
     t = near.num / near.den
     steps = [(n, least_matches(n, t)) for n in range(BATCH, K + 1, BATCH)]
 
-    def group(key, rows):
-        _, x, y = key
-        ids, of, texts = [r[1] for r in rows], [r[2] for r in rows], [r[4] for r in rows]
-        sigs = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(-1, K)
-        of_number = {c: k for k, c in enumerate(dict.fromkeys(of))}
-        component = np.array([of_number[c] for c in of])
-        second = np.array([r[0] == y for r in rows]) if x != y else np.ones(len(rows), bool)
-        parent = list(range(len(of_number)))
-        likely = []
-        for i in np.flatnonzero(~second) if x != y else range(len(rows)):
-            live = np.flatnonzero(second & (component != component[i]))
-            if x == y:
-                live = live[live > i]
-            matched = np.zeros(len(live), int)
-            for n, least in steps:
-                matched += (sigs[live, n - BATCH : n] == sigs[i, n - BATCH : n]).sum(1)
-                on = matched >= least
-                live, matched = live[on], matched[on]
-                if not len(live):
-                    break
-            likely += zip((-matched).tolist(), [int(i)] * len(live), live.tolist())
+    def run(batches):
+        key, rows = None, []
+
+        def done():
+            number = {c: k for k, c in enumerate(dict.fromkeys(r[2] for r in rows))}
+            component = np.array([number[r[2]] for r in rows])
+            sigs = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(-1, K)
+            found = list(group(key, rows, component, _likely(sigs, component, np.array([r[0] for r in rows], bool), steps)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=names)
+
+        for batch in batches:
+            for f, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (f, x, y) != key:
+                    if rows:
+                        yield from done()
+                    key, rows = (f, x, y), []
+                rows.append(row)
+        if rows:
+            yield from done()
+
+    return run
+
+
+def _needed(near: Near):
+    """Which rows of a task have a likely pair."""
+
+    def group(key, rows, component, likely):
+        for k in np.unique(np.concatenate(likely[1:])).tolist():
+            yield (*key, rows[k][0], rows[k][1])
+
+    return _grouped(near, ["family", "x", "y", "asks", "id"], group)
+
+
+def _compare(near: Near):
+    """Links between components, on full sets. A row's last value is its text."""
+
+    def group(key, rows, component, likely):
+        parent = list(range(len(rows)))
 
         def root(c):
             while parent[c] != c:
@@ -220,49 +259,32 @@ def _compare(near: Near):
             return c
 
         sets: dict[int, np.ndarray] = {}
-        for _, i, j in sorted(likely):
+        for at in np.lexsort((likely[2], likely[1], -likely[0])).tolist():
+            i, j = int(likely[1][at]), int(likely[2][at])
             a, b = root(component[i]), root(component[j])
             if a == b:
                 continue
             for k in (i, j):
                 if k not in sets:
-                    sets[k] = shingles(texts[k], near.shingle)
+                    sets[k] = shingles(rows[k][4], near.shingle)
             u, v = sets[i], sets[j]
             if near.num * max(len(u), len(v)) > near.den * min(len(u), len(v)):
                 continue
             both = len(np.intersect1d(u, v, assume_unique=True))
             if near.den * both >= near.num * (len(u) + len(v) - both):
                 parent[max(a, b)] = min(a, b)
-                yield ids[i], ids[j]
-
-    def run(batches):
-        key, rows = None, []
-
-        def done():
-            found = list(group(key, rows))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+                yield rows[i][1], rows[j][1]
 
-        for batch in batches:
-            for f, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (f, x, y) != key:
-                    if rows:
-                        yield from done()
-                    key, rows = (f, x, y), []
-                rows.append(row)
-        if rows:
-            yield from done()
-
-    return run
+    return _grouped(near, ["a", "b"], group)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", near: Near = Near(), scratch: common.Scratch | None = None) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id."""
     scratch = common.scope(docs, scratch)
     common.ship(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
     described = scratch.write(
-        texts.mapInArrow(_describe(near), "id long, n_shingles long, digest binary, sig binary, keys array<long>"), "minhash"
+        texts.mapInArrow(_describe(near), "id long, n_shingles long, digest binary, hash long, sig binary, keys array<long>"), "minhash"
     )
     classes = described.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     classes = scratch.write(classes, "classes")
@@ -277,8 +299,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = scratch.write(members.select("id").distinct(), "named")
     if named.count() <= MOST_BROADCAST:  # then texts needn't be shuffled to find theirs
         named = F.broadcast(named)
-    held = texts.join(named, "id", "left_semi").dropDuplicates(["id"]).join(reps.select("id", "sig").dropDuplicates(["id"]), "id")
-    held = scratch.write(held, "held")
+    chosen = reps.join(named, "id", "left_semi").groupBy("id").agg(F.min(F.struct("digest", "hash", "sig")).alias("x")).select("id", "x.hash", "x.sig")
+    held = texts.join(named, "id", "left_semi").join(chosen, ["id", "hash"]).groupBy("id").agg(F.first("text").alias("text"), F.first("sig").alias("sig"))
+    held = scratch.write(held, "held")  # rows of one id that are left are equal
 
     hub = members.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
     spokes = members.join(hub, "key").filter("id <> hub").select("key", "hub", "id")
@@ -296,13 +319,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     open_keys = labelled.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("key")
     family = components(spokes.join(open_keys, "key", "left_semi").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), scratch=scratch)
     family = scratch.write(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
-    blocks = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    dealt = dealt.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("of", F.coalesce("component", "id"))
-    dealt = dealt.join(held, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = [F.col("family"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
-    dealt = dealt.select(*group, "block", "id", "of", "sig", "text").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "block", "id")
-    more = scratch.write(dealt.mapInArrow(_compare(near), "a long, b long"), "near-links")
+    member = family.join(found.withColumnRenamed("node", "id"), "id", "left").select("family", "id", F.coalesce("component", "id").alias("of"))
+    member = scratch.write(member, "family-members")
+    sizes = member.groupBy("family", "of").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("family").agg(F.max_by("of", F.struct("n", -F.col("of"))).alias("most"), F.sum("n").alias("n"), F.max("n").alias("n_most")).filter("n > n_most")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    member = member.join(sizes.select("family", "most", blocks(F.col("n")).alias("ys"), blocks(F.col("n") - F.col("n_most")).alias("xs")), "family")
+    block = lambda c: F.pmod(F.xxhash64("id"), c).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    rest = member.filter("of <> most").select("family", block(F.col("xs")).alias("x"), every("ys").alias("y"), F.lit(True).alias("asks"), "id", "of")
+    whole = member.select("family", every("xs").alias("x"), block(F.col("ys")).alias("y"), F.lit(False).alias("asks"), "id", "of")
+    tasks, order = ["family", "x", "y"], ["family", "x", "y", "asks", "id"]
+    dealt = rest.unionByName(whole)
+    seen = dealt.join(held.select("id", "sig"), "id").select(*order, "of", "sig").repartition(*tasks).sortWithinPartitions(*order)
+    needed = scratch.write(seen.mapInArrow(_needed(near), "family long, x long, y long, asks boolean, id long"), "needed")
+    near_pairs = needed.join(member.select("family", "id", "of"), ["family", "id"]).join(held, "id").select(*order, "of", "sig", "text")
+    more = scratch.write(near_pairs.repartition(*tasks).sortWithinPartitions(*order).mapInArrow(_compare(near), "a long, b long"), "near-links")
     found = scratch.write(components(links.union(more), scratch=scratch), "components")
 
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
