@@ -103,6 +103,16 @@ def test_pieces_equal_whole_texts():
     assert e.encode(texts) == [e.whole(t) if t else b"" for t in texts]
 
 
+def test_other_tokenizers_go_to_the_library_whole():
+    from vocalis.llm.tokens import Encoder
+
+    assert Encoder(PATH).by_pieces
+    other = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["It's  ONE test", "caf\u0065\u0301 12", "", None]
+    assert not other.by_pieces
+    assert other.encode(texts) == [other.whole(t) if t else b"" for t in texts]
+
+
 def check_packing(got, want, length):
     pieces, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:

@@ -6,12 +6,14 @@ stands) and part-NNNNN.docs.arrow (doc_id, first, n_tokens of each document in o
 but a file's last are full, so sequence s is row s % ROWS of batch s // ROWS, read by a memory map
 without a copy; only a file's last sequence is padded. Parts follow each other in ascending id order.
 
-Documents are dealt by ranges of their id, so one file is one task's work however large the corpus;
-the driver sees one row per file. A file appears by a rename, so a task that is lost or run twice
-leaves one whole file.
+Documents are dealt by ranges of their id, into files of about FILE_BYTES of text, however large the
+corpus, so one file is one task's work; the driver sees one row per file. A file appears by a rename, so
+a task that is lost or run twice leaves one whole file. The folder must be in a store that pyarrow opens
+too: file, hdfs (with libhdfs), s3 (also as s3a) or gs.
 
 Defined results: null text encodes to the end id alone; null ids come first; repeated ids stay, in
-the order of their text's hash; an empty table writes no file; other columns are not read.
+the order of their text's hash; very long texts are encoded whole and run over as many batches as they
+need; an empty table writes no file; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -28,6 +30,14 @@ from vocalis.llm import common, tokens
 
 ROWS = 64
 CHUNK = 256
+#: Bytes of text for a file, where the session's number of partitions makes files no smaller.
+FILE_BYTES = 128 << 20
+
+
+def _store(uri: str):
+    """The file system and path of a URI, under the name that pyarrow knows."""
+    scheme, mark, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + mark + rest)
 
 
 def _type(n_ids: int) -> np.dtype:
@@ -75,7 +85,7 @@ class TokenFile:
     """Random access to one file."""
 
     def __init__(self, uri: str):
-        at, path = pafs.FileSystem.from_uri(uri)
+        at, path = _store(uri)
         source = pa.memory_map(path) if isinstance(at, pafs.LocalFileSystem) else at.open_input_file(path)
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("ids").type.list_size
@@ -112,7 +122,7 @@ def write(docs: DataFrame, at: str, tokenizer: str, id_col: str = "doc_id", text
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        store, folder = pafs.FileSystem.from_uri(at)
+        store, folder = _store(at)
         encoder = tokens.encoder(tokenizer)
         names = [f"{folder}/.{uuid.uuid4().hex}-{part}{x}" for x in ("", ".docs")]
         final = [f"{folder}/part-{part:05d}{x}.arrow" for x in ("", ".docs")]
@@ -143,9 +153,11 @@ def write(docs: DataFrame, at: str, tokenizer: str, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([writer.n_all], pa.int64())})
 
     order = [F.col("_id").asc_nulls_first(), F.col("_h")]
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
     dealt = (
         docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("_h"))
-        .repartitionByRange(*order)
+        .repartitionByRange(n_files, *order)
         .sortWithinPartitions(*order)
         .select("_id", "_t")
     )
@@ -162,7 +174,7 @@ def read(files: DataFrame, at: str) -> DataFrame:
             for row in batch.to_pylist():
                 base = f"{at}/part-{row['part']:05d}"
                 file = TokenFile(f"{base}.arrow")
-                store, path = pafs.FileSystem.from_uri(f"{base}.docs.arrow")
+                store, path = _store(f"{base}.docs.arrow")
                 with store.open_input_file(path) as source:
                     docs = pa.ipc.open_file(source)
                     for k in range(docs.num_record_batches):
@@ -172,5 +184,4 @@ def read(files: DataFrame, at: str) -> DataFrame:
                         start = pa.array([a + row["start"] for a in first], pa.int64())
                         yield pa.RecordBatch.from_arrays([some.column("doc_id"), start, some.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, files.count())
-    return files.select("part", "start").repartition(n, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "start").repartition(max(1, files.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

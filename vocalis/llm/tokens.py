@@ -3,7 +3,8 @@
 The pre-tokenizer cuts a text into pieces that are merged on their own, so the ids of a text are
 those of its pieces in order. The encoder asks the library for each distinct piece and keeps a
 bounded memo; texts with characters on which regular expression engines may differ, or with a
-special token's string, go to the library whole.
+special token's string, go to the library whole. So do all texts where the library's own pre-tokenizer
+isn't the byte-level one with that pattern, or where it normalises texts first.
 """
 
 from __future__ import annotations
@@ -31,10 +32,19 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.by_pieces = self._cuts_as_expected()
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the byte alphabet's space
 
+    def _cuts_as_expected(self) -> bool:
+        """Whether PIECES is this tokenizer's way to cut: by what it says of itself, and on a sample."""
+        cut = self.library.pre_tokenizer
+        if type(cut).__name__ != "ByteLevel" or cut.add_prefix_space or not cut.use_regex or self.library.normalizer is not None:
+            return False
+        sample = "It's 12 o'clock: we'll  see\n\n what\tthe naïve \u2013 café (50%) did... 'Tis!"
+        return [a for _, a in cut.pre_tokenize_str(sample)] == [m.span() for m in PIECES.finditer(sample)]
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -59,7 +69,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null gives none."""
         cut = [
-            None if not text or ODD.search(text) or any(s in text for s in self.special) else PIECES.findall(text)
+            None if not text or not self.by_pieces or ODD.search(text) or any(s in text for s in self.special) else PIECES.findall(text)
             for text in texts
         ]
         new = set().union(*filter(None, cut))
