@@ -1,11 +1,17 @@
 """The pipeline stage by stage, and as a whole."""
 
+import math
 import os
+import zlib
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
+from conftest import DOCS, sample_docs
+from pyspark.sql import functions as F
+from test_documents import WORD, check_packing, expected_signals, expected_whole_runs, near_components, token_ids
 
-from vocalis.llm import common, minhash
+from vocalis.llm import common, minhash, mixing
 
 
 def test_stages(spark, docs):
@@ -52,3 +58,95 @@ def test_no_own_folder_on_a_cluster(spark, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda _: None)
     with pytest.raises(ValueError):
         common.shared_dir(spark)
+
+
+# --- the five stages in plain Python
+
+
+def plain_quality(docs):
+    facts = []
+    for r in docs:
+        n_words, _, n_symbols, n_dup, n_repeat = expected_signals(r["text"])
+        n_lines = sum(bool(WORD.search(x)) for x in (r["text"] or "").split("\n"))
+        facts.append((n_words < 50 or 100 * n_repeat > 50 * n_words, 100 * n_symbols > 50 * n_words, 100 * n_dup > 50 * n_lines))
+    hosts = defaultdict(list)
+    for r, f in zip(docs, facts):
+        hosts[r["source"]].append(f)
+    refused = set()
+    for k in range(3):
+        n, m = len(docs), sum(f[k] for f in facts) / max(1, len(docs))
+        q = sum(sum(f[k] for f in fs) ** 2 / len(fs) for fs in hosts.values())
+        between = q / n - m * m - m * (1 - m) * len(hosts) / n
+        strength = max(1.0, min(1e6, m * (1 - m) / between - 1)) if between > 0 else 1e6
+        refused |= {h for h, fs in hosts.items() if (sum(f[k] for f in fs) + m * strength) / (len(fs) + strength) > 0.5}
+    return [r for r, f in zip(docs, facts) if not f[0] and r["source"] not in refused]
+
+
+def plain_lines(docs):
+    gone, out = expected_whole_runs([(r["doc_id"], r["text"]) for r in docs]), []
+    for r in docs:
+        lost = gone.get((r["doc_id"], r["text"]), set())
+        text = "\n".join(x for n, x in enumerate(r["text"].split("\n")) if n not in lost)
+        if not lost or WORD.search(text):
+            out.append({**r, "text": text, "n_chars": len(text)})
+    return out
+
+
+def plain_near(docs):
+    found = near_components([(r["doc_id"], r["text"]) for r in docs], minhash.Near())
+    return [r for r in docs if found[r["doc_id"]][1] == r["doc_id"]]
+
+
+def plain_mix(docs, hashes):
+    size = lambda r: len(WORD.findall(r["text"] or ""))
+    by = defaultdict(list)
+    for r in docs:
+        by[r["source"]].append(r)
+    words = {s: sum(map(size, rs)) for s, rs in by.items()}
+    goals, out = mixing.targets(words, (5, 2, 1), 3), []
+    for s, rs in by.items():
+        whole, rest = divmod(min(round(goals[s]), 3 * words[s]), words[s]) if words[s] else (0, 0)
+        groups = defaultdict(list)  # rows of one hash and size go together
+        for r in rs:
+            groups[hashes[r["doc_id"]], size(r)].append(r)
+        taken, first, up_to = set(), [], 0
+        for key in sorted(groups):
+            up_to += key[1] * len(groups[key])
+            if up_to <= rest:
+                first.append(key)
+        taken, gap = set(first), rest - sum(k[1] * len(groups[k]) for k in first)
+        classes = {}
+        for key in groups:
+            n = key[1] * len(groups[key])
+            if key not in taken and 0 < n <= gap:
+                c = int(math.log2(n))
+                classes[c] = max(classes.get(c, (0,)), (n, *key))
+        for n, *key in sorted(classes.values(), reverse=True):
+            if n <= gap:
+                gap -= n
+                taken.add(tuple(key))
+        for key, some in groups.items():
+            out += [r for r in some if key[1] for _ in range(whole + (key in taken))]
+    return out
+
+
+def plain_pieces(docs, length=2048):
+    return Counter(
+        (r["doc_id"], s, len(x[s : s + length]), zlib.crc32(x[s : s + length].tobytes()), len(x)) for r in docs for x in [token_ids(r["text"], 1)] for s in range(0, len(x), length)
+    )
+
+
+@pytest.mark.parametrize("seed", [3, 12])
+def test_run_against_plain_python(spark, tmp_path, seed):
+    made = spark.createDataFrame(sample_docs(seed, 90), DOCS).repartition(3)
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [r.asDict() for r in made.collect()]
+    ids = spark.createDataFrame([(i,) for i in {r["doc_id"] for r in docs}], "doc_id long")
+    hashes = {r.doc_id: r.h for r in ids.select("doc_id", F.xxhash64(F.lit(17), "doc_id").alias("h")).collect()}
+    counts, now = [len(docs)], docs
+    for stage in (plain_quality, plain_lines, plain_near, lambda d: plain_mix(d, hashes)):
+        now = stage(now)
+        counts.append(len(now))
+    assert counts[0] > counts[1] > counts[3] > 10 and counts[2] <= counts[1]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    check_packing(got, plain_pieces(now), 2048)
