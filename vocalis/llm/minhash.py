@@ -45,7 +45,7 @@ MISS = 1e-6
 #: Ids (of 8 bytes) up to which the list of documents that pairs can need is broadcast.
 MOST_BROADCAST = 2_000_000
 #: Documents in a block of a family.
-BLOCK = 512
+BLOCK = 256
 CHUNK = 256
 MEMO = 400_000
 
