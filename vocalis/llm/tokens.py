@@ -19,7 +19,7 @@ import numpy as np
 PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s\w]+|\s+(?!\S)|\s+")
 #: Characters outside: whole text to the library. ASCII without underscore and separators, Latin letters, common punctuation.
 ODD = re.compile(r"[^\t\n\r\x20-\x5e\x60-\x7e¡§©«»¿À-ɏ–—‘-„…€]")
-MEMO = 1_200_000
+MEMO = 700_000
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -73,27 +73,18 @@ class Encoder:
             None if not text or not self.by_pieces or ODD.search(text) or any(s in text for s in self.special) else PIECES.findall(text)
             for text in texts
         ]
-        # most texts are known whole; only others are looked at piece by piece
-        get, out, late = self.memo.get, [], []
-        for k, (text, pieces) in enumerate(zip(texts, cut)):
-            if pieces is None:
-                out.append(self.whole(text) if text else b"")
-                continue
-            try:
-                out.append(b"".join(map(get, pieces)))
-            except TypeError:  # a piece that isn't known gives None
-                out.append(None)
-                late.append(k)
-        lacking = {p for k in late for p in cut[k] if p not in self.memo}
+        new = set().union(*filter(None, cut))
+        lacking = new.difference(self.memo)
         if len(self.memo) + len(lacking) > MEMO:
             self.memo.clear()
-            lacking = {p for k in late for p in cut[k]}
+            lacking = new
         if lacking:
             self._learn(list(lacking))
         known = self.memo.__getitem__
-        for k in late:
-            out[k] = b"".join(map(known, cut[k]))
-        return out
+        return [
+            b"".join(map(known, pieces)) if pieces is not None else self.whole(text) if text else b""
+            for text, pieces in zip(texts, cut)
+        ]
 
 
 def encoder(path: str) -> Encoder:
