@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain, filterfalse
+from operator import itemgetter
 
 import numpy as np
 
@@ -73,18 +75,18 @@ class Encoder:
             None if not text or not self.by_pieces or ODD.search(text) or any(s in text for s in self.special) else PIECES.findall(text)
             for text in texts
         ]
-        new = set().union(*filter(None, cut))
-        lacking = new.difference(self.memo)
+        every = chain.from_iterable(filter(None, cut))
+        lacking = set(filterfalse(self.memo.__contains__, every))
         if len(self.memo) + len(lacking) > MEMO:
             self.memo.clear()
-            lacking = new
+            lacking = set().union(*filter(None, cut))
         if lacking:
             self._learn(list(lacking))
-        known = self.memo.__getitem__
         return [
-            b"".join(map(known, pieces)) if pieces is not None else self.whole(text) if text else b""
+            (b"".join(itemgetter(*pieces)(self.memo)) if len(pieces) > 1 else self.memo[pieces[0]])
+            if pieces is not None else self.whole(text) if text else b""
             for text, pieces in zip(texts, cut)
-        ]
+        ]
 
 
 def encoder(path: str) -> Encoder:
