@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import ann, html_crf, line_dedup, lm_score, minhash, mixing, packing, quality, suffix_dedup, token_files
+from vocalis.llm import ann, filter_audit, html_crf, line_dedup, lm_score, merkle, minhash, mixing, packing, quality, sharding, suffix_dedup, token_files
 from vocalis.llm.common import new_dir, table
 
 
@@ -197,6 +199,106 @@ select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed
 from t left join kept using (doc_id) left join r using (doc_id)
 """
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+with t as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as x,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents
+), f as (
+  select doc_id, part, cast(len(w) < 200 as int) + 2 * cast(100 * len(list_distinct(w)) < 50 * len(w) as int)
+    + 4 * cast(100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 3 * length(x) as int)
+    + 8 * cast(regexp_matches(x, '[#$%&*|]') as int)
+    + 16 * cast(coalesce(doc_id > min(doc_id) over (partition by x), false) as int) as m
+  from t
+), l as (
+  select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id
+), c as (
+  select part, m, count(*) as n, count(*) filter (coalesce(good, false)) as g, count(*) filter (coalesce(toxic, false)) as b
+  from f left join l using (doc_id) group by part, m
+), v(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from v a, v b, v c, v d, v e where a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s as (
+  select filter_order, step, bits[step] as own, cast(coalesce(list_sum(bits[1:step - 1]), 0) as int) as prior from o, unnest(range(1, 6)) as u(step)
+)
+select part, filter_order, cast(step as int) as step,
+  cast(coalesce(sum(n) filter (m & (own | prior) = 0), 0) as bigint) as kept,
+  cast(coalesce(sum(n) filter (m & own <> 0 and m & prior = 0), 0) as bigint) as removed,
+  cast(coalesce(sum(n) filter (m & own <> 0 and m & prior <> 0), 0) as bigint) as redundant,
+  cast(coalesce(sum(n) filter (m = own), 0) as bigint) as unique_fails,
+  cast(coalesce(sum(g) filter (m & own <> 0 and m & prior = 0), 0) as bigint) as good_lost,
+  cast(coalesce(sum(b) filter (m & own <> 0 and m & prior = 0), 0) as bigint) as toxic_lost,
+  cast(coalesce(sum(n * (120 // greatest(bit_count(m), 1))) filter (m & own <> 0), 0) as bigint) as shapley
+from c, s group by all
+"""
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
+        sharding.link_digest(text).alias("digest"),
+    )
+    found = sharding.shard(docs, ["digest"], ["doc_id", "digest"])
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering adds 1 to n_chars where 7 divides the checksum of the decimal doc_id."""
+    named = ("doc_id", "source", "lang", "n_chars", "text")
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
+    changed = F.when(tampered & F.col("n_chars").isNotNull(), merkle.leaf(*(more if c == "n_chars" else F.col(c) for c in named)))
+    return merkle.manifest(table(spark, sf_dir, "documents"), "doc_id", "lang", merkle.leaf(*(F.col(c) for c in named)), changed)
+
+
+#: The checksum is folded over the digits of each id, bit by bit; fold(way) puts a digest between its siblings.
+OP13_SQL = r"""
+with recursive e as (
+  select doc_id, lang, n_chars, cast(doc_id as varchar) as d, @doc_id || @source || @lang as a, @text as z from documents
+), c as (
+  select *, xor(list_reduce(list_prepend(4294967295::bigint, [cast(unicode(x) as bigint) for x in string_split(d, '')]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::bigint[]), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) as crc from e
+), l as (
+  select doc_id, lang, sha256(a || @n_chars || z) as leaf, case when crc % 7 = 0 and n_chars is not null then sha256(a || @(n_chars + 1) || z) end as changed from c
+), i as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i from l
+), t(lang, level, nodes) as (
+  select lang, 0, list(leaf order by i) from i group by lang
+  union all
+  select lang, level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], ''))) from t where len(nodes) > 1
+), s as (
+  select lang, nodes[1] as subroot, row_number() over (order by lang nulls first) - 1 as j from t where len(nodes) = 1
+), u(level, nodes) as (
+  select 0, list(subroot order by j) from s
+  union all
+  select level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], ''))) from u where len(nodes) > 1
+), r as (
+  select nodes[1] as root from u where len(nodes) = 1
+), k as (
+  select i.lang, i, level, nodes, i >> level as spot from i join t on i.lang is not distinct from t.lang where len(nodes) > 1
+  union all
+  select i.lang, i, 1000 + level, nodes, j >> level from i join s on i.lang is not distinct from s.lang, u where len(nodes) > 1
+), w as (
+  select lang, i, list(case when spot % 2 = 1 then nodes[spot] || '*' else '*' || coalesce(nodes[spot + 2], '') end order by level) as way from k group by lang, i
+), f as (
+  select doc_id, leaf, subroot, root, coalesce(way, []) as way, coalesce(changed, leaf) as own
+  from i join s on i.lang is not distinct from s.lang left join w on i.lang is not distinct from w.lang and i.i = w.i, r
+)
+select doc_id, leaf, subroot, root, sha256(replace(array_to_string(way, ''), '*', '')) as proof_sha256,
+  list_reduce(list_prepend(own, way), lambda d, x: sha256(replace(x, '*', d))) as folded_root,
+  list_reduce(list_prepend(own, way), lambda d, x: sha256(replace(x, '*', d))) = root as verified
+from f
+"""
+OP13_SQL = re.sub(r"@\(?(\w+(?: \+ 1)?)\)?", r"coalesce(cast(strlen(cast(\1 as varchar)) as varchar) || ':' || cast(\1 as varchar), '-')", OP13_SQL)
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_lm_score": op2_lm_score,
@@ -208,9 +310,14 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_sharding": op12_sharding,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES = {
+    "op11_filter_audit": OP11_SQL,
+    "op13_merkle": OP13_SQL,
     "op1_html_text": OP1_SQL,
     "op6_minhash": OP6_SQL,
     "op10_suffix_dedup": OP10_SQL,
