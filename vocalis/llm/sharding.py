@@ -6,8 +6,8 @@ counts by shard are written and joined to the rows; a row asks for the shard wit
 going to the shard that its key prefers. What is asked for is summed by (from, to, gain): a largest-gain
 circulation on those few numbers, under each shard's quota of rows, says how many of each sum may move, and
 ranges of the hash pick them. A shard that is full refuses, and what it refused asks for the next best, so a
-group larger than a quota fills as few shards as it can. When nothing moves with every shard open, the rows
-without links and those that found no place are dealt out in the order of the hash, filling each quota
+group larger than a quota fills as few shards as it can. When nothing moves with every shard open, or nothing
+asks, the rows without links and those that found no place are dealt out in the order of the hash, filling each quota
 exactly. Slots are ranks by shard and range of the hash.
 
 The driver sees counts by shard and range (RANGES, PICKS) and never a row, a key or a link. Joins of rows with
@@ -32,6 +32,8 @@ from vocalis.llm import common
 RANGES, PICKS = 4096, 256
 #: A shard with less of its quota left than this share counts as full.
 FULL = 1 / 512
+#: Rounds without a move, every shard open, after which propagation ends.
+STALLS = 3
 
 
 @dataclass(frozen=True)
@@ -141,7 +143,7 @@ def _near(rows: DataFrame, keys: list[str], shards: int, scratch: common.Scratch
     return out
 
 
-def _asking(rows: DataFrame, keys: list[str], near: list[DataFrame], how: Shards, open_: list[int]) -> DataFrame:
+def _asking(rows: DataFrame, keys: list[str], near: list[DataFrame], how: Shards, open_: list[int], turn: int) -> DataFrame:
     """Adds _to, the shard that a row asks for (its own: to stay), and _gain, a power of two."""
     zero = F.array_repeat(F.lit(0).cast("long"), how.n)
     score = zero
@@ -149,12 +151,13 @@ def _asking(rows: DataFrame, keys: list[str], near: list[DataFrame], how: Shards
         n = n.select(F.col("_of").alias(f"_of{i}"), F.col("_n").alias(f"_n{i}"))
         rows = rows.join(n, F.col(k) == F.col(f"_of{i}"), "left")
         score = F.zip_with(score, F.coalesce(f"_n{i}", zero), lambda a, b: a + b)
-    prefer = _preference(how.seed, F.coalesce(*(F.col(k).cast("string") for k in keys)), how.n)
+    # another preference each round: what asked in vain for one shard may find a partner to swap with
+    prefer = _preference(how.seed + how.n * turn, F.coalesce(*(F.col(k).cast("string") for k in keys)), how.n)
     rows = rows.withColumn("_score", F.zip_with(score, prefer, lambda n, p: F.struct(n.alias("n"), p.alias("p"))))
     best = lambda s: F.struct(F.get("_score", F.lit(s))["n"].alias("n"), F.get("_score", F.lit(s))["p"].alias("p"), F.lit(s).alias("s"))
-    here = F.struct(
-        F.coalesce(F.get("_score", "_shard")["n"], F.lit(-1)).alias("n"), F.coalesce(F.get("_score", "_shard")["p"], F.lit(-(2**63))).alias("p"), F.col("_shard").alias("s")
-    )
+    # on a tie an open shard is better than a full one, which the rest of the group can't enter
+    prefers = F.when(F.col("_shard").isin(open_), F.get("_score", "_shard")["p"]).otherwise(F.lit(-(2**63)))
+    here = F.struct(F.coalesce(F.get("_score", "_shard")["n"], F.lit(-1)).alias("n"), prefers.alias("p"), F.col("_shard").alias("s"))
     rows = rows.withColumn("_best", F.greatest(here, *(best(s) for s in open_))).withColumn("_here", here)
     gain = F.floor(F.log2(F.col("_best.n") - F.greatest(F.col("_here.n"), F.lit(0)) + 1)).cast("int")
     return rows.withColumn("_to", F.col("_best.s")).withColumn("_gain", F.pow(F.lit(2), gain).cast("long")).drop("_score", "_best", "_here", *(f"_{c}{i}" for c in ("of", "n") for i in range(len(keys))))
@@ -210,11 +213,11 @@ def shard(rows: DataFrame, keys: list[str], order: list[str], how: Shards = Shar
     alone = state.filter("not _linked").withColumn("_shard", F.lit(-1))
     state = state.filter("_linked").join(start, F.col("_range") == F.col("_r"), "left").drop("_r")
     load = [sum(r["k"] for r in counts if first.get(r["_range"]) == s) for s in range(how.n)]
-    state, closed, before = scratch.write(state, "shard-state"), set(), None
-    for _ in range(how.rounds):
+    state, closed, before, stalls = scratch.write(state, "shard-state"), set(), None, 0
+    for turn in range(how.rounds):
         near = _near(state, keys, how.n, scratch)
         open_ = [s for s in range(how.n) if s not in closed]
-        asking = scratch.write(_asking(state, keys, near, how, open_), "shard-asking")
+        asking = scratch.write(_asking(state, keys, near, how, open_, turn), "shard-asking")
         for t in [*near, *([before] if before else [])]:
             scratch.drop(t)
         before, asked = asking, defaultdict(dict)
@@ -227,10 +230,12 @@ def shard(rows: DataFrame, keys: list[str], order: list[str], how: Shards = Shar
         state = asking.join(may, moving, "left").withColumn("_shard", F.when(F.col("_pick") < F.col("_upto"), F.col("_to")).otherwise(F.col("_shard")))
         state = state.drop("_f", "_t", "_g", "_upto", "_to", "_gain")
         if not any(n for k, v in upto.items() for r, n in asked[k].items() if r < v):
-            if not closed:
+            stalls += not closed
+            if stalls == STALLS or not closed and not asked:
                 break
             closed = set()
             continue
+        stalls = 0
         refused = {k[1] for k, v in upto.items() if any(r >= v for r in asked[k])}
         closed |= {s for s in refused if quota[s] - load[s] <= FULL * quota[s]}
         closed = closed if len(closed) < how.n else set()
