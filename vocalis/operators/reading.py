@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vocalis.functions import speech, text
 from vocalis.functions import tables as T
+from vocalis.operators import sequences
 
 
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,8 +125,8 @@ def layout_words(words: DataFrame) -> DataFrame:
 
 def layout_sentences(words: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Placed words (id, pos, page, text, x0, y0, x1, y1): sentences with their boxes."""
-    before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = words.withColumn("seq", F.coalesce(F.sum(speech.is_sentence_end(F.col("text")).cast("int")).over(before), F.lit(0)).cast("int"))
+    ends = speech.is_sentence_end(F.col("text")).cast("int")
+    numbered = sequences.running(words, id_col, "pos", {"_ended": ends}).withColumn("seq", (F.col("_ended") - ends).cast("int"))
     some = F.sort_array(F.collect_list(F.struct("pos", "text", "page", "x0", "y0", "x1", "y1")))
     return numbered.groupBy(id_col, "seq").agg(some.alias("w")).select(id_col, "seq", F.array_join(F.col("w.text"), " ").alias("sentence"), speech.line_boxes(F.col("w")).alias("boxes"))
 
@@ -144,20 +145,20 @@ def speech_plan(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def rendered(plan: DataFrame, id_col: str = "doc_id", rate: int = T.SAMPLE_RATE, gap: float = T.GAP_SECONDS) -> DataFrame:
     """Plan rows with n_samples: each chunk's end in seconds, silence included, and where it starts."""
-    order = Window.partitionBy(id_col).orderBy("chunk_no")
-    total = F.sum(F.col("n_samples") + F.lit(int(rate * gap))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return plan.withColumn("end", total / F.lit(float(rate))).withColumn("start", F.lag("end", 1, 0.0).over(order))
+    length = F.col("n_samples") + F.lit(int(rate * gap))
+    seconds = lambda n: n / F.lit(float(rate))
+    some = sequences.running(plan, id_col, "chunk_no", {"_up_to": length})
+    return some.withColumns({"end": seconds(F.col("_up_to")), "start": seconds(F.col("_up_to") - length)}).drop("_up_to")
 
 
 def chapters(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rendered plan rows: a chapter for each title, to the next one's start or the end of all.
     start_ms and end_ms are cut off, as the chapter file has them."""
-    total = F.max("end").over(Window.partitionBy(id_col))
-    marks = plan.withColumn("total", total).filter("title is not null")
-    order = Window.partitionBy(id_col).orderBy("chunk_no")
-    marks = marks.withColumn("chapter_end", F.coalesce(F.lead("start").over(order), F.col("total")))
+    some = sequences.totals(plan.select(id_col, "chunk_no", "title", "start", "end"), id_col, {"_total": F.max("end")})
+    marks = sequences.running(some.filter("title is not null"), id_col, "chunk_no", {"_nth": F.lit(1)}).withColumn("chapter", (F.col("_nth") - 1).cast("int"))
+    marks = sequences.following(marks, id_col, "chapter", "start", "_next").withColumn("chapter_end", F.coalesce("_next", "_total"))
     ms = lambda c: (F.col(c) * 1000).cast("long")
-    return marks.select(id_col, (F.row_number().over(order) - 1).alias("chapter"), "title", "start", F.col("chapter_end").alias("end"), ms("start").alias("start_ms"), ms("chapter_end").alias("end_ms"))
+    return marks.select(id_col, "chapter", "title", "start", F.col("chapter_end").alias("end"), ms("start").alias("start_ms"), ms("chapter_end").alias("end_ms"))
 
 
 def chapter_file(marks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -174,17 +175,18 @@ def page_sections(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def aligned_words(clips: DataFrame, id_col: str = "clip_id", text_col: str = "text", duration: str = "duration", min_weight: int = 1) -> DataFrame:
     """Words with start and end in seconds: the duration shared out by length."""
-    some = clips.filter(F.col(duration) > 0).select(id_col, duration, F.posexplode(text.tokens(F.col(text_col))).alias("pos", "word"))
-    whole = Window.partitionBy(id_col)
-    run = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    weight = F.greatest(F.length("word"), F.lit(min_weight))
-    some = some.select("*", weight.alias("weight")).select(
-        "*", F.sum("weight").over(run).alias("up_to"), F.sum("weight").over(whole).alias("total"), F.max("pos").over(whole).alias("last")
-    )
+    weight = lambda w: F.greatest(F.length(w), F.lit(min_weight)).cast("long")
+    some = clips.filter(F.col(duration) > 0).select(id_col, duration, text.tokens(F.col(text_col)).alias("w"))
+    blocks = some.select(id_col, duration, F.size("w").alias("n"), sequences.in_blocks(F.col("w"), weight, sequences.ROWS).alias("b"))
+    # blocks are dealt out, so the sums within them need no further shuffle
+    blocks = blocks.select(id_col, duration, "n", F.explode("b").alias("b")).select(id_col, duration, "n", "b.*").repartition(id_col, "first")
+    some = blocks.select(id_col, duration, "n", "total", "first", "before", F.posexplode("items").alias("i", "word"))
+    here = Window.partitionBy(id_col, "first").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    some = some.withColumn("pos", F.col("first") + F.col("i")).withColumn("up_to", F.col("before") + F.sum(weight(F.col("word"))).over(here))
     ms = lambda x: F.floor(x * 1000 + 0.5) / 1000  # noqa: E731 - of the binary value, not of its shortest decimal
     at = lambda n: ms(F.col(duration) * n / F.col("total"))
-    end = F.when(F.col("pos") == F.col("last"), ms(F.col(duration))).otherwise(at(F.col("up_to")))
-    return some.select(id_col, "pos", "word", at(F.col("up_to") - F.col("weight")).alias("start"), end.alias("end"))
+    end = F.when(F.col("pos") == F.col("n") - 1, ms(F.col(duration))).otherwise(at(F.col("up_to")))
+    return some.select(id_col, "pos", "word", at(F.col("up_to") - weight(F.col("word"))).alias("start"), end.alias("end"))
 
 
 def words_at(words: DataFrame, probes: DataFrame, id_col: str = "clip_id") -> DataFrame:
@@ -201,30 +203,19 @@ def playback_units(rows: DataFrame, id_col: str = "doc_id", size: int = T.UNIT_W
     """Viewer rows (id, seq, sentence, placeholder, failed) to units: id, unit, kind (seg, ocr, skip),
     seq, w0, w1. Short sentences are grouped up to size words; long ones are cut into slices.
 
-    Placeholders, failed pages and long sentences part a document into runs of short sentences. Only
-    within a run does a unit depend on the one before: a run is folded, the rest are running sums."""
+    A huge document is cut by many tasks, see sequences.greedy_units."""
     some = rows.select(id_col, "seq", "placeholder", "failed", F.size(text.tokens(F.col("sentence"))).alias("n"))
     kind = F.when(F.col("failed"), "skip").when(F.col("placeholder"), "ocr").otherwise("seg")
     some = some.select(id_col, "seq", "n", kind.alias("kind")).withColumn("alone", (F.col("kind") != "seg") | (F.col("n") > size))
-    so_far = Window.partitionBy(id_col).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    some = some.withColumn("run", F.sum(F.col("alone").cast("int")).over(so_far))
-
-    def add(s: Column, n: Column) -> Column:
-        joins = (s["words"] < size) & (s["words"] + n <= size)
-        return F.struct(F.when(joins, s["words"] + n).otherwise(n).alias("words"), F.concat(s["starts"], F.array((~joins).cast("int"))).alias("starts"))
-
-    nothing = F.struct(F.lit(size).alias("words"), F.array().cast("array<int>").alias("starts"))
-    runs = some.filter(~F.col("alone")).groupBy(id_col, "run").agg(F.sort_array(F.collect_list(F.struct("seq", "n"))).alias("x"))
-    folded = runs.select(id_col, F.explode(F.arrays_zip("x", F.aggregate(F.col("x.n"), nothing, add, lambda s: s["starts"]).alias("starts"))).alias("z"))
-    short = folded.select(id_col, "z.x.seq", "z.x.n", F.lit("seg").alias("kind"), F.col("z.starts").alias("units"))
-    slices = F.when(F.col("kind") == "seg", F.ceil(F.col("n") / size).cast("int")).otherwise(1)
-    every = short.unionByName(some.filter("alone").select(id_col, "seq", "n", "kind", slices.alias("units")))
-    last = F.sum("units").over(so_far) - 1
-    cut = every.withColumn("last", last).select(
-        id_col, "kind", "seq", "n", F.col("last") - F.greatest("units", F.lit(1)) + 1, F.explode(F.sequence(F.lit(0), F.greatest("units", F.lit(1)) - 1))
-    ).toDF(id_col, "kind", "seq", "n", "first", "k")
-    w1 = F.when(F.col("kind") != "seg", 0).otherwise(F.least((F.col("k") + 1) * size, F.col("n")))
-    return cut.select(id_col, (F.col("first") + F.col("k")).cast("int").alias("unit"), "kind", "seq", (F.col("k") * size).cast("int").alias("w0"), w1.cast("int").alias("w1"))
+    slices = F.when((F.col("kind") == "seg") & F.col("alone"), F.ceil(F.col("n") / size)).otherwise(1).cast("int")
+    # what a row is, in its number of words: -1 and -2 for rows without
+    coded = some.select(id_col, "seq", "alone", slices.alias("units"), F.when(F.col("kind") == "skip", -1).when(F.col("kind") == "ocr", -2).otherwise(F.col("n")).alias("n"))
+    every = sequences.greedy_units(coded, id_col, size)
+    cut = every.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("units") - 1)))
+    spoken = F.col("n") >= 0
+    w1 = F.when(spoken, F.least((F.col("k") + 1) * size, F.col("n"))).otherwise(0)
+    kind = F.when(spoken, "seg").when(F.col("n") == -1, "skip").otherwise("ocr")
+    return cut.select(id_col, (F.col("first") + F.col("k")).cast("int").alias("unit"), kind.alias("kind"), "seq", (F.col("k") * size).cast("int").alias("w0"), w1.cast("int").alias("w1"))
 
 
 def next_units(units: DataFrame, id_col: str = "doc_id") -> DataFrame:
