@@ -74,5 +74,15 @@ def test_sentence_ends(spark):
 
 
 def test_chunks(spark):
-    d = spark.createDataFrame([(["Qui.", "Là.", "Su."],), (["x" * 30, "y"],), ([],)], "s array<string>")
-    assert [r.c for r in d.select(speech.chunks(F.col("s"), 9).alias("c")).collect()] == [["Qui. Là.", "Su."], ["x" * 30, "y"], []]
+    verses = ["Canta il mare.", "Tace.", "Il vento sale piano.", "Dorme.", "Sogna."]
+    for most in (14, 15, 20, 21, 27, 60):
+        want, now = [], None
+        for v in verses:
+            if now is not None and len(now) + 1 + len(v) <= most:
+                now += " " + v
+            else:
+                want += [now] if now else []
+                now = v
+        d = spark.createDataFrame([(verses,)], "s array<string>")
+        assert d.select(speech.chunks(F.col("s"), most).alias("c")).first().c == [*want, now]
+    assert spark.createDataFrame([([],)], "s array<string>").select(speech.chunks(F.col("s"), 9).alias("c")).first().c == []

@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.chapters_per_page:
         reading.chapter_file(marks).write.mode("overwrite").parquet(f"{args.output}/chapters")
     total = audio.export_summary(plan, marks).agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("s"), F.sum("megabytes").alias("mb")).first()
-    print(f"wrote {args.output}: {total.n} texts, {total.s or 0:.1f}s, {total.mb or 0:.1f} MB")
+    print(f"{total.n} texts planned into {args.output}; as WAV about {total.s or 0:.0f} seconds and {total.mb or 0:.1f} megabytes")
 
 
 if __name__ == "__main__":

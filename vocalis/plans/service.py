@@ -38,7 +38,7 @@ def extract_pages(spark, sf_dir):
     name = pick(FILES, k)
     content = F.when(k % 5 == 4, F.concat("url", F.lit("\fbreve"))).otherwise(F.col("html"))
     some = table(spark, sf_dir, "pages").select(k.cast("string").alias("path"), name.alias("filename"), F.lit("").alias("content_type"), F.encode(content, "UTF-8").alias("content"))
-    return uploads.extract(some, split_pages, True)
+    return uploads.extract(some, split_pages, True).drop("error")
 
 
 def make_epub(chapters: pd.DataFrame) -> bytes:
@@ -69,7 +69,7 @@ def epub_pages(spark, sf_dir):
     uploads.ship(spark)
     chapters = table(spark, sf_dir, "part").select(F.expr("p_partkey div 5").alias("book"), (F.col("p_partkey") % 5).alias("pos"), F.col("p_name").alias("name"))
     books = chapters.groupBy("book").applyInPandas(pack_books, "path string, content binary")
-    return uploads.epub_pages(books)
+    return uploads.epub_pages(books).drop("error")
 
 
 @query(
