@@ -2,8 +2,11 @@
 
 import math
 import os
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import corpus_pipeline
 import pytest
@@ -52,6 +55,44 @@ def test_other_results_outlive_a_pipeline_run(spark, docs, tmp_path):
     assert paths and not any(os.path.exists(p.removeprefix("file://")) for p in paths)
 
 
+def test_runs_at_one_time_leave_each_other_alone(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    a = corpus_pipeline.run(spark, str(tmp_path))
+    b = corpus_pipeline.run(spark, str(tmp_path))
+    with ThreadPoolExecutor(2) as pool:
+        c, d = pool.map(lambda _: corpus_pipeline.run(spark, str(tmp_path)), range(2))
+    assert a.count() == b.count() == c.count() == d.count() > 0
+
+
+def test_stages_leave_unwritten_results_alone(spark, docs):
+    first = corpus_pipeline.quality_rules(spark, docs, "")
+    again = corpus_pipeline.quality_rules(spark, docs, "")
+    corpus_pipeline.lines_deduplicated(spark, again, "").count()
+    assert first.count() == again.count() > 0
+
+
+ENDS = """
+import sys
+sys.path[:0] = sys.argv[3:]
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.checkpoint.dir", "file://" + sys.argv[2]).config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+import corpus_pipeline
+from vocalis.llm import queries
+a = corpus_pipeline.run(spark, sys.argv[1])
+assert a.count() > 0 and queries.op4_token_files(spark, sys.argv[1]).count() > 0
+spark.stop()
+"""
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/in/documents.parquet")
+    os.makedirs(f"{tmp_path}/shared")
+    root = os.path.dirname(corpus_pipeline.__file__)
+    subprocess.run([sys.executable, "-c", ENDS, f"{tmp_path}/in", f"{tmp_path}/shared", root, *sys.path], check=True, timeout=600)
+    assert [f for _, _, names in os.walk(f"{tmp_path}/shared") for f in names] == []
+    assert not os.path.exists(f"{tmp_path}/shared/vocalis") or os.listdir(f"{tmp_path}/shared/vocalis") == []
+
+
 def test_no_own_folder_on_a_cluster(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     monkeypatch.setattr(type(spark.conf), "get", lambda *_: None)

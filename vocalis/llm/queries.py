@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalis.llm import ann, filter_audit, html_crf, line_dedup, lm_score, merkle, minhash, mixing, packing, quality, sharding, suffix_dedup, token_files
-from vocalis.llm.common import new_dir, table
+from vocalis.llm.common import Scratch, table
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = new_dir(spark, "token-files")
+    at = Scratch(spark).path("token-files")
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), at, _tokenizer()), at)
 
 
