@@ -26,7 +26,6 @@ AFTER_WORD = r".,;:!?\"»”)\]…"
 PLAIN_QUOTES = {"'": "‘’‚‛", '"': "“”„‟"}
 LINE_ENDS = "\r\u2028\u2029\u0085"
 CONTROLS = r"\x00-\x08\x0b\x0e-\x1f\x7f"
-MARKS = "\u0300-\u0344"
 INVISIBLE = "­​‌‍⁠﻿"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 NOISE = "|~^`_\\¦•·◦¬"
@@ -81,17 +80,6 @@ def lexicon() -> dict[str, str]:
     return {bare(w): w for w in ACCENTED}
 
 
-def composed() -> dict[str, str]:
-    """Latin letter and combining mark to the one character that stands for both."""
-    out = {}
-    for letter in map(chr, [*range(65, 91), *range(97, 123)]):
-        for mark in map(chr, range(0x300, 0x345)):
-            both = unicodedata.normalize("NFC", letter + mark)
-            if len(both) == 1:
-                out[letter + mark] = both
-    return out
-
-
 def misread() -> dict[str, str]:
     """UTF-8 read as Windows-1252, for Latin-1 letters and signs and common punctuation."""
     out = {}

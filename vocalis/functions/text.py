@@ -60,14 +60,15 @@ def tokens(text: Column) -> Column:
 
 
 def nfc(text: Column) -> Column:
-    """Latin letters and a combining mark become one character. Other scripts stay as they are."""
-    pairs = T.composed()
-    return substitute(text, f"[A-Za-z][{T.MARKS}]", lambda m: F.coalesce(F.try_element_at(literal_map(pairs), m), m))
+    """Canonical composition, all scripts, by the ICU library that Spark's collations bring along. Texts
+    without characters from U+0300 up, where the first that it changes stand, cost one look at each."""
+    compose = lambda t: F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(False))
+    return where_found(text, "[^\\x00-\\u02ff]", compose)
 
 
 def repair(text: Column) -> Column:
-    """Damage from extraction: misread UTF-8, ligatures, curly quotes, line ends, control and
-    invisible characters; composed letters."""
+    """Damage from extraction: UTF-8 read once as Windows-1252 (encoding.undone searches further), ligatures,
+    curly quotes, line ends, control and invisible characters; composed letters."""
     wrong = T.misread()
     by_start: dict[str, str] = {}
     for w in wrong:
@@ -81,10 +82,10 @@ def repair(text: Column) -> Column:
             t = F.translate(t, many, one * len(many))
         t = F.regexp_replace(t, f"\r\n|{one_of(T.LINE_ENDS)}", "\n")
         t = F.regexp_replace(t, f"[{T.CONTROLS}]", "")
-        return F.translate(where_found(t, f"[{T.MARKS}]", nfc), T.INVISIBLE, "")
+        return F.translate(nfc(t), T.INVISIBLE, "")
 
     some = "".join(sorted({w[0] for w in wrong})) + "".join(T.LIGATURES) + "".join(T.PLAIN_QUOTES.values()) + T.LINE_ENDS + T.INVISIBLE
-    return where_found(text, f"{one_of(some)[:-1]}{T.CONTROLS}{T.MARKS}]", whole)
+    return where_found(text, f"{one_of(some)[:-1]}{T.CONTROLS}]|[^\\x00-\\u02ff]", whole)
 
 
 def ligatures(text: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vocalis.functions import speech, text
+from vocalis.functions import encoding, speech, text
 from vocalis.functions import tables as T
 from vocalis.operators import sequences
+from vocalis.shipping import ship
 
 
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -15,6 +16,12 @@ def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(id_col, F.posexplode(speech.sentences(F.col(text_col))).alias("seq", "sentence"))
 
 
+def repaired(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Texts without damage from extraction: read back from any code page, then text.repair."""
+    ship(docs.sparkSession)
+    return docs.withColumn(text_col, encoding.undone(F.col(text_col))).withColumn(text_col, text.repair(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def page_status(pages: DataFrame, ocr_available: bool, text_col: str = "text") -> DataFrame:
     """Text layers of MIN_TEXT_LAYER characters or more are ready and cleaned; others wait for
     recognition, or are empty with an error where there is none. Short text is dropped."""

@@ -8,7 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from vocalis.functions import speech, text
+from vocalis.functions import encoding, speech, text
 from vocalis.functions import tables as T
 from vocalis.operators import reading, stores
 from vocalis.plans import catalogue as C
@@ -149,6 +149,35 @@ def repaired_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.repair(damaged).alias("repaired"))
 
 
+def misread(texts: pd.Series, turns: pd.Series) -> pd.Series:
+    """UTF-8 read as a code page, by turn: as it is, in four pages, and twice over."""
+    chains = [[], ["latin-1"], ["cp1252"], ["iso8859-2"], ["cp1251"], ["latin-1", "latin-1"]]
+
+    def one(t: str, turn: int) -> str:
+        for page in chains[turn % len(chains)]:
+            t = encoding.shown(t.encode(), page)
+        return t
+
+    return pd.Series([one(t, n) for t, n in zip(texts, turns)])
+
+
+@query("select doc_id, text as read_back from documents")
+def read_back(spark, sf_dir):
+    """Texts misread byte by byte in several code pages, read back: the oracle is the table itself."""
+    uploads.ship(spark)
+    damage = F.pandas_udf(misread, "string")
+    damaged = table(spark, sf_dir, "documents").select("doc_id", damage(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text"))
+    return damaged.select("doc_id", encoding.undone(F.col("text")).alias("read_back"))
+
+
+@query("select doc_id, nfc_normalize(text || ' ' || chr(cast(44032 + doc_id % 11172 as int)) || ' q' || chr(775) || chr(803)) as composed from documents")
+def composed(spark, sf_dir):
+    """Every text taken apart into letters and marks, with a syllable of Hangul and marks in the wrong order."""
+    syllable = F.decode(F.unhex(F.hex(44032 + F.col("doc_id") % 11172)), "UTF-16BE")
+    apart = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.concat("text", F.lit(" "), syllable), F.lit(False))
+    return table(spark, sf_dir, "documents").select("doc_id", text.nfc(F.concat(apart, F.lit(" q\u0307\u0323"))).alias("composed"))
+
+
 DATES = ["01/02/1999", "31.12.2020", "7-7-0800", "32/01/2020", "1/13/2000", "15/08-1947"]
 
 
