@@ -13,7 +13,8 @@ from vocalis.functions import tables as T
 from vocalis.operators import reading, stores
 from vocalis.plans import catalogue as C
 from vocalis.plans.catalogue import pick, query, sql_list, sql_pick, table
-from vocalis.sources import audio, uploads
+from vocalis.scratch import Scratch
+from vocalis.sources import audio, files, uploads
 
 # --- Uploads ----------------------------------------------------------------------------------------
 
@@ -120,6 +121,65 @@ def first_file(spark, sf_dir):
     return uploads.first_upload(table(spark, sf_dir, "pages").select(F.col("url").alias("path")))
 
 
+# --- Files ----------------------------------------------------------------------------------------------
+
+GAP = 0.001
+
+_SAMPLES = "list_transform(range(0, length(p_name)), lambda i: ((i * 37 + p_partkey) % 257 - 128) / 128.0)"
+_LITTLE = "substr(printf('%04x', (v + 65536) % 65536), 3, 2) || substr(printf('%04x', (v + 65536) % 65536), 1, 2)"
+_WORD = "substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)"
+
+
+@query(
+    f"""
+with c as (
+  select p_partkey // 5 as doc, p_partkey % 5 as k, list_transform({_SAMPLES}, lambda x: cast(trunc(greatest(-1, least(1, x)) * 32767) as int)) as xs from part
+), d as (
+  select doc, sum(len(xs) + {int(T.SAMPLE_RATE * GAP)}) * 2 as n,
+    string_agg(array_to_string(list_transform(xs, lambda v: {_LITTLE}), '') || repeat('0000', {int(T.SAMPLE_RATE * GAP)}), '' order by k) as body from c group by doc
+), h as (
+  select *, list_transform([n + 36, n], lambda s: list_transform([printf('%08x', cast(s as bigint))], lambda h: {_WORD})[1]) as sizes from d
+)
+select doc || '.wav' as file, cast(n + 44 as bigint) as size,
+  sha256(unhex('52494646' || sizes[1] || '57415645666d7420' || '10000000' || '01000100' || 'c05d0000' || '80bb0000' || '02001000' || '64617461' || sizes[2] || body)) as sha256
+from h
+"""
+)
+def audio_files(spark, sf_dir):
+    """WAV files put together from chunks, and read back byte by byte."""
+    k = F.col("p_partkey")
+    wave = F.transform(F.sequence(F.lit(0), F.length("p_name") - 1), lambda i: ((i * 37 + k) % 257 - 128) / F.lit(128.0))
+    chunks = table(spark, sf_dir, "part").select(F.expr("p_partkey div 5").alias("doc"), (k % 5).alias("chunk_no"), wave.alias("samples"))
+    at = Scratch(spark).path("audio")
+    audio.write_wav(chunks, at, "doc", gap=GAP)
+    found = spark.read.format("binaryFile").load(at)
+    return found.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+@query(
+    """
+with m as (
+  select p_partkey // 5 as book, p_partkey % 5 as pos, p_name from part
+)
+select 'b' || book || '.epub' as file, 'OEBPS/text/ch ' || pos || '.xhtml' as name, sha256('<html><head><title>Title</title></head><body><nav>Menu</nav>' || case when pos = 2 then '' else '<p>' || p_name || '</p>' end || '</body></html>') as sha256, false as failed
+from m where book % 7 <> 3
+union all select distinct 'b' || book || '.epub', null, null, true from m where book % 7 = 3
+"""
+)
+def archive_files(spark, sf_dir):
+    """Archives in files, one in seven cut off, read member by member; container and package are left out."""
+    uploads.ship(spark)
+    chapters = table(spark, sf_dir, "part").select(F.expr("p_partkey div 5").alias("book"), (F.col("p_partkey") % 5).alias("pos"), F.col("p_name").alias("name"))
+    books = chapters.groupBy("book").applyInPandas(pack_books, "path string, content binary")
+    whole = F.col("path").cast("int") % 7 != 3
+    parts = books.select(F.concat(F.lit("b"), "path", F.lit(".epub")).alias("file"), F.lit(0).alias("part"), F.when(whole, F.col("content")).otherwise(F.substring("content", F.lit(1), F.length("content") - 30)).alias("content"))
+    at = Scratch(spark).path("archives")
+    files.write_parts(parts, at)
+    members = files.archive_members(spark, at, task_bytes=100_000)
+    members = members.filter("name is null or name like '%.xhtml'")
+    return members.select(F.substring_index("path", "/", -1).alias("file"), "name", F.sha2("body", 256).alias("sha256"), (F.col("error").isNotNull()).alias("failed"))
+
+
 # --- Text repair --------------------------------------------------------------------------------------
 
 DAMAGE = {

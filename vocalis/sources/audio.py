@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalis.functions import tables as T
+from vocalis.sources import files
 from vocalis.shipping import ship
 
 
@@ -77,6 +78,35 @@ def wav_header(n_samples: Column, rate: int = T.SAMPLE_RATE) -> Column:
     return F.concat(word("RIFF"), little(size + 36, 4), word("WAVEfmt "), *(little(F.lit(x), w) for x, w in fixed), word("data"), little(size, 4))
 
 
+def pcm(spark: SparkSession) -> Callable[[Column], Column]:
+    """16-bit samples of a waveform in [-1, 1]: a WAV file's bytes after its header."""
+    ship(spark)
+
+    @F.pandas_udf("binary")
+    def run(waves: pd.Series) -> pd.Series:
+        return waves.map(lambda x: (np.clip(np.asarray(x if x is not None else [], np.float64), -1, 1) * 32767).astype("<i2").tobytes())
+
+    return run
+
+
+def wav_parts(chunks: DataFrame, id_col: str = "doc_id", rate: int = T.SAMPLE_RATE, gap: float = T.GAP_SECONDS) -> DataFrame:
+    """Chunks (id, chunk_no, samples) to the parts of a WAV file for each document: file, part, content.
+    The header comes first, and silence follows each chunk."""
+    silence = int(rate * gap)
+    name = F.concat(F.url_encode(F.col(id_col).cast("string")), F.lit(".wav"))
+    length = F.sum(F.coalesce(F.size("samples"), F.lit(0)).cast("long") + silence)
+    headers = chunks.groupBy(id_col).agg(length.alias("n")).select(name.alias("file"), F.lit(-1).cast("long").alias("part"), wav_header(F.col("n"), rate).alias("content"))
+    quiet = F.unhex(F.repeat(F.lit("00"), 2 * silence))
+    bodies = chunks.select(name.alias("file"), F.col("chunk_no").cast("long").alias("part"), pcm(chunks.sparkSession)(F.col("samples")).alias("content"))
+    return headers.unionByName(bodies.withColumn("content", F.concat("content", quiet)))
+
+
+def write_wav(chunks: DataFrame, path: str, id_col: str = "doc_id", rate: int = T.SAMPLE_RATE, gap: float = T.GAP_SECONDS) -> None:
+    """One WAV file for each document below path, named by its id. Chunks stream through the task that
+    writes their file; a job that fails leaves no file."""
+    files.write_parts(wav_parts(chunks, id_col, rate, gap), path)
+
+
 def encoding(fmt: Column, has_chapters: Column) -> Column:
     """How an export format is encoded: codec, container, bitrate and whether a chapter file goes along;
     null for formats that aren't offered."""
