@@ -208,36 +208,6 @@ def test_streamed_progress(spark, tmp_path):
     assert sorted(r.line for r in spark.table("lines").collect()) == ['data: {"phase":"done"}\n\n', 'data: {"phase":"synth","done":0,"total":1}\n\n']
 
 
-def test_streamed_recognition(spark, tmp_path):
-    pages = spark.createDataFrame([(1, 1, "needs_ocr", ""), (1, 2, "needs_ocr", "")], "doc_id long, page int, status string, text string")
-    pages.write.parquet(f"{tmp_path}/pages/v0")
-    made = "doc_id long, page int, ocr_text string"
-    spark.createDataFrame([(1, 1, "Visto.")], made).write.parquet(f"{tmp_path}/seen")
-
-    def go():
-        q = live.splice_stream(f"{tmp_path}/pages", spark.readStream.schema(made).parquet(f"{tmp_path}/seen"), f"{tmp_path}/c").start()
-        q.processAllAvailable()
-        q.stop()
-        got = spark.read.parquet(live.current_version(spark, f"{tmp_path}/pages")).orderBy("page").collect()
-        return [(r.status, r.text) for r in got]
-
-    assert go() == [("ready", "Visto."), ("needs_ocr", "")]
-    # a crash after the batch was written and before its commit: the batch runs again
-    def uncommit():
-        for name in ("0", ".0.crc"):
-            (tmp_path / "c" / "commits" / name).unlink()
-
-    uncommit()
-    assert go() == [("ready", "Visto."), ("needs_ocr", "")]
-    # a crash in the middle of the batch's write: its version isn't whole
-    uncommit()
-    (tmp_path / "pages" / "v1" / "_SUCCESS").unlink()
-    assert go() == [("ready", "Visto."), ("needs_ocr", "")]
-    spark.createDataFrame([(1, 2, None)], made).write.mode("append").parquet(f"{tmp_path}/seen")
-    assert go() == [("ready", "Visto."), ("ocr_failed", "")]
-    assert sorted(live.versions(spark, f"{tmp_path}/pages")) == [0, 1, 2]
-
-
 def test_event_lines(spark):
     at = datetime.datetime(2024, 1, 1)
     rows = [(1, 1, at, "synth", 0, 2, "a"), (1, 2, at + datetime.timedelta(seconds=40), "synth", 1, 2, "a"), (1, 3, at + datetime.timedelta(seconds=41), "done", 2, 2, "a"), (1, 4, at + datetime.timedelta(seconds=90), "synth", 2, 2, "a")]

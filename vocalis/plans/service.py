@@ -15,6 +15,7 @@ from vocalis.plans import catalogue as C
 from vocalis.plans.catalogue import pick, query, sql_list, sql_pick, table
 from vocalis.scratch import Scratch
 from vocalis.sources import audio, files, uploads
+from vocalis.streaming import live
 
 # --- Uploads ----------------------------------------------------------------------------------------
 
@@ -514,3 +515,41 @@ select doc_id, seq, cast(len(list_filter(regexp_split_to_array(sentence, '[\\s\\
 )
 def sentence_words(spark, sf_dir):
     return reading.sentence_rows(table(spark, sf_dir, "documents")).select("doc_id", "seq", speech.n_words(F.col("sentence")).alias("n_words"))
+
+
+# --- Streams over the events table, in several batches ------------------------------------------------
+
+
+@query(
+    f"""
+with e as (
+  select user_id as item, event_id, epoch_us(ts) // 1000000 as t, event_id % 3 = 0 as put from events
+), g as (
+  select *, coalesce(t - lag(t) over (partition by item order by t, event_id) > {T.DOC_TTL * 40}, true) as late from e
+), r as (
+  select *, sum(cast(late as int)) over (partition by item order by t, event_id) as run from g
+)
+select item, event_id, not put and not late and coalesce(sum(cast(put as int)) over (partition by item, run order by t, event_id rows between unbounded preceding and 1 preceding), 0) > 0 as hit from r
+"""
+)
+def streamed_hits(spark, sf_dir):
+    """Accesses as a stream: an item that was put stays while each access follows within the lifetime."""
+    e = table(spark, sf_dir, "events")
+    log = e.select(F.col("user_id").alias("item"), "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("at"), F.when(F.col("event_id") % 3 == 0, "put").otherwise("get").alias("op"))
+    text = log.withColumn("item", F.col("item").cast("string"))
+    found = live.all_now(spark, text, "at", "item", lambda s: live.document_hits(s, ttl=T.DOC_TTL * 40, reclaim=False))
+    return found.select(F.col("item").cast("long").alias("item"), "event_id", "hit")
+
+
+@query(
+    """
+select event_id as job_id, 'data: {"phase":"' || event_type || '","done":' || (event_id % 4) || ',"total":3}' || chr(10) || chr(10) as line from events
+"""
+)
+def streamed_lines(spark, sf_dir):
+    """Job events that arrive twice as a stream of lines, once each."""
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("phase"),
+        (F.col("event_id") % 4).alias("done"), F.lit(3).cast("long").alias("total"), F.lit(None).cast("string").alias("detail"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"),
+    )
+    return live.all_now(spark, e, "at", "job_id", live.progress_events).select("job_id", "line")

@@ -7,6 +7,7 @@ abort, and a reader of archives' members.
 
 from __future__ import annotations
 
+import sys
 import uuid
 import zipfile
 import zlib
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -21,6 +23,9 @@ from pyspark.sql.types import StructType
 
 from vocalis.shipping import ship
 
+# Spark pickles sources for workers on the driver too, which don't get what is shipped to executors
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Bytes of archives that a task reads; a larger archive is read by several, each some of its members.
 TASK_BYTES = 64 << 20
 

@@ -1,20 +1,29 @@
-"""Structured Streaming forms of the stores, of job progress and of page recognition."""
+"""Structured Streaming forms of the stores and of job progress (page recognition: pagelog)."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from vocalis.functions import tables as T
-from vocalis.operators import reading
+from vocalis.scratch import Scratch
 from vocalis.shipping import ship
 
+# Spark pickles processors for workers on the driver too, which don't get what is shipped to executors
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: The state store that stateful processors need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 class SlidingTtl(StatefulProcessor):
     """Accesses (item, at in seconds, op) of each item: hits within a window that each access renews.
@@ -27,7 +36,7 @@ class SlidingTtl(StatefulProcessor):
         self.handle = handle
         self.used = handle.getValueState("used", StructType([StructField("at", LongType())]))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.used.get()[0] if self.used.exists() else None
         f = pd.concat(list(rows)).sort_values(["at", "event_id"])
         hits = []
@@ -42,10 +51,10 @@ class SlidingTtl(StatefulProcessor):
             if self.reclaim:
                 for t in list(self.handle.listTimers()):
                     self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.ttl * 1000)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl * 1000)
         yield pd.DataFrame({"item": f["item"], "event_id": f["event_id"], "hit": hits})
 
-    def handleExpiredTimer(self, key: Any, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.used.clear()
         return iter(())
 
@@ -73,33 +82,130 @@ def windowed_progress(events: DataFrame, width: str = "1 minute", delay: str = "
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "phase").agg(F.count(F.lit(1)).alias("n"))
 
 
-def splice_stream(pages_path: str, seen: DataFrame, checkpoint: str):
-    """Recognition results as they come, put into a table of pages. Batch n makes version v(n + 1) of the
-    newest whole version before it and leaves that as it is; a version is whole once its _SUCCESS file
-    stands. A batch that runs again after a crash either finds its version whole and does nothing, or
-    makes it anew from the same one, so it never reads what it writes. Versions before the last but one
-    can be deleted by their owner."""
+class Beats(StatefulProcessor):
+    """Events of a job as lines, and a comment whenever none came for `beat` seconds; nothing after an end."""
+
+    def __init__(self, beat: int = T.HEARTBEAT):
+        self.beat = beat
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ended = handle.getValueState("ended", StructType([StructField("ended", LongType())]))
 
-    def batch(some: DataFrame, epoch: int) -> None:
-        spark = some.sparkSession
-        whole = {n: p for n, p in versions(spark, pages_path).items()}
-        if epoch + 1 in whole:
+    def _quiet(self) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.ended.exists():
             return
-        before = whole[max(n for n in whole if n <= epoch)]
-        once = some.groupBy("doc_id", "page").agg(F.max_by("ocr_text", F.xxhash64("ocr_text")).alias("ocr_text"))
-        reading.splice_ocr(spark.read.parquet(before), once).write.mode("overwrite").parquet(f"{pages_path}/v{epoch + 1}")
+        f = pd.concat(list(rows)).sort_values("seq")
+        ends = f["phase"].isin(["done", "error"])
+        if ends.any():
+            f = f[: int(ends.to_numpy().argmax()) + 1]
+            self.ended.update((1,))
+        self._quiet()
+        if not ends.any():
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.beat * 1000)
+        yield pd.DataFrame({"job_id": key[0], "seq": f["seq"].astype("Int64"), "line": f["line"]})
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.beat * 1000)
+        yield pd.DataFrame({"job_id": [key[0]], "seq": pd.array([None], "Int64"), "line": [": keep-alive\n\n"]})
+
+    def close(self) -> None:
+        pass
+
+
+def event_line(phase: str = "phase", done: str = "done", total: str = "total", detail: str = "detail"):
+    return F.concat(F.lit("data: "), F.to_json(F.struct(phase, done, total, detail)), F.lit("\n\n"))
 
-    return seen.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
+def lines_with_beats(events: DataFrame, beat: int = T.HEARTBEAT) -> DataFrame:
+    """A stream of job events (job_id, seq, phase, done, total, detail) as the lines that a browser reads, in
+    order of seq within a batch, with comments (seq null) while a job is silent. Needs the RocksDB state store."""
+    ship(events.sparkSession)
+    some = events.select("job_id", "seq", "phase", event_line().alias("line"))
+    return some.groupBy("job_id").transformWithStateInPandas(Beats(beat), outputStructType="job_id long, seq long, line string", outputMode="Append", timeMode="ProcessingTime")
 
-def versions(spark, pages_path: str) -> dict[int, str]:
-    """The whole versions below pages_path by their number."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pages_path)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return {int(p.toString().rsplit("/v", 1)[1]): p.toString() for p in found}
 
+class Jobs(StatefulProcessor):
+    """Jobs of a store: a creation is kept for ttl seconds, whatever reads it, and then goes by itself."""
+
+    def __init__(self, ttl: int = T.JOB_TTL):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        text = StructType([StructField("job", StringType())])
+        self.created = handle.getMapState("created", text, StructType([StructField("seq", LongType())]), self.ttl * 1000)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        f, found = pd.concat(list(rows)).sort_values("seq"), []
+        for seq, op, job in zip(f["seq"], f["op"], f["job"]):
+            found.append(op == "read" and self.created.containsKey((job,)))
+            if op == "create" and not self.created.containsKey((job,)):
+                self.created.updateValue((job,), (int(seq),))
+        yield pd.DataFrame({"store": key[0], "seq": f["seq"], "found": found})
+
+    def close(self) -> None:
+        pass
+
+
+def jobs_found(log: DataFrame, ttl: int = T.JOB_TTL) -> DataFrame:
+    """A stream of creations and reads (store, seq, op, job): whether a read finds its job. The lifetime is
+    the state's own, set when a job is created and not renewed. Needs the RocksDB state store."""
+    ship(log.sparkSession)
+    return log.groupBy("store").transformWithStateInPandas(Jobs(ttl), outputStructType="store long, seq long, found boolean", outputMode="Append", timeMode="ProcessingTime")
+
+
+class Progress(StreamingQueryListener):
+    """Events of running queries, by name: rows read so far of a total that is known, then done or error."""
+
+    def __init__(self, totals: dict[str, int]):
+        self.totals, self.names, self.rows, self.events = totals, {}, {}, []
+
+    def _add(self, name: str | None, phase: str, detail: str | None = None) -> None:
+        if name in self.totals:
+            seq = sum(e["job"] == name for e in self.events) + 1
+            self.events.append({"job": name, "seq": seq, "phase": phase, "done": self.rows.get(name, 0), "total": self.totals[name], "detail": detail})
+
+    def onQueryStarted(self, event) -> None:
+        self.names[str(event.runId)] = event.name
+        self._add(event.name, "start")
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.numInputRows:
+            self.rows[p.name] = self.rows.get(p.name, 0) + p.numInputRows
+            self._add(p.name, "synth")
+
+    def onQueryIdle(self, event) -> None:
+        pass
 
-def current_version(spark, pages_path: str) -> str:
-    """The newest whole version below pages_path."""
-    return max(versions(spark, pages_path).items())[1]
+    def onQueryTerminated(self, event) -> None:
+        self._add(self.names.get(str(event.runId)), "error" if event.exception else "done", event.exception and event.exception.partition("\n")[0][:200])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([tuple(e.values()) for e in self.events], "job string, seq long, phase string, done long, total long, detail string")
+
+
+def all_now(spark: SparkSession, rows: DataFrame, order: str, key: str, transform, batches: int = 4) -> DataFrame:
+    """rows as a stream of about so many batches in order of a number, through transform (of a streaming
+    frame) into a sink, which is read back when all is done. State is kept in RocksDB.
+
+    The files of one stretch of the order are written after those before it and hold each key in one file,
+    so that a key's rows arrive in order however files are dealt to batches."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch(spark)
+    source, sink, checkpoint = (scratch.path(n) for n in ("stream", "sink", "checkpoint"))
+    cuts = rows.agg(F.percentile_approx(order, [n / batches for n in range(1, batches)])).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        some = rows.filter(F.lit(low is None) | (F.col(order) > F.lit(low))).filter(F.lit(high is None) | (F.col(order) <= F.lit(high)))
+        some.repartition(key).write.mode("append").parquet(source)
+    files = len(spark.read.schema(rows.schema).parquet(source).inputFiles())
+    stream = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // batches)).parquet(source)
+    out = transform(stream)
+    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)
