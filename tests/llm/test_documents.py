@@ -658,3 +658,16 @@ def test_repeat_groups_are_all_maximal_repeats():
             if len(where) > 1 and len(right) > 1 and len(left) > 1:
                 maximal[key] = where
         assert got == maximal
+
+
+def test_encoder_by_words_equals_the_library_and_keeps_no_long_piece():
+    from vocalis.llm import tokens
+
+    encoder, r = tokens.Encoder(PATH), random.Random(8)
+    alphabet = "ab Cé,.'s\n\n 12-  x—“”!?t_\t"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3_000)]
+    texts += ["\n", "\n\n", "a\n", " a", "a ", "a\n\nb", "a\n\n\nb", "\na", "it's\n'tis 'll x", "a 's b", "a '", "x\x01y", None]
+    texts += ["".join(r.choice("qwertz") for _ in range(20_000)) for _ in range(5)]
+    got = [x for a in range(0, len(texts), 100) for x in encoder.encode(texts[a : a + 100])]
+    assert got == [encoder.whole(t) if t else b"" for t in texts]
+    assert max(map(len, [*encoder.memo, *encoder.words])) <= tokens.LONGEST
