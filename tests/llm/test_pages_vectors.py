@@ -197,3 +197,45 @@ def test_stopping_ratio_is_the_quantile():
     x = np.random.default_rng(0).chisquare(ann.M, 200_000)
     assert np.mean(x < ann.stopping_ratio()) == pytest.approx(ann.STOP, abs=0.005)
     assert math.isclose(ann.chi_square(0.0, 12), 0.0)
+
+
+# --- Pages written by hand: names that training doesn't know, that mislead, or none
+
+FIRST = "The river rose slowly over the old stones, and nobody in the village had seen it so high before that night. People stood at the bridge and talked until the lamps went out."
+THEN = "In the morning the water was gone. It had left sand in the gardens, three boats in the square and a smell of fish that stayed for a week."
+
+PAGES_BY_HAND = {
+    "no names": "<body><div>{a}{b}</div></body>",
+    "a foreign name": "<body><div id='inhalt'>{a}{b}</div></body>",
+    "misleading name outside": "<div class='top'><article>{a}</article></div>",
+    "names on the root": "<html class='no-js cookie'><body class='has-sidebar form'><main>{a}{b}</main></body></html>",
+    "table layout": "<table><tr><td><a href=x>Home</a></td><td><a href=y>News</a></td></tr><tr><td colspan=2>{a}{b}</td></tr></table><p>All rights reserved</p>",
+    "foreign names": "<div class='kopf'><a href=x>Start</a> <a href=y>Kontakt</a></div><div class='artikel'>{a}{b}</div><div class='fuss'>&copy; 2021 Alle Rechte</div>",
+    "italian names": "<ul class='menu-principale'><li><a href=x>Inizio</a></li><li><a href=y>Pesca</a></li></ul><div class='testo'>{a}{b}</div>",
+    "nothing but paragraphs": "{a}{b}",
+    "a heading and paragraphs": "<h1>The river at night</h1>{a}{b}",
+    "deep nesting": "<div><div><div><div><section>{a}{b}</section></div></div></div></div>",
+    "unclosed paragraphs": "<body><div id='x1'><p>" + "{ta}<p>{tb}</div>",
+    "divisions for paragraphs": "<div class='q7'><div>{ta}</div><div>{tb}</div></div>",
+    "links around": "<div><a href=x>Home</a> | <a href=y>News</a> | <a href=z>Contact</a></div><div>{a}{b}</div><div><a href=x>Home</a> | <a href=y>Top</a></div>",
+    "footer without a name": "<div>{a}{b}</div><div>&copy; 2020 The river people. All rights reserved.</div>",
+    "role and header": "<header><a href=x>River news</a></header><div role='main'>{a}{b}</div><footer>Printed in town</footer>",
+    "sidebar": "<aside><h3>More</h3><ul><li><a href=x>Old stones</a></li><li><a href=y>High water</a></li></ul></aside><div class='colonna'>{a}{b}</div>",
+    "form at the end": "<div>{a}{b}</div><form><label>Your name</label><input name=q><button>Send</button></form>",
+    "comments": "<div class='blocco'>{a}{b}</div><div class='comments'><div class='comment'><b>Ann</b><p>Nice.</p></div></div>",
+    "cookie notice": "<div class='cookie-notice'><p>We use cookies.</p><button>Fine</button></div><section>{a}{b}</section>",
+}
+
+
+@pytest.mark.parametrize("name", PAGES_BY_HAND)
+def test_pages_by_hand(name):
+    page = PAGES_BY_HAND[name]
+    want = [FIRST] if name == "misleading name outside" else [FIRST, THEN]
+    want = ["The river at night", *want] if "<h1>" in page else want
+    page = page.format(a=f"<p>{FIRST}</p>", b=f"<p>{THEN}</p>", ta=FIRST, tb=THEN)
+    assert html_crf.main_text(page, html_crf.default_model()) == " ".join(want)
+
+
+def test_pages_without_running_text_outside_named_parts_have_none():
+    for page in ("<nav><ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li></ul></nav><footer>&copy; 2020 Us</footer>", "<div class='cookie-notice'><p>" + FIRST + "</p></div>", "<ul><li><a href=a>" + THEN + "</a></li></ul>"):
+        assert html_crf.main_text(page, html_crf.default_model()) == ""

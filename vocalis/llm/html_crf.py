@@ -1,8 +1,8 @@
 """Main text of web pages: a linear-chain conditional random field over a page's text blocks.
 
 A page is cut into leaf blocks at block-level tags; inline tags stay inside a block. Each block has
-features of its ancestors (tags, what their class and id names stand for, the nearest that says
-something) and of its text. The field is trained by gradient ascent on the log-likelihood of labelled
+features of its ancestors (tags, what the class and id names of the nearest few stand for, the nearest
+that says something), of its text, and of the share that its container has of the page's running text. The field is trained by gradient ascent on the log-likelihood of labelled
 pages and decoded by Viterbi; blocks labelled main text are joined in page order.
 
 The model is small and fixed by its training pages (TRAIN_PAGES, a bound): it is trained on the
@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocalis.llm import common
-from vocalis.llm.html_pages import labelled_pages
+from vocalis.llm.html_pages import labelled_pages, odd_pages
 
-TRAIN_PAGES = 600
+#: Training pages, and how many of them are odd ones.
+TRAIN_PAGES, ODD_PAGES = 600, 40
 CHUNK = 64
+#: Named ancestors that count, and words from which a block with few links is running text.
+NEAREST, RUNNING = 3, 10
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -73,6 +76,10 @@ MEANS = {
 TAGS = {"nav": "nav", "header": "head", "footer": "foot", "aside": "side", "form": "form", "button": "form", "label": "form", "fieldset": "form", "dialog": "note", "menu": "nav", "article": "main", "main": "main", "ins": "ad"}
 
 
+#: Tags that hold one block: its container is what stands around them, and around inline tags.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td dd dt figcaption".split())
+
+
 @dataclass
 class Block:
     text: str
@@ -118,21 +125,27 @@ class _Edges:
 class _Node:
     """An open tag: what its ancestors and it make of features grows by what is new."""
 
-    __slots__ = ("tag", "tags", "kinds", "near", "features")
+    __slots__ = ("tag", "tags", "kinds", "near", "features", "said", "holder")
 
     def __init__(self, parent: _Node | None, tag: str, names: tuple[str, ...]):
         tag = tag if tag in KNOWN else ""
         own = (TAGS[tag], *names) if tag in TAGS else names
-        tags, kinds = (parent.tags, parent.kinds) if parent else (frozenset(), frozenset())
+        if tag in ("html", "body"):  # what a page's outermost names say holds for all of it
+            own = ()
+        tags = parent.tags if parent else frozenset()
         self.tag = tag
         self.tags = tags if tag in tags else tags | {tag}
-        self.kinds = kinds if kinds.issuperset(own) else kinds | set(own)
+        # the kinds of the nearest ancestors that say something
+        self.said = ((own, *parent.said)[:NEAREST] if own else parent.said) if parent else ((own,) if own else ())
+        self.kinds = parent.kinds if parent and not own else frozenset(k for some in self.said for k in some)
+        self.holder = (parent.holder if parent else None) if tag in LEAVES or tag in INLINE else self
         self.near = tuple(sorted(set(own))) if own else parent.near if parent else ()
         self.features = None
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
+    running: list[tuple[_Node | None, int]] = []  # of each block its container and its words, if they are running text
     stack: list[tuple[str, _Node]] = []
     places: dict[str, list[int]] = {}  # where in the stack each name stands
     scopes: list[int] = []
@@ -146,6 +159,8 @@ def blocks(page: str) -> list[Block]:
             body = " ".join(entities.unescape("".join(held)).split())
             if body:
                 out.append(Block(body, _features(body, path, linked), at_first))
+                n = body.count(" ") + 1
+                running.append((path.holder if path else None, n if n >= RUNNING and 2 * linked < len(body) else 0))
         held.clear()
         begun, linked = False, 0
 
@@ -213,6 +228,15 @@ def blocks(page: str) -> list[Block]:
         last = end
         i = max(end, i + 1)
     close()
+    held_by: dict[int, int] = {}
+    for holder, n in running:
+        held_by[id(holder)] = held_by.get(id(holder), 0) + n
+    total, most = sum(held_by.values()), max(held_by.values(), default=0)
+    for block, (holder, _) in zip(out, running):
+        own = held_by[id(holder)]
+        block.features.append(f"share:{0 if not own else 1 if 5 * own < total else 2 if 2 * own < total else 3}")
+        if own and own == most:
+            block.features.append("most")
     if out:
         out[0].features.append("first")
         out[-1].features.append("last")
@@ -243,6 +267,8 @@ def _path_features(path: _Node | None) -> tuple[str, ...]:
     return path.features
 
 
+#: Features of what isn't main text for all its words, and of running text; a sum that outweighs all others.
+OTHERWISE, RUNS, HELD = frozenset(["other", "a:2", "a:1", "copyright", "no stop"]), frozenset(["n:3", "n:4", "n:5"]), 1e6
 OTHER = frozenset("nav head foot side note ad talk form".split())
 
 
@@ -326,13 +352,13 @@ def train(pages: list[list[tuple[list[str], int]]], rounds: int = 400, rate: flo
     return Model(dict(zip(names, w[:k].tolist())), float(w[k]), tuple(w[k + 1 : k + 5].tolist()), float(w[k + 5]), float(w[k + 6]))
 
 
-def decode(features: list[list[str]], model: Model) -> list[int]:
-    """Viterbi for two labels."""
+def decode(features: list[list[str]], model: Model, held: list[bool] | None = None) -> list[int]:
+    """Viterbi for two labels. held: blocks that are main text whatever their features."""
     weight, (s00, s01, s10, s11) = model.weight.get, model.step
     back: list[tuple[int, int]] = []
     a = b = 0.0
     for i, fs in enumerate(features):
-        emit = model.bias + sum(weight(f, 0.0) for f in fs)
+        emit = model.bias + sum(weight(f, 0.0) for f in fs) + (HELD if held and held[i] else 0.0)
         if not i:
             a, b = 0.0, emit + model.start
             continue
@@ -347,6 +373,16 @@ def decode(features: list[list[str]], model: Model) -> list[int]:
     return labels[::-1]
 
 
+def label(features: list[list[str]], model: Model) -> list[int]:
+    """The best labelling; if that has no main text though running text stands outside of every part that is
+    named as something else, the best labelling in which that text is main text."""
+    labels = decode(features, model)
+    if any(labels):
+        return labels
+    text = [OTHERWISE.isdisjoint(f) and not RUNS.isdisjoint(f) for f in features]
+    return decode(features, model, text) if any(text) else labels
+
+
 def read_labels(parts: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
     """The blocks of a labelled page with their labels."""
     page = "".join(p for p, _ in parts)
@@ -356,7 +392,8 @@ def read_labels(parts: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
 
 @functools.lru_cache(1)
 def default_model() -> Model:
-    pages = [x for p in labelled_pages(TRAIN_PAGES) if (x := read_labels(p))]
+    some = labelled_pages(TRAIN_PAGES - ODD_PAGES) + odd_pages(ODD_PAGES)
+    pages = [x for p in some if (x := read_labels(p))]
     return train(pages)
 
 
@@ -364,7 +401,7 @@ def main_text(page: str | None, model: Model) -> str:
     if not page:
         return ""
     found = blocks(page)
-    return " ".join(b.text for b, y in zip(found, decode([b.features for b in found], model)) if y)
+    return " ".join(b.text for b, y in zip(found, label([b.features for b in found], model)) if y)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None, model: Model | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 """Labelled pages for training the block labeller: seeded templates with known main text.
 
-The pages mix semantic and plain containers, named in the usual ways, closed and unclosed tags, short
-and long blocks, so that labels follow from ancestors, names and text rather than from one layout.
+The pages mix semantic and plain containers, closed and unclosed tags, short and long blocks. Some
+name their parts in the usual ways; others name them in words of no known meaning, not at all, or wrap
+all of a page in a container whose name misleads, and some lay the page out in a table. So labels follow from
+ancestors, names, text and a container's share of the page together, and not from one of them.
 """
 
 from __future__ import annotations
@@ -9,12 +11,19 @@ from __future__ import annotations
 import random
 
 CONTENT_NAMES = ["content", "article", "main", "post", "entry", "story", "article-body", "post-content", "entry-content", "main-content", "story-text", "page-body"]
+#: Names that stand for another part than the one they hold, on what holds a whole page.
+MISLEADING = ["top", "no-sidebar", "has-menu", "with-header", "cookie", "page-nav", "ad-free", "form", "bottom", "comments-open", "widget-area", "banner"]
 SYLLABLES = "ba be co da di en er fa ga he in ka la lo ma ne on pa ra re sa se ta ti tion un va ver wi zo".split()
 
 
 class _Maker:
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, usual: bool = True):
         self.r = random.Random(seed)
+        #: How this page names its parts: as usual, in unknown words, or not at all.
+        self.naming = "usual" if usual else self.r.choice(["usual", "unknown", "none"])
+        #: A page of nothing but its main text.
+        self.lone = not usual and self.r.random() < 0.3
+        self.usual = usual
 
     def word(self) -> str:
         return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(1, 4)))
@@ -30,6 +39,8 @@ class _Maker:
 
     def tag(self, names: list[str], classes: list[str]) -> tuple[str, str]:
         name, r = self.r.choice(names), self.r.random()
+        if self.naming != "usual" and classes:
+            classes = [self.word()] if self.naming == "unknown" and r < 0.8 else []
         if name not in ("div", "section", "ul", "ol") and r < 0.5 or not classes:
             return f"<{name}>", f"</{name}>"
         return f'<{name} {self.r.choice(["class", "class", "id"])}="{self.r.choice(classes)}">', f"</{name}>"
@@ -61,7 +72,7 @@ class _Maker:
         return self.boxed(["section", "div", "ol", "div"], ["comments", "comment-list", "reader-comments", "discussion", "responses", "replies"], f"<h3>{self.words(1, 2)}</h3>" + body)
 
     def foot(self) -> tuple[str, int]:
-        return self.boxed(["footer", "div"], ["footer", "site-footer", "page-footer", "copyright", "legal"], self.r.choice(["&copy; {} &middot; {}", "<p>&copy; {}</p><p>{}</p>", "{} {}"]).format(self.words(1, 3), self.sentence()))
+        return self.boxed(["footer", "div"], ["footer", "site-footer", "page-footer", "copyright", "legal"], self.r.choice(["&copy; {} &middot; {}", "<p>&copy; {}</p><p>{}</p>", "{} {}", "<p>All rights reserved {}</p>", "<div>&copy; {}</div>"]).format(self.words(1, 3), self.sentence()))
 
     def block(self) -> str:
         x = self.r.random()
@@ -85,11 +96,19 @@ class _Maker:
         """Parts of a page in order, each with its label: 1 for main text, 0 for the rest."""
         r = self.r
         parts: list[tuple[str, int]] = [("<html><head><title>" + self.words(2, 6) + "</title><style>p{}</style></head><body>", 0)]
-        parts += [p for p in self.side() if r.random() < 0.45]
+        if not self.usual and r.random() < 0.3:
+            parts.append((f"<div {r.choice(['class', 'id'])}='{r.choice(MISLEADING)}'>", 0))
+        table = self.naming != "usual" and not self.lone and r.random() < 0.3
+        if table:
+            parts += [("<table><tr><td>", 0), (self.links(r.randint(3, 8)), 0), ("</td><td>", 0)]
+        elif not self.lone:
+            few = 0.45 if self.naming == "usual" else 0.3
+            parts += [p for p in self.side() if r.random() < few]
         wrap = r.random() < 0.3
         if wrap:
-            parts.append(('<div class="container">', 0))
-        a, b = self.tag(["article", "main", "div", "section", "article", "article"], CONTENT_NAMES)
+            parts.append((f'<div class="{"container" if self.usual else r.choice(["wrapper", self.word()])}">', 0))
+        plain = self.naming == "none" and r.random() < 0.4
+        a, b = ("", "") if plain or table else self.tag(["article", "main", "div", "section", "article", "article"], CONTENT_NAMES)
         parts.append((a, 0))
         if r.random() < 0.8:
             parts.append((f"<h1>{self.words(1, 9)}</h1>", 1))
@@ -97,16 +116,21 @@ class _Maker:
             parts.append((self.block(), 1))
             if r.random() < 0.06:
                 parts.append(r.choice(self.side()[2:]))
-        late = r.random() < 0.25
+            if self.lone and r.random() < 0.3:
+                break
+        late = not self.lone and r.random() < 0.25
         if late and r.random() < 0.7:
             parts.append(self.comments())
         parts.append((b, 0))
-        if not late and r.random() < 0.5:
-            parts.append(self.comments())
-        parts += [p for p in self.side()[2:] if r.random() < 0.25]
+        if not self.lone:
+            if not late and r.random() < 0.5:
+                parts.append(self.comments())
+            parts += [p for p in self.side()[2:] if r.random() < 0.25]
         if wrap:
             parts.append(("</div>", 0))
-        if r.random() < 0.85:
+        if table:
+            parts.append(("</td></tr></table>", 0))
+        if not self.lone and r.random() < 0.85:
             parts.append(self.foot())
         if r.random() < 0.7:
             parts.append(("</body></html>", 0))
@@ -114,4 +138,10 @@ class _Maker:
 
 
 def labelled_pages(n: int, seed: int = 1) -> list[list[tuple[str, int]]]:
+    """Pages that name their parts in the usual ways."""
     return [_Maker(seed * 1_000_003 + i).page() for i in range(n)]
+
+
+def odd_pages(n: int, seed: int = 2) -> list[list[tuple[str, int]]]:
+    """Pages with unknown, misleading or no names, of main text alone, or laid out in a table."""
+    return [_Maker(seed * 1_000_003 + i, usual=False).page() for i in range(n)]
