@@ -660,7 +660,7 @@ def test_repeat_groups_are_all_maximal_repeats():
         assert got == maximal
 
 
-def test_encoder_by_words_equals_the_library_and_keeps_no_long_piece():
+def test_encoder_equals_the_library_and_keeps_no_long_piece():
     from vocalis.llm import tokens
 
     encoder, r = tokens.Encoder(PATH), random.Random(8)
@@ -670,4 +670,4 @@ def test_encoder_by_words_equals_the_library_and_keeps_no_long_piece():
     texts += ["".join(r.choice("qwertz") for _ in range(20_000)) for _ in range(5)]
     got = [x for a in range(0, len(texts), 100) for x in encoder.encode(texts[a : a + 100])]
     assert got == [encoder.whole(t) if t else b"" for t in texts]
-    assert max(map(len, [*encoder.memo, *encoder.words])) <= tokens.LONGEST
+    assert max(map(len, encoder.memo)) <= tokens.LONGEST

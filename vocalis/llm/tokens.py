@@ -1,12 +1,10 @@
 """Token ids of a public byte-level BPE, by the tokenizers library.
 
 The pre-tokenizer cuts a text into pieces that are merged on their own, so the ids of a text are
-those of its pieces in order. The encoder asks the library for each distinct piece. Where a text has no
-white space beside a space, its pieces also end before each space and at each line feed, so that words as
-they stand between spaces are looked up at once, and only words not met before are cut into pieces. Memos
-of words and pieces are bounded in number and length; texts with characters on which regular expression
-engines may differ, or with a special token's string, go to the library whole. So do all texts where the
-library's own pre-tokenizer isn't the byte-level one with that pattern, or where it normalises texts first.
+those of its pieces in order. The encoder asks the library for each distinct piece and keeps a
+memo, bounded in entries and in a piece's length; texts with characters on which regular expression engines may differ, or with a
+special token's string, go to the library whole. So do all texts where the library's own pre-tokenizer
+isn't the byte-level one with that pattern, or where it normalises texts first.
 """
 
 from __future__ import annotations
@@ -15,6 +13,7 @@ import os
 import re
 import zlib
 from itertools import chain, filterfalse
+from operator import itemgetter
 
 import numpy as np
 
@@ -22,10 +21,8 @@ import numpy as np
 PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s\w]+|\s+(?!\S)|\s+")
 #: Characters outside: whole text to the library. ASCII without underscore and separators, Latin letters, common punctuation.
 ODD = re.compile(r"[^\t\n\r\x20-\x5e\x60-\x7e¡§©«»¿À-ɏ–—‘-„…€]")
-#: Entries of the memos of words and of pieces, and characters of a word or piece that is kept.
-WORDS, MEMO, LONGEST = 1_000_000, 300_000, 48
-#: What a text has none of whose words can be looked up: white space that isn't cut at each character.
-BESIDE = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r", "\x01")
+#: Entries of the memo, and characters of a piece that is kept in it.
+MEMO, LONGEST = 700_000, 64
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -38,7 +35,6 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # after a space; of a line's first word, marked, and of its feed
         self.by_pieces = self._cuts_as_expected()
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -55,97 +51,46 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _spaced(self, pieces: list[str]) -> list[bytes]:
-        """Of a space and letters each: side by side they stay pieces of their own, and only a first id holds the space."""
-        ids = np.array(self.library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        return self._cut(pieces, ids, np.append(np.flatnonzero(self.opens[ids]), len(ids)))
-
     def _learn(self, pieces: list[str]) -> None:
         spaced, others = [], []
         for p in pieces:
             (spaced if p[0] == " " and p[-1].isalpha() else others).append(p)  # a piece of letters ends in one
-        if spaced:
-            self.memo.update(zip(spaced, self._spaced(spaced)))
+        if spaced:  # side by side they stay pieces of their own, and only a first id holds the space
+            ids = np.array(self.library.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
+            self._keep(spaced, ids, np.append(np.flatnonzero(self.opens[ids]), len(ids)))
         if others:
             encoded = self.library.encode(others, is_pretokenized=True, add_special_tokens=False)
             of = np.array(encoded.word_ids, np.int64)
-            self.memo.update(zip(others, self._cut(others, np.array(encoded.ids, "<u4"), np.searchsorted(of, np.arange(len(others) + 1)))))
+            self._keep(others, np.array(encoded.ids, "<u4"), np.searchsorted(of, np.arange(len(others) + 1)))
 
-    def _cut(self, pieces: list[str], ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
-        raw, at = ids.tobytes(), (cuts * 4).tolist()
+    def _keep(self, pieces: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
+        raw, memo, at = ids.tobytes(), self.memo, (cuts * 4).tolist()
         if len(at) != len(pieces) + 1:
             raise ValueError("the vocabulary doesn't cut text at spaces")
-        return [raw[a:b] for a, b in zip(at, at[1:])]
+        for piece, a, b in zip(pieces, at, at[1:]):
+            memo[piece] = raw[a:b]
 
-    def _joined(self, cut: list[list[str]]) -> list[bytes]:
-        """The ids of each list of pieces."""
-        lacking = set(filterfalse(self.memo.__contains__, chain.from_iterable(cut)))
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; null gives none."""
+        cut = [
+            None if not text or not self.by_pieces or ODD.search(text) or any(s in text for s in self.special) else PIECES.findall(text)
+            for text in texts
+        ]
+        every = chain.from_iterable(filter(None, cut))
+        lacking = set(filterfalse(self.memo.__contains__, every))
         if len(self.memo) + len(lacking) > MEMO:
             self.memo.clear()
-            lacking = set().union(*cut)
+            lacking = set().union(*filter(None, cut))
         if lacking:
             self._learn(list(lacking))
-        out = [b"".join(map(self.memo.__getitem__, pieces)) for pieces in cut]
-        for p in lacking:
-            if len(p) > LONGEST:
-                del self.memo[p]
-        return out
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        """Texts by their words."""
-        cut = [("\x01" + t).replace("\n", " \n \x01").split(" ") for t in texts]
-        found = [list(map(self.words.get, words)) for words in cut]
-        missing = []
-        for words, ids in zip(cut, found):
-            for _ in range(ids.count(None)):
-                i = ids.index(None, missing[-1][1] + 1 if missing and missing[-1][0] is ids else 0)
-                missing.append((ids, i, words[i]))
-        if missing:
-            new = self._new_words({w for _, _, w in missing})
-            for ids, i, w in missing:
-                ids[i] = new[w]
-            if len(self.words) + len(new) > WORDS:
-                self.words.clear()
-            self.words.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
-        return [b"".join(ids) for ids in found]
-
-    def _new_words(self, lacking: set[str]) -> dict[str, bytes]:
-        """Most words are letters, or letters and one sign or digit: a piece of letters and one of the other."""
-        known, letters, ended, others = self.words, set(), [], []
-        for w in lacking:
-            if w.isalpha():
-                letters.add(w)
-            elif w[:-1].isalpha():
-                ended.append(w)
-                if w[:-1] not in known:
-                    letters.add(w[:-1])
-            else:
-                others.append(w)
-        new: dict[str, bytes] = {}
-        if letters:
-            spaced = list(letters)
-            new = dict(zip(spaced, self._spaced([" " + w for w in spaced])))
-        for w, last in zip(ended, self._joined([[w[-1]] for w in ended])):
-            new[w] = (known.get(w[:-1]) or new[w[:-1]]) + last
-        whole = [w[1:] if w[:1] == "\x01" else w if w == "\n" else " " + w for w in others]
-        return new | dict(zip(others, self._joined([PIECES.findall(w) for w in whole])))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null gives none."""
-        out: list[bytes] = [b""] * len(texts)
-        plain, others = [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.by_pieces or ODD.search(text) or any(s in text for s in self.special):
-                out[i] = self.whole(text)
-            elif any(s in text for s in BESIDE) or text[0] == " " or text[-1] in " \n":
-                others.append(i)
-            else:
-                plain.append(i)
-        for some, ids in ((plain, self._plain([texts[i] for i in plain])), (others, self._joined([PIECES.findall(texts[i]) for i in others]))):
-            for i, x in zip(some, ids):
-                out[i] = x
+        out = [
+            (b"".join(itemgetter(*pieces)(self.memo)) if len(pieces) > 1 else self.memo[pieces[0]])
+            if pieces is not None else self.whole(text) if text else b""
+            for text, pieces in zip(texts, cut)
+        ]
+        for piece in lacking:
+            if len(piece) > LONGEST:
+                del self.memo[piece]
         return out
 
 
