@@ -464,17 +464,22 @@ def test_route_of_many_sources_is_quick():
     assert sum(given.values()) <= sum(quota.values())
 
 
-def test_mix_with_more_patterns_than_are_told_apart(spark, monkeypatch):
+def test_mix_tells_all_patterns_apart(spark):
     r = random.Random(5)
-    made = [(i, "w " * r.randint(1, 30), sorted(r.sample("abcdef", r.randint(1, 4)))) for i in range(600)]
+    made = [(i, "w " * r.randint(1, 30), sorted(r.sample("abcdefghij", r.randint(1, 6)))) for i in range(1_500)]
     d = spark.createDataFrame(made, "doc_id long, text string, of array<string>")
-    monkeypatch.setattr(mixing, "MOST_PATTERNS", 5)
     got = mixing.mix(d, sources=F.col("of")).collect()
-    assert len(got) == 600 and len({tuple(x.pattern) for x in got if len(x.pattern) > 1}) == 5
     by = {x.row.doc_id: x for x in got}
-    assert all(set(by[i].pattern) <= set(of) and 0 <= by[i].taken <= 3 * by[i].size for i, _, of in made)
-    size = sum(x.size for x in got)
-    assert 0.9 * size <= sum(x.taken for x in got) <= 1.02 * sum(x.size * len(x.pattern) for x in got)
+    assert len(got) == 1_500 and all(list(by[i].pattern) == of and by[i].taken in {k * by[i].size for k in range(4)} for i, _, of in made)
+    supply, taken, by_source = Counter(), Counter(), Counter()
+    for x in got:
+        supply[tuple(x.pattern)] += x.size
+        taken[tuple(x.pattern)] += x.taken
+        by_source.update(dict.fromkeys(x.pattern, x.size))
+    assert len(supply) > 500
+    share = mixing.targets(dict(by_source), mixing.Mix().weights, 3)
+    given = mixing.route(dict(supply), {k: round(v) for k, v in share.items()}, 3)
+    assert all(0 <= given[p] - taken[p] < 30 for p in supply)  # less than one document short of the flow
 
 
 def test_mix_of_odd_rows(docs, no_docs):

@@ -8,9 +8,8 @@ one more pass it gives; for that pass documents are taken in the order of a seed
 
 Costs stand on the arcs into patterns only, so cheapest paths come in the order of passes: the flow of
 least cost is a maximum flow with the first passes, enlarged to one with the second, and so on, each
-found by Dinic's algorithm. Sources of no overlapping pattern have a closed form. The driver sees a
-row for each source and for up to MOST_PATTERNS overlapping patterns; those beyond, with the fewest words,
-count as of one of their sources each, by a hash of the pattern.
+found by Dinic's algorithm. Sources of no overlapping pattern have a closed form. The driver sees a row of
+sums for each source and for each pattern of several sources, however many there are, and never a document.
 
 The order is found without sorting a pattern: sizes are summed by range of the hash, the range that
 holds the cut is found from those sums, and only its documents are ranked. A document that would
@@ -36,8 +35,6 @@ from vocalis.llm import common
 RANGES = 4096
 #: Patterns up to which the plan, a row for each, is broadcast; beyond, it joins as it comes.
 MOST_BROADCAST = 10_000
-#: Overlapping patterns that the flow tells apart.
-MOST_PATTERNS = 50_000
 
 
 @dataclass(frozen=True)
@@ -152,22 +149,6 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, how:
     # ranges of the hash in its own order, so that all documents of a range stand before the next
     hash_range = (F.shiftright("hash", 52) + RANGES // 2).cast("int").alias("range")
     narrow = scratch.write(docs.select(*facts), "mix").select("*", hash_range)
-    overlapping = narrow.filter(F.size("pattern") > 1).groupBy("pattern").agg(F.sum("size").alias("words"))
-    overlapping = scratch.write(overlapping, "patterns")
-    rare = None
-    if overlapping.count() > MOST_PATTERNS:
-        kept = overlapping.orderBy(F.desc("words"), F.xxhash64("pattern"), "pattern").limit(MOST_PATTERNS).select("pattern")
-        rare = scratch.write(overlapping.select("pattern").join(kept, "pattern", "left_anti"), "rare").select(F.col("pattern").alias("_rare"))
-
-    def told_apart(df: DataFrame) -> DataFrame:
-        """Rare patterns as one of their sources."""
-        if rare is None:
-            return df
-        one = F.array(F.get("pattern", F.pmod(F.xxhash64("pattern"), F.size("pattern")).cast("int")))
-        both = df.join(rare, F.col("pattern").eqNullSafe(F.col("_rare")), "left")
-        return both.withColumn("pattern", F.when(F.col("_rare").isNull(), F.col("pattern")).otherwise(one)).drop("_rare")
-
-    narrow = told_apart(narrow)
     # a range has a row at most for each pattern; sums are combined before they are shuffled
     sums = scratch.write(narrow.groupBy("pattern", "range").agg(F.sum("size").alias("words")), "mix-sums")
     supply = {tuple(r["pattern"]): int(r["w"]) for r in sums.groupBy("pattern").agg(F.sum("words").alias("w")).collect()}
@@ -221,7 +202,7 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, how:
             v["gap"] -= r["words"]
             v.setdefault("extra", []).append((r["hash"], r["size"]))
     # one more pass over the documents, without a shuffle
-    every = told_apart(docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), *facts).select("*", hash_range))
+    every = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), *facts).select("*", hash_range)
     every = with_plan(every, "pattern_size", "target", "whole", "cut_range", "last_hash", "last_size", "extra")
     chosen = first | F.coalesce(F.array_contains("extra", F.struct("hash", "size")), F.lit(False))
     taken = F.col("size") * (F.col("whole") + chosen.cast("long"))
