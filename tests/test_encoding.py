@@ -34,6 +34,16 @@ def test_right_texts_stay():
     assert [encoding.undo(t) for t in PROSE + RIGHT] == PROSE + RIGHT
 
 
+def test_letters_are_no_digit_or_sign_of_another_script():
+    """Three letters beyond ASCII that are the bytes of a Myanmar digit or of a Yi radical."""
+    right = ["einver chßüä tesch", "für dieerßüü ererbeheit", "ar. Ííñ la", "As.\nÍíí los", "schßüè, ßüë"]
+    assert [encoding.undo(t) for t in right] == right
+    other = ["हिन्दी में १२३।", "မြန်မာ ၁၂၃၊", "العربية، ١٢٣؟", "ไทย ๑๒", "가 → ✓ ™ 5 ‰", "שָׁלוֹם"]
+    for t in other:
+        for page in ("cp1252", "latin-1", "iso8859-2", "cp437"):
+            assert encoding.undo(encoding.shown(t.encode(), page)) == t
+
+
 def test_in_spark_only_suspects_reach_python(spark):
     uploads.ship(spark)
     damaged = [encoding.shown(t.encode(), p) for t in PROSE for p in ("latin-1", "cp1251")] + RIGHT + PROSE
