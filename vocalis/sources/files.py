@@ -12,6 +12,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -28,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of archives that a task reads; a larger archive is read by several, each some of its members.
 TASK_BYTES = 64 << 20
+#: Files that a commit moves at a time.
+MOVES = 16
 
 
 def _system(path: str) -> tuple[fs.FileSystem, str]:
@@ -76,8 +79,9 @@ class PartFilesWriter(DataSourceWriter):
         if len({f.rpartition("/")[2] for f in names}) < len(names):
             self.abort(messages)
             raise ValueError("a file's parts must be in one task")
-        for f in names:
-            system.move(f"{root}/{f}", f"{root}/{f.rpartition('/')[2]}")
+        with ThreadPoolExecutor(MOVES) as pool:  # moves wait for the file system
+            for _ in pool.map(lambda f: system.move(f"{root}/{f}", f"{root}/{f.rpartition('/')[2]}"), names):
+                pass
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
