@@ -138,10 +138,25 @@ def layout_sentences(words: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return numbered.groupBy(id_col, "seq").agg(some.alias("w")).select(id_col, "seq", F.array_join(F.col("w.text"), " ").alias("sentence"), speech.line_boxes(F.col("w")).alias("boxes"))
 
 
-def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_chars: int = T.MAX_CHUNK) -> DataFrame:
-    """id, chunk_no (from 0), chunk."""
+def laid_out(docs: DataFrame, id_col: str = "doc_id", words: str = "words") -> DataFrame:
+    """layout_sentences of documents that hold their placed words in order as an array of structs: within the
+    row, without a shuffle. A document's words must fit a task's memory."""
+
+    def cut(ws: Column) -> Column:
+        marks = F.filter(F.transform(ws, lambda w, i: F.when(speech.is_sentence_end(w["text"]), i + 1)), lambda i: i.isNotNull())
+        # words after the last end are a sentence too
+        ends = text.let(marks, lambda m: F.when(F.coalesce(F.get(m, F.size(m) - 1), F.lit(0)) < F.size(ws), F.concat(m, F.array(F.size(ws)))).otherwise(m))
+        before = lambda e, k: F.coalesce(F.get(e, k - 1), F.lit(0))
+        return text.let(ends, lambda e: F.transform(e, lambda to, k: F.slice(ws, before(e, k) + 1, to - before(e, k))))
+
+    some = docs.select(id_col, F.posexplode(text.let(F.col(words), cut)).alias("seq", "w"))
+    return some.select(id_col, "seq", F.array_join(F.col("w.text"), " ").alias("sentence"), speech.line_boxes(F.col("w")).alias("boxes"))
+
+
     return docs.select(id_col, F.posexplode(speech.chunks(speech.sentences_or_text(F.col(text_col)), max_chars)).alias("chunk_no", "chunk"))
 
+def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_chars: int = T.MAX_CHUNK) -> DataFrame:
+    """id, chunk_no (from 0), chunk."""
 
 def speech_plan(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Sections (id, section, title, text) to chunks in order; only a section's first has the title."""
