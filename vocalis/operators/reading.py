@@ -195,20 +195,58 @@ def page_sections(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return pages.select(id_col, F.col("page").alias("section"), F.concat(F.lit("Pagina "), F.col("page")).alias("title"), "text")
 
 
-def aligned_words(clips: DataFrame, id_col: str = "clip_id", text_col: str = "text", duration: str = "duration", min_weight: int = 1) -> DataFrame:
-    """Words with start and end in seconds: the duration shared out by length."""
-    weight = lambda w: F.greatest(F.length(w), F.lit(min_weight)).cast("long")
+#: Words that are timed together: a short array's running sums cost little, and need no shuffle.
+TIMED = 64
+
+
+def _milliseconds(x: Column) -> Column:
+    """Rounded half up: of the binary value, not of its shortest decimal."""
+    return F.floor(x * 1000 + 0.5) / 1000
+
+
+def _timed_blocks(clips: DataFrame, id_col: str, text_col: str, duration: str, weight) -> DataFrame:
+    """Clips cut into blocks: id, duration, n (the clip's words), total, first, before, items, sums (of the
+    items before each)."""
     some = clips.filter(F.col(duration) > 0).select(id_col, duration, text.tokens(F.col(text_col)).alias("w"))
-    blocks = some.select(id_col, duration, F.size("w").alias("n"), sequences.in_blocks(F.col("w"), weight, sequences.ROWS).alias("b"))
-    # blocks are dealt out, so the sums within them need no further shuffle
-    blocks = blocks.select(id_col, duration, "n", F.explode("b").alias("b")).select(id_col, duration, "n", "b.*").repartition(id_col, "first")
-    some = blocks.select(id_col, duration, "n", "total", "first", "before", F.posexplode("items").alias("i", "word"))
-    here = Window.partitionBy(id_col, "first").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    some = some.withColumn("pos", F.col("first") + F.col("i")).withColumn("up_to", F.col("before") + F.sum(weight(F.col("word"))).over(here))
-    ms = lambda x: F.floor(x * 1000 + 0.5) / 1000  # noqa: E731 - of the binary value, not of its shortest decimal
-    at = lambda n: ms(F.col(duration) * n / F.col("total"))
-    end = F.when(F.col("pos") == F.col("n") - 1, ms(F.col(duration))).otherwise(at(F.col("up_to")))
-    return some.select(id_col, "pos", "word", at(F.col("up_to") - weight(F.col("word"))).alias("start"), end.alias("end"))
+    blocks = some.select(id_col, duration, F.size("w").alias("n"), F.explode(sequences.in_blocks(F.col("w"), weight, sequences.ROWS)).alias("b"))
+    fine = blocks.select(id_col, duration, "n", "b.total", "b.first", "b.before", F.explode(sequences.in_blocks(F.col("b.items"), weight, TIMED)).alias("c"))
+    sums = F.aggregate("c.items", F.array(F.lit(0).cast("long")), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + weight(w))))
+    return fine.select(id_col, duration, "n", "total", (F.col("first") + F.col("c.first")).alias("first"), (F.col("before") + F.col("c.before")).alias("before"), "c.items", sums.alias("sums"))
+
+
+def _weight(min_weight: int):
+    return lambda w: F.greatest(F.length(w), F.lit(min_weight)).cast("long")
+
+
+def aligned_words(clips: DataFrame, id_col: str = "clip_id", text_col: str = "text", duration: str = "duration", min_weight: int = 1) -> DataFrame:
+    """Words with start and end in seconds: the duration shared out by length. Within a clip's row, block by block."""
+    blocks = _timed_blocks(clips, id_col, text_col, duration, _weight(min_weight))
+    words = text.let(F.col("sums"), lambda s: F.transform("items", lambda w, i: F.struct(w.alias("word"), F.get(s, i).alias("from"), F.get(s, i + 1).alias("to"))))
+    some = blocks.select(id_col, duration, "n", "total", "first", "before", F.posexplode(words).alias("i", "w"))
+    at = lambda n: _milliseconds(F.col(duration) * (F.col("before") + n) / F.col("total"))
+    pos = F.col("first") + F.col("i")
+    end = F.when(pos == F.col("n") - 1, _milliseconds(F.col(duration))).otherwise(at(F.col("w.to")))
+    return some.select(id_col, pos.alias("pos"), "w.word", at(F.col("w.from")).alias("start"), end.alias("end"))
+
+
+def clip_words_at(clips: DataFrame, probes: DataFrame, id_col: str = "clip_id", text_col: str = "text", duration: str = "duration", min_weight: int = 1) -> DataFrame:
+    """words_at of aligned clips: the sort for each clip has a row for a block of words, and the word is found
+    within its block."""
+    blocks = _timed_blocks(clips, id_col, text_col, duration, _weight(min_weight))
+    at = lambda d, before, total: _milliseconds(d * before / total)
+    b = F.struct(F.col(duration).alias("duration"), "total", "first", "before", "items")
+    kinds = blocks.select(id_col, at(F.col(duration), F.col("before"), F.col("total")).alias("at"), F.lit(0).alias("kind"), b.alias("b"), F.lit(None).cast("long").alias("probe"))
+    asked = probes.select(id_col, F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(kinds.schema["b"].dataType).alias("b"), "probe")
+    order = Window.partitionBy(id_col).orderBy("at", "kind", F.col("b.first")).rowsBetween(Window.unboundedPreceding, 0)
+    found = kinds.unionByName(asked).withColumn("b", F.last("b", ignorenulls=True).over(order)).filter("kind = 1")
+    weight, f = _weight(min_weight), F.col("b")
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"))
+    # starts never fall, so the words that have begun are the block's first ones
+    begun = F.aggregate(
+        f["items"], start, lambda s, w: F.struct((s["sum"] + weight(w)).alias("sum"), (s["n"] + (at(f["duration"], f["before"] + s["sum"], f["total"]) <= F.col("at")).cast("int")).alias("n")), lambda s: s["n"] - 1
+    )
+    found = found.select(id_col, "probe", F.col("at").alias("t"), f.alias("b"), begun.alias("i"))
+    return found.select(id_col, "probe", "t", (F.col("b.first") + F.col("i")).alias("pos"), F.get("b.items", F.col("i")).alias("word"))
 
 
 def words_at(words: DataFrame, probes: DataFrame, id_col: str = "clip_id") -> DataFrame:
