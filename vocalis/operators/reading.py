@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vocalis.functions import encoding, speech, text
 from vocalis.functions import tables as T
 from vocalis.operators import sequences
+from vocalis.scratch import Scratch
 from vocalis.shipping import ship
 
 
@@ -176,7 +177,9 @@ def rendered(plan: DataFrame, id_col: str = "doc_id", rate: int = T.SAMPLE_RATE,
 def chapters(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rendered plan rows: a chapter for each title, to the next one's start or the end of all.
     start_ms and end_ms are cut off, as the chapter file has them."""
-    some = sequences.totals(plan.select(id_col, "chunk_no", "title", "start", "end"), id_col, {"_total": F.max("end")})
+    # read several times below
+    plan = Scratch(plan.sparkSession).write(plan.select(id_col, "chunk_no", "title", "start", "end"), "chapters")
+    some = sequences.totals(plan, id_col, {"_total": F.max("end")})
     marks = sequences.running(some.filter("title is not null"), id_col, "chunk_no", {"_nth": F.lit(1)}).withColumn("chapter", (F.col("_nth") - 1).cast("int"))
     marks = sequences.following(marks, id_col, "chapter", "start", "_next").withColumn("chapter_end", F.coalesce("_next", "_total"))
     ms = lambda c: (F.col(c) * 1000).cast("long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -60,10 +60,10 @@ def media_type(fmt: Column) -> Column:
     return F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, T.FORMATS)), F.array(*map(F.lit, T.FORMATS.values()))), F.lower(fmt))
 
 
-def join_audio(chunks: DataFrame, id_col: str = "doc_id", rate: int = T.SAMPLE_RATE, gap: float = T.GAP_SECONDS) -> DataFrame:
-    """Length of each document's audio, silence after each chunk included: n_samples, duration."""
+def join_audio(chunks: DataFrame, id_col: str = "doc_id", rate: int = T.SAMPLE_RATE, gap: float = T.GAP_SECONDS, more: Sequence[Column] = ()) -> DataFrame:
+    """Length of each document's audio, silence after each chunk included: n_samples, duration; and more aggregates."""
     total = F.sum(F.col("n_samples") + F.lit(int(rate * gap)))
-    return chunks.groupBy(id_col).agg(total.alias("n_samples")).withColumn("duration", F.col("n_samples") / F.lit(float(rate)))
+    return chunks.groupBy(id_col).agg(total.alias("n_samples"), *more).withColumn("duration", F.col("n_samples") / F.lit(float(rate)))
 
 
 def wav_header(n_samples: Column, rate: int = T.SAMPLE_RATE) -> Column:
@@ -119,8 +119,7 @@ def encoding(fmt: Column, has_chapters: Column) -> Column:
 
 def export_summary(plan: DataFrame, marks: DataFrame, id_col: str = "doc_id", rate: int = T.SAMPLE_RATE) -> DataFrame:
     """What an export tells at its end: seconds, megabytes as WAV, chunks and chapters."""
-    length = join_audio(plan, id_col, rate)
-    chunks = plan.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_chunks"))
+    length = join_audio(plan, id_col, rate, more=[F.count(F.lit(1)).alias("n_chunks")])
     titles = marks.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_chapters"))
-    both = length.join(chunks, id_col).join(titles, id_col, "left")
+    both = length.join(titles, id_col, "left")
     return both.select(id_col, F.round("duration", 1).alias("seconds"), F.round((F.col("n_samples") * 2 + 44) / 1e6, 1).alias("megabytes"), "n_chunks", F.coalesce("n_chapters", F.lit(0)).alias("n_chapters"))
