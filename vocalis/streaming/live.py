@@ -6,6 +6,7 @@ import sys
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +38,12 @@ class SlidingTtl(StatefulProcessor):
         self.used = handle.getValueState("used", StructType([StructField("at", LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.used.get()[0] if self.used.exists() else None
-        f = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        last = self.used.get()
+        last = last[0] if last else None
+        item, event, times, ops = (np.concatenate(x) for x in zip(*((f["item"].to_numpy(), f["event_id"].to_numpy(), f["at"].to_numpy(), f["op"].to_numpy()) for f in rows)))
+        order = np.lexsort((event, times))
         hits = []
-        for at, op in zip(f["at"], f["op"]):
+        for at, op in zip(times[order].tolist(), ops[order].tolist()):
             fresh = last is not None and at - last <= self.ttl
             hits.append(op == "get" and fresh)
             last = at if op == "put" or fresh else None
@@ -52,7 +55,7 @@ class SlidingTtl(StatefulProcessor):
                 for t in list(self.handle.listTimers()):
                     self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl * 1000)
-        yield pd.DataFrame({"item": f["item"], "event_id": f["event_id"], "hit": hits})
+        yield pd.DataFrame({"item": item[order], "event_id": event[order], "hit": hits})
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.used.clear()
