@@ -23,13 +23,14 @@ def repaired(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn(text_col, encoding.undone(F.col(text_col))).withColumn(text_col, text.repair(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def page_status(pages: DataFrame, ocr_available: bool, text_col: str = "text") -> DataFrame:
+def page_status(pages: DataFrame, ocr_available: bool | Column, text_col: str = "text") -> DataFrame:
     """Text layers of MIN_TEXT_LAYER characters or more are ready and cleaned; others wait for
-    recognition, or are empty with an error where there is none. Short text is dropped."""
+    recognition, or are empty with an error where there is none (for all pages, or by a column). Short text
+    is dropped."""
     enough = F.length(text.trim(F.coalesce(F.col(text_col), F.lit("")))) >= T.MIN_TEXT_LAYER
     return (
-        pages.withColumn("status", F.when(enough, "ready").otherwise("needs_ocr" if ocr_available else "empty"))
-        .withColumn("ocr_error", ~enough & F.lit(not ocr_available))
+        pages.withColumn("status", F.when(enough, "ready").when(F.lit(ocr_available), "needs_ocr").otherwise("empty"))
+        .withColumn("ocr_error", ~enough & ~F.lit(ocr_available))
         .withColumn(text_col, F.when(enough, text.clean_text(F.col(text_col))).otherwise(""))
     )
 
@@ -154,10 +155,10 @@ def laid_out(docs: DataFrame, id_col: str = "doc_id", words: str = "words") -> D
     return some.select(id_col, "seq", F.array_join(F.col("w.text"), " ").alias("sentence"), speech.line_boxes(F.col("w")).alias("boxes"))
 
 
-    return docs.select(id_col, F.posexplode(speech.chunks(speech.sentences_or_text(F.col(text_col)), max_chars)).alias("chunk_no", "chunk"))
-
 def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_chars: int = T.MAX_CHUNK) -> DataFrame:
     """id, chunk_no (from 0), chunk."""
+    return docs.select(id_col, F.posexplode(speech.chunks(speech.sentences_or_text(F.col(text_col)), max_chars)).alias("chunk_no", "chunk"))
+
 
 def speech_plan(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Sections (id, section, title, text) to chunks in order; only a section's first has the title."""
